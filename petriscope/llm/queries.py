@@ -30,5 +30,26 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(len(d.ws) - coalesce
 FROM d LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
-ORACLE_SQL = {"op2_substring_dedup": OP2_SQL}
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import ngram_jaccard
+
+    out = ngram_jaccard(_read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{WORD}') AS ws FROM documents),
+p AS (SELECT r, doc_id, ws, unnest(range(greatest(len(ws) - 3, 1))) AS i FROM d WHERE len(ws) > 0),
+sh AS MATERIALIZED (SELECT DISTINCT r, doc_id, array_to_string(ws[i + 1 : i + 4], ' ') AS s FROM p),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS MATERIALIZED (SELECT a.r AS x, b.r AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+link AS MATERIALIZED (SELECT x, y FROM common JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+both_ways AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.x = d.r JOIN d e ON e.r = reach.y GROUP BY d.r, d.doc_id
+"""
+
+QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup}
+ORACLE_SQL = {"op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL}
