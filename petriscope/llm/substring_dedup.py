@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,10 +87,12 @@ def _level_rows(lengths: list[int], level: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            live = pc.and_(pc.is_valid(batch.column(ID)), pc.invert(batch.column("copy").fill_null(False)))
+            batch = batch.filter(pc.and_(live, pc.is_valid(batch.column("keys"))) if level else live)
+            ids = batch.column(ID).to_numpy(zero_copy_only=False)
             if level:
                 values, at = _lists(batch.column("keys"))
-            for a, b, data, offsets in steps(batch.column("text")):
+            for a, b, data, offsets in steps(batch.column(TEXT)):
                 w = _Windows(data, offsets, window)
                 doc, keys = w.doc, w.level(lengths[level])
                 check = w.check() if level == len(lengths) - 1 else None
@@ -119,7 +122,7 @@ def _cut(window: int):
         for batch in batches:
             copy = batch.column("copy").fill_null(False).to_numpy(zero_copy_only=False)
             values, at = _lists(batch.column("keys"))
-            for a, b, data, offsets in steps(batch.column("text")):
+            for a, b, data, offsets in steps(batch.column(TEXT)):
                 w = _Windows(data, offsets, window)
                 words = w.words
                 of = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
@@ -186,25 +189,20 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, id_col: st
     same = keyed["p"].bitwiseXOR(known["p"]).bitwiseOR(keyed["q"].bitwiseXOR(known["q"])) == 0
     full = keyed.join(known, (keyed[ID] == known["i"]) & same, "left").select(ID, TEXT, REST, (F.col("first") < F.col(ID)).alias("copy"))
 
+    # Every branch reads all columns of ``full`` by left joins without filters that
+    # Catalyst could push below its exchange, so the texts are dealt out once and reused.
     keys = None
     for level in range(len(lengths)):
-        live = full.where(~F.col("copy"))
-        source = live.select(F.col(ID).alias("id"), F.col(TEXT).alias("text"))
-        if keys is not None:
-            source = source.join(keys.withColumnRenamed("id", "k"), F.col("id") == F.col("k")).select("id", "text", "keys")
+        source = full if keys is None else full.join(keys.withColumnRenamed("id", "k"), F.col(ID) == F.col("k"), "left")
         last = level == len(lengths) - 1
         found = source.mapInArrow(_level_rows(lengths, level), "key long, id long" + ", check int" * last)
         by = ["key", "check"] if last else ["key"]
-        if last:
-            again = found.groupBy(*by).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(*by, "least")
-            kept = found.join(again, by).where("id > least")
-        else:
-            again = found.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
-            kept = found.join(again, by)
+        least = [F.min("id").alias("least")] * last
+        again = found.groupBy(*by).agg(F.count("*").alias("n"), *least).where("n > 1").drop("n")
+        kept = found.join(again, by).where("id > least" if last else "true")
         keys = kept.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
     out = full.join(keys.withColumnRenamed("id", "k"), F.col(ID) == F.col("k"), "left")
-    out = out.select(REST, F.coalesce(TEXT, F.lit("")).alias("text"), "copy", "keys")
-    schema = out.select(REST, F.col("text").alias(TEXT)).schema.add("n_words", "long").add("n_removed", "long").add("removed", SPANS)
+    schema = out.select(REST, TEXT).schema.add("n_words", "long").add("n_removed", "long").add("removed", SPANS)
     cut = out.mapInArrow(_cut(window), schema)
     return unpacked(cut, docs, text_col, extra={c: F.col(c) for c in ("n_words", "n_removed", "removed")})
