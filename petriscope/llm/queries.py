@@ -51,5 +51,31 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS com
 FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.x = d.r JOIN d e ON e.r = reach.y GROUP BY d.r, d.doc_id
 """
 
-QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup}
-ORACLE_SQL = {"op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL}
+#: Byte limit of a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import extendible_shards
+
+    out = extendible_shards(_read(spark, sf_dir, "documents"), SHARD_BYTES)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "depth", "prefix", "part")
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 64 AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS h FROM documents),
+lv AS (SELECT doc_id, n_bytes, depth, h >> CAST(48 - depth AS INT) AS prefix FROM d, range(25) t(depth)),
+s AS (SELECT *, sum(n_bytes) OVER (PARTITION BY depth, prefix) AS b FROM lv)
+SELECT doc_id, any_value(n_bytes) AS n_bytes, CAST(min(depth) AS INTEGER) AS depth, CAST(arg_min(prefix, depth) AS BIGINT) AS prefix, CAST(0 AS BIGINT) AS part
+FROM s WHERE b <= {SHARD_BYTES} GROUP BY doc_id
+"""
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    out = pack(_read(spark, sf_dir, "documents"), size=1024, tokenizer="byte_bpe_50k.json", with_ids=False)
+    return out.drop("ids").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup}
+ORACLE_SQL = {"op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL}
