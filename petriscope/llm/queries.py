@@ -144,5 +144,17 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxic_documents
+
+    return toxic_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup}
 ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL}
