@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import squeeze
+
 ID, TEXT, REST = "__id", "__text", "__rest"
 
 
@@ -69,6 +73,31 @@ def unpacked(df: DataFrame, like: DataFrame, text_col: str, text: Column | str =
     return df.select(*cols, *(c.alias(k) for k, c in extra.items()))
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (ID, REST, "p", "q")), squeeze(batch.column(TEXT))], [ID, REST, "p", "q", "z"])
+
+
+def dealt_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, rest, z, copy) of each row, partitioned by the id alone.
+
+    ``z`` is the compressed text; ``copy`` says that a smaller id has the same
+    text, by two 64-bit hashes of it.  Joins by id find the texts in place, so
+    one exchange of them serves a whole plan.  The hashes are compared in a
+    form that is no join key, and a left join without filters keeps Catalyst
+    from pushing anything below the exchange that would keep it from reuse.
+    """
+    rows = packed(docs, id_col, text_col)
+    hashes = (F.xxhash64(TEXT).alias("p"), F.xxhash64(F.lit("+"), TEXT).alias("q"))
+    narrow = rows.where(F.col(ID).isNotNull()).select(F.col(ID).alias("i"), *hashes)
+    first = narrow.groupBy("p", "q").agg(F.min("i").alias("first"))
+    known = narrow.distinct().join(first, ["p", "q"]).select("i", F.col("p").alias("kp"), F.col("q").alias("kq"), "first")
+    keyed = rows.select(ID, TEXT, REST, *hashes)
+    texts = keyed.mapInArrow(_squeezed, keyed.select(ID, REST, "p", "q").schema.add("z", "binary"))
+    same = F.col("p").bitwiseXOR(F.col("kp")).bitwiseOR(F.col("q").bitwiseXOR(F.col("kq"))) == 0
+    return texts.join(known, (F.col(ID) == F.col("i")) & same, "left").select(ID, REST, "z", (F.col("first") < F.col(ID)).alias("copy"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, REST, TEXT, packed, unpacked
-from .textkernel import Words, mix, prefix_sums, run_hash, sliding_min, steps
+from .common import ID, REST, TEXT, dealt_by_id, unpacked
+from .textkernel import Words, mix, prefix_sums, run_hash, sliding_min, squeezed_steps
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
@@ -92,7 +92,7 @@ def _level_rows(lengths: list[int], level: int):
             ids = batch.column(ID).to_numpy(zero_copy_only=False)
             if level:
                 values, at = _lists(batch.column("keys"))
-            for a, b, data, offsets in steps(batch.column(TEXT)):
+            for a, b, data, offsets in squeezed_steps(batch.column("z")):
                 w = _Windows(data, offsets, window)
                 doc, keys = w.doc, w.level(lengths[level])
                 check = w.check() if level == len(lengths) - 1 else None
@@ -122,7 +122,7 @@ def _cut(window: int):
         for batch in batches:
             copy = batch.column("copy").fill_null(False).to_numpy(zero_copy_only=False)
             values, at = _lists(batch.column("keys"))
-            for a, b, data, offsets in steps(batch.column(TEXT)):
+            for a, b, data, offsets in squeezed_steps(batch.column("z")):
                 w = _Windows(data, offsets, window)
                 words = w.words
                 of = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
@@ -178,17 +178,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, id_col: st
     if window < 1 or base < 1:
         raise ValueError("window and base must be positive")
     lengths = ladder(window, base)
-    rows = packed(docs, id_col, text_col)
-    print_ = (F.xxhash64(TEXT).alias("p"), F.xxhash64(F.lit("+"), TEXT).alias("q"))
-    narrow = rows.where(F.col(ID).isNotNull()).select(F.col(ID).alias("i"), *print_)
-    first = narrow.groupBy("p", "q").agg(F.min("i").alias("first"))
-    known = narrow.distinct().join(first, ["p", "q"]).select("i", "p", "q", "first")
-    keyed = rows.select("*", *print_)
-    # dealt out by the id alone, so that every later join by id finds the texts in place;
-    # the hashes are compared in a form that is no join key
-    same = keyed["p"].bitwiseXOR(known["p"]).bitwiseOR(keyed["q"].bitwiseXOR(known["q"])) == 0
-    full = keyed.join(known, (keyed[ID] == known["i"]) & same, "left").select(ID, TEXT, REST, (F.col("first") < F.col(ID)).alias("copy"))
-
+    full = dealt_by_id(docs, id_col, text_col)
     # Every branch reads all columns of ``full`` by left joins without filters that
     # Catalyst could push below its exchange, so the texts are dealt out once and reused.
     keys = None
@@ -203,6 +193,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, id_col: st
         keys = kept.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
     out = full.join(keys.withColumnRenamed("id", "k"), F.col(ID) == F.col("k"), "left")
-    schema = out.select(REST, TEXT).schema.add("n_words", "long").add("n_removed", "long").add("removed", SPANS)
+    schema = out.select(REST, F.lit("").alias(TEXT)).schema.add("n_words", "long").add("n_removed", "long").add("removed", SPANS)
     cut = out.mapInArrow(_cut(window), schema)
     return unpacked(cut, docs, text_col, extra={c: F.col(c) for c in ("n_words", "n_removed", "removed")})

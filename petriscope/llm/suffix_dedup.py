@@ -28,15 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, REST, TEXT, packed, unpacked, written
-from .textkernel import _BYTE_VALUE, mix, prefix_sums, run_hash, sliding_min, squeeze, squeezed_steps
+from .common import ID, REST, TEXT, dealt_by_id, unpacked, written
+from .textkernel import _BYTE_VALUE, mix, prefix_sums, run_hash, sliding_min, squeezed_steps
 
 GRAM = 24
 #: Text of one kernel step: its arrays stay in the processor's cache.
 STEP = 1 << 18
 #: Bytes of contexts in a shard, about, and contexts of one gram in a shard at most, about.
 SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 2048
-#: Shards that one shuffle deals with at most; more shards share a task.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -162,11 +161,6 @@ def kasai(text: np.ndarray, context: np.ndarray, start: np.ndarray, order: np.nd
     return out[order]
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (ID, REST, "p", "q")), squeeze(batch.column(TEXT))], [ID, REST, "p", "q", "z"])
-
-
 def _grams(length: int):
     """mapInArrow: (key, id) for each run."""
 
@@ -335,16 +329,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
-    rows = packed(docs, id_col, text_col)
-    hashes = (F.xxhash64(TEXT).alias("p"), F.xxhash64(F.lit("+"), TEXT).alias("q"))
-    narrow = rows.where(F.col(ID).isNotNull()).select(F.col(ID).alias("i"), *hashes)
-    first = narrow.groupBy("p", "q").agg(F.min("i").alias("first"))
-    known = narrow.distinct().join(first, ["p", "q"]).select("i", F.col("p").alias("kp"), F.col("q").alias("kq"), "first")
-    keyed = rows.select(ID, TEXT, REST, *hashes)
-    squeezed = keyed.mapInArrow(_squeeze, keyed.select(ID, REST, "p", "q").schema.add("z", "binary"))
-    same = F.col("p").bitwiseXOR(F.col("kp")).bitwiseOR(F.col("q").bitwiseXOR(F.col("kq"))) == 0
-    full = squeezed.join(known, (F.col(ID) == F.col("i")) & same, "left").select(ID, REST, "z", (F.col("first") < F.col(ID)).alias("copy"))
-
+    full = dealt_by_id(docs, id_col, text_col)
     found = full.mapInArrow(_grams(length), "key long, id long")
     again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = found.join(again, "key").groupBy("id").agg(F.collect_set("key").alias("keys")).withColumnRenamed("id", "k")
