@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once.
+
+    Inside a lambda, an outer expression would be computed for every element:
+    the optimizer moves it there, as it stands there only once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dedup_points(p: Column) -> Column:
     """Sorted by x, then y; repeated points once."""
     return F.array_sort(F.array_distinct(p))
@@ -21,8 +30,12 @@ def mean_point(p: Column) -> tuple[Column, Column]:
 def order_points(p: Column, decimals: int = 9) -> Column:
     """By descending angle around the mean, nearer ones first; angles are compared to ``decimals`` places."""
     cx, cy = mean_point(p)
-    keyed = F.transform(p, lambda q: F.struct((-F.round(F.atan2(q["y"] - cy, q["x"] - cx), decimals)).alias("a"), F.round(F.pow(q["x"] - cx, F.lit(2)) + F.pow(q["y"] - cy, F.lit(2)), decimals).alias("d"), q["x"].alias("x"), q["y"].alias("y")))
-    return F.transform(F.array_sort(keyed), lambda k: F.struct(k["x"].alias("x"), k["y"].alias("y")))
+
+    def keyed(m: Column) -> Column:
+        dx, dy = lambda q: q["x"] - m["x"], lambda q: q["y"] - m["y"]
+        return F.transform(p, lambda q: F.struct((-F.round(F.atan2(dy(q), dx(q)), decimals)).alias("a"), F.round(F.pow(dx(q), F.lit(2)) + F.pow(dy(q), F.lit(2)), decimals).alias("d"), q["x"].alias("x"), q["y"].alias("y")))
+
+    return F.transform(F.array_sort(let(F.struct(cx.alias("x"), cy.alias("y")), keyed)), lambda k: F.struct(k["x"].alias("x"), k["y"].alias("y")))
 
 
 def shifted(p: Column) -> Column:
@@ -68,15 +81,23 @@ def xywh(box: Column) -> Column:
 
 def radii(p: Column, cx: Column, cy: Column) -> tuple[Column, Column, Column]:
     """Least distance from a point to the edges; largest and mean distance to the corners."""
-    away = F.transform(p, lambda q: F.sqrt(F.pow(q["x"] - cx, F.lit(2)) + F.pow(q["y"] - cy, F.lit(2))))
+    both = let(F.struct(cx.alias("x"), cy.alias("y")), lambda m: F.struct(_edge_gap(p, m).alias("edge"), _away(p, m).alias("away")))
+    away = both["away"]
+    return both["edge"], F.array_max(away), F.aggregate(away, F.lit(0.0), lambda s, x: s + x) / F.size(p)
+
+
+def _away(p: Column, m: Column) -> Column:
+    return F.transform(p, lambda q: F.sqrt(F.pow(q["x"] - m["x"], F.lit(2)) + F.pow(q["y"] - m["y"], F.lit(2))))
+
 
+def _edge_gap(p: Column, m: Column) -> Column:
     def edge(a: Column, b: Column) -> Column:
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
         size = dx * dx + dy * dy
-        t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((cx - a["x"]) * dx + (cy - a["y"]) * dy) / size))).otherwise(0.0)
-        return F.sqrt(F.pow(cx - a["x"] - t * dx, F.lit(2)) + F.pow(cy - a["y"] - t * dy, F.lit(2)))
+        t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((m["x"] - a["x"]) * dx + (m["y"] - a["y"]) * dy) / size))).otherwise(0.0)
+        return F.sqrt(F.pow(m["x"] - a["x"] - t * dx, F.lit(2)) + F.pow(m["y"] - a["y"] - t * dy, F.lit(2)))
 
-    return F.array_min(F.zip_with(p, shifted(p), edge)), F.array_max(away), F.aggregate(away, F.lit(0.0), lambda s, x: s + x) / F.size(p)
+    return F.array_min(F.zip_with(p, shifted(p), edge))
 
 
 def max_feret(p: Column) -> Column:
