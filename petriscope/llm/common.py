@@ -74,8 +74,10 @@ def unpacked(df: DataFrame, like: DataFrame, text_col: str, text: Column | str =
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (ID, REST, "p", "q")), squeeze(batch.column(TEXT))], [ID, REST, "p", "q", "z"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, 500):  # few texts at a time are Python objects
+            batch = whole.slice(k, 500)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (ID, REST, "p", "q")), squeeze(batch.column(TEXT))], [ID, REST, "p", "q", "z"])
 
 
 def dealt_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

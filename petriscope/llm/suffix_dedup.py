@@ -162,7 +162,7 @@ def kasai(text: np.ndarray, context: np.ndarray, start: np.ndarray, order: np.nd
 
 
 def _grams(length: int):
-    """mapInArrow: (key, id) for each run."""
+    """mapInArrow: (key, id, number of runs), so that a gram repeated in a text is one row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,11 @@ def _grams(length: int):
             for a, b, data, offsets in squeezed_steps(batch.column("z"), STEP):
                 start, _, key = runs(data, offsets, length)
                 doc = np.searchsorted(offsets, start, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][doc].astype(np.int64))], ["key", "id"])
+                order = np.lexsort((key, doc))
+                key, doc = key[order], doc[order]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
+                n = np.diff(np.r_[new, len(key)])
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[a:b][doc[new]].astype(np.int64)), pa.array(n)], ["key", "id", "n"])
 
     return rows
 
@@ -330,9 +334,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     full = dealt_by_id(docs, id_col, text_col)
-    found = full.mapInArrow(_grams(length), "key long, id long")
-    again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = found.join(again, "key").groupBy("id").agg(F.collect_set("key").alias("keys")).withColumnRenamed("id", "k")
+    found = full.mapInArrow(_grams(length), "key long, id long, n long")
+    again = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    keys = found.select("key", "id").join(again, "key").groupBy("id").agg(F.collect_set("key").alias("keys")).withColumnRenamed("id", "k")
     ctx = written(full.join(keys, F.col(ID) == F.col("k"), "left").mapInArrow(_contexts(length), CONTEXT), "contexts")
 
     live = ctx.where(~F.col("again"))
