@@ -5,13 +5,15 @@ document by n-gram incidence A.  It is taken in blocks, and two bounds that
 follow from set sizes alone decide which pairs are formed at all:
 
 * Columns (n-grams) are split by hash into m blocks, m set by a document's
-  size class.  Linked documents differ in at most d n-grams, d known from the
-  smaller size, and m > d, so their rows agree completely in at least one
-  column block.  A pair whose rows agree in no block is never formed - sharing
-  one passage with thousands of documents forms no pair.  Documents of a few
+  size class.  Linked documents differ in at most d n-grams, d known from their
+  sizes, and m > d, so their rows agree completely in at least m - d column
+  blocks.  Blocks of up to ``LIGHT`` n-grams are left out where the others
+  suffice.  A pair whose rows agree in no block is never formed - sharing one
+  passage with thousands of documents forms hardly any - and one that agrees in
+  fewer than m - d is discarded before its rows are read.  Documents of a few
   n-grams use the classical prefix bound instead.
-* Formed pairs accumulate their overlap block by block and are discarded below
-  the size-derived bound.
+* Pairs that are left accumulate their overlap and are discarded below the
+  size-derived bound.
 
 Nothing emits all pairs of a group: rows that agree in a block are first
 multiplied with one row of it (a star), found links merge into components, and
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -37,6 +39,8 @@ from .textkernel import LOWER, Words, mix, prefix_sums, run_hash, steps
 SMALL = 24
 #: Each size class ends at this multiple of its start.
 CLASS_FACTOR = 1.5
+#: Column blocks of so many n-grams or fewer say little.
+LIGHT = 2
 #: Rows of a block in the exhaustive product, and columns multiplied at once.
 BLOCK, COLUMNS = 256, 4096
 
@@ -50,13 +54,18 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def _classes(percent: int, largest: int) -> list[tuple[int, int, int]]:
-    """(first size, blocks, d) of each size class up to one that holds ``largest``."""
+def _differ(size, percent: int):
+    """n-grams in which a set of this size differs from any linked one, at most."""
+    return size * (100 - percent) // percent
+
+
+def _classes(percent: int, largest: int) -> list[tuple[int, int]]:
+    """(first size, column blocks) of each size class, up to one that holds ``largest``."""
     out, start = [], SMALL
     while True:
         end = math.ceil(start * CLASS_FACTOR)
-        d = (end - 1) * (100 - percent) // percent
-        out.append((start, d + 2 + d // 50, d))
+        d = _differ(end - 1, percent)
+        out.append((start, d + 3 + d // 5))
         if end > largest:
             return out
         start = end
@@ -97,56 +106,97 @@ def _sizes(n: int, lower: bool):
     return rows
 
 
+def _of_class(c: int, m: int, percent: int, doc: np.ndarray, h: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document) of the column blocks of the chosen rows in one class, and each chosen row's light blocks."""
+    take = chosen[doc]
+    doc, h = doc[take], h[take]
+    docs = np.flatnonzero(chosen)
+    place = np.cumsum(chosen) - 1
+    block = ((mix(h, 20 + c) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    cell = place[doc] * m + block
+    total = np.zeros(len(docs) * m, np.uint64)
+    np.add.at(total, cell, mix(h, 3))
+    light = np.bincount(cell, minlength=len(total)) <= LIGHT
+    n_light = light.reshape(-1, m).sum(1)
+    # if all agreeing blocks of a pair can be light, both of its rows give light blocks too
+    use = np.flatnonzero(~light | np.repeat(n_light >= m - _differ(size[docs], percent), m))
+    tag = (use % m + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    return mix(total[use] + tag, 40 + c), docs[use // m], n_light
+
+
+def _all_signatures(doc: np.ndarray, h: np.ndarray, docs: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, class) of rows sorted by document; class -1 is a prefix."""
+    size = np.bincount(doc, minlength=docs)
+    small = (size > 0) & (size <= (SMALL - 1) * 100 // percent)
+    rank = np.arange(len(doc)) - np.r_[0, np.cumsum(size)][:-1][doc]
+    prefix = size - -(-percent * size // 100) + 1
+    take = small[doc] & (rank < prefix[doc])
+    out = [(mix(h[take], 11), doc[take], np.full(take.sum(), -1))]
+    for c, m, chosen in _places(size, percent):
+        sig, at, _ = _of_class(c, m, percent, doc, h, size, chosen)
+        out.append((sig, at, np.full(len(sig), c)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+
+
+def _places(size: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(class, blocks, rows) - a row is in its own class, and in the one below if a linked set can be there."""
+    table = _classes(percent, int(size.max(initial=0)))
+    firsts = np.array([x[0] for x in table])
+    own = np.searchsorted(firsts, size, "right") - 1
+    for c, (_, m) in enumerate(table):
+        chosen = own == c
+        if c + 1 < len(table):
+            chosen |= (own == c + 1) & (size <= (firsts[c + 1] - 1) * 100 // percent)
+        if chosen.any():
+            yield c, m, chosen
+
+
 def _signatures(n: int, lower: bool, percent: int):
     """mapInArrow: (sig, id), one for each column block of a row, or each n-gram of its prefix."""
 
-    def of_class(c: int, m: int, d: int, doc: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        take = chosen[doc]
-        doc, h = doc[take], h[take]
-        docs = np.flatnonzero(chosen)
-        place = np.cumsum(chosen) - 1
-        block = ((mix(h, 20 + c) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        cell = place[doc] * m + block
-        total = np.zeros(len(docs) * m, np.uint64)
-        np.add.at(total, cell, mix(h, 3))
-        filled = np.bincount(cell, minlength=len(total)) > 0
-        # if all agreeing blocks of a pair can be empty, both rows give empty blocks too
-        many_empty = (~filled).reshape(-1, m).sum(1) >= m - d
-        use = np.flatnonzero(filled | np.repeat(many_empty, m))
-        with np.errstate(over="ignore"):
-            tag = (use % m + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        return mix(total[use] + tag, 40 + c), docs[use // m]
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, doc, h in _sets(batch, n, lower):
-                size = np.bincount(doc, minlength=b - a)
-                sigs, docs = [], []
-                small = (size > 0) & (size <= (SMALL - 1) * 100 // percent)
-                start = np.r_[0, np.cumsum(size)][:-1]
-                rank = np.arange(len(doc)) - start[doc]
-                prefix = size - -(-percent * size // 100) + 1
-                take = small[doc] & (rank < prefix[doc])
-                sigs.append(mix(h[take], 11))
-                docs.append(doc[take])
-                table = _classes(percent, int(size.max(initial=0)))
-                firsts = np.array([x[0] for x in table])
-                own = np.searchsorted(firsts, size, "right") - 1
-                for c, (_, m, d) in enumerate(table):
-                    chosen = own == c
-                    if c + 1 < len(table):  # larger sets that a set of this class can reach
-                        chosen |= (own == c + 1) & (size <= (firsts[c + 1] - 1) * 100 // percent)
-                    if chosen.any():
-                        s, at = of_class(c, m, d, doc, h, chosen)
-                        sigs.append(s)
-                        docs.append(at)
-                sig, at = np.concatenate(sigs), np.concatenate(docs)
+                sig, at, _ = _all_signatures(doc, h, b - a, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[a:b][at])], ["sig", "id"])
 
     return rows
 
 
+def _candidate_signatures(percent: int):
+    """mapInArrow over sets: (sig, rep, size, class)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                doc, h = _flat(batch.column("grams"))
+                size = np.bincount(doc, minlength=len(ids))
+                sig, at, c = _all_signatures(doc, h, len(ids), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[at]), pa.array(size[at]), pa.array(c.astype(np.int64))], ["sig", "rep", "size", "class"])
+
+    return rows
+
+
+def _light_blocks(percent: int):
+    """mapInArrow over sets: (id, class, blocks, light ones) of each class a row is in."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                doc, h = _flat(batch.column("grams"))
+                size = np.bincount(doc, minlength=len(ids))
+                for c, m, chosen in _places(size, percent):
+                    light = _of_class(c, m, percent, doc, h, size, chosen)[2]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[chosen]), pa.array(np.full(len(light), c)), pa.array(np.full(len(light), m)), pa.array(light.astype(np.int64))], ["id", "class", "blocks", "light"])
+
+    return rows
+
+
 def _set_rows(n: int, lower: bool):
     """mapInArrow: (id, sorted n-gram hashes)."""
 
@@ -248,26 +298,35 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
 
     found = rows.where("id is not null").mapInArrow(_signatures(n, lower, percent), "sig long, id long")
     again = found.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
-    members = found.join(again, "sig").join(rep_of, "id").select("sig", "rep", "size").distinct()
-    members = written(members, "members")
+    members = found.join(again, "sig").join(rep_of.select("id", "rep"), "id").select("sig", "rep").distinct()
     mixed = members.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("sig")
     members = written(members.join(mixed, "sig"), "members")
 
     wanted = members.select(F.col("rep").alias("id")).distinct()
     grams = written(rows.join(wanted, "id").dropDuplicates(["id"]).mapInArrow(_set_rows(n, lower), "id long, grams array<long>"), "grams")
+    own = grams.mapInArrow(_candidate_signatures(percent), "sig long, rep long, size long, class long")
+    members = written(own.join(members.select("sig").distinct(), "sig", "left_semi").distinct(), "members")
+    light = written(grams.mapInArrow(_light_blocks(percent), "id long, class long, blocks long, light long"), "light")
 
     def star(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select("a", "b").distinct()
+        """Links among pairs (a, b, sa, sb): those that agree in enough column blocks, then by their overlap."""
+        near = pairs.where(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select("a", "b", "sa", "sb").distinct()
+        agree = near.join(members.select(F.col("rep").alias("a"), "sig", "class"), "a").join(members.select(F.col("rep").alias("b"), "sig", "class"), ["b", "sig", "class"]).groupBy("a", "b", "sa", "sb", "class").agg(F.count("*").alias("n"))
+        side = lambda c: light.select(F.col("id").alias(c), "class", "blocks", F.col("light").alias(f"light_{c}"))
+        known = agree.join(side("a"), ["a", "class"], "left").join(side("b").drop("blocks"), ["b", "class"], "left")
+        differ = F.floor((F.col("sa") + F.col("sb")) * (100 - percent) / (100 + percent))
+        enough = (F.col("class") < 0) | (F.col("n") >= F.col("blocks") - differ - F.least("light_a", "light_b"))
+        near = known.where(enough).select("a", "b").distinct()
         full = near.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         return written(full.select("a", "b", "ga", "gb").mapInArrow(_star_links(percent), "a long, b long"), "links")
 
-    def around(of: DataFrame, order) -> DataFrame:
-        center = of.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("c"), F.col("size").alias("sb"), *([F.col("comp").alias("cc")] if "comp" in of.columns else []))).alias("m")).select("sig", "m.*")
-        both = of.join(center, "sig").where("rep <> c" if "comp" not in of.columns else "comp <> cc")
-        return both.select(F.col("rep").alias("a"), F.col("c").alias("b"), F.col("size").alias("sa"), "sb")
+    def around(of: DataFrame, order: Column, comp: Column) -> DataFrame:
+        """Pairs of each row with the row of least ``order`` in its group, if that is in another component."""
+        center = of.groupBy("sig").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("size").alias("sb"), comp.alias("other")), order).alias("m")).select("sig", "m.*")
+        return of.join(center, "sig").where(comp != F.col("other")).select(F.col("rep").alias("a"), "b", F.col("size").alias("sa"), "sb")
 
-    links = star(around(members, F.col("rep")))
-    for round_ in range(4):
+    links = star(around(members, F.col("rep"), F.col("rep")))
+    for round_ in range(3):
         comp = components(links)
         labelled = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "size", F.coalesce("component", "rep").alias("comp"))
         open_ = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("lo < hi")
@@ -275,8 +334,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
         labelled = written(labelled.join(open_, "sig"), "open")
         if labelled.isEmpty():
             break
-        if round_ < 3:
-            links = links.unionByName(star(around(labelled, F.xxhash64("sig", "rep", F.lit(round_)))))
+        if round_ < 2:
+            links = links.unionByName(star(around(labelled, F.xxhash64("sig", "rep", F.lit(round_)), F.col("comp"))))
     else:
         links = links.unionByName(_exhaustive(labelled, grams, percent))
         comp = components(links)
