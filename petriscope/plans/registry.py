@@ -362,3 +362,110 @@ def mask_to_boxes(spark, sf):
 def unpivot_measure(spark, sf):
     s = T.gray(spark, sf).groupBy("image").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     return s.unpivot(["image"], ["lo", "hi"], "name", "value")
+
+
+# --- array kernels ----------------------------------------------------------
+
+
+def _mask_images(spark, sf, threshold: int = 40) -> DataFrame:
+    from .verbs import image_of
+
+    on = lambda v: (v > threshold).cast("int")
+    return T.gray_images(spark, sf).select(F.col("image").cast("string").alias("image"), image_of(F.transform("pixels", on), 8, 8).alias("im"))
+
+
+def _gray_structs(spark, sf) -> DataFrame:
+    from .verbs import image_of
+
+    return T.gray_images(spark, sf).select(F.col("image").cast("string").alias("image"), image_of(F.transform("pixels", lambda v: F.least(v, F.lit(255))), 8, 8).alias("im"))
+
+
+@query("mask_relabel_cc", f"""WITH RECURSIVE {T.GRAY_SQL}, on_ AS MATERIALIZED (SELECT image, x, y, y * 8 + x AS k FROM px WHERE v > 40),
+nb AS MATERIALIZED (SELECT a.image, a.k, b.k AS l FROM on_ a JOIN on_ b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT image, k, l FROM nb UNION SELECT r.image, r.k, n.l FROM reach r JOIN nb n ON n.image = r.image AND n.k = r.l)
+SELECT CAST(image AS VARCHAR) AS image, k, min(l) AS component FROM reach GROUP BY image, k""")
+def mask_relabel_cc(spark, sf):
+    import pandas as pd
+
+    def rows(batches):
+        import numpy as np
+
+        from petriscope.operators.kernels import connected_components
+        from petriscope.sources.codecs import unpack_image
+
+        for batch in batches:
+            out = []
+            for image, im in batch.itertuples(index=False, name=None):
+                flat = connected_components(unpack_image(im)[:, :, 0]).ravel()
+                at = np.flatnonzero(flat)
+                names, first = np.unique(flat[at], return_index=True)
+                out += [(image, int(k), int(at[first][np.searchsorted(names, flat[k])])) for k in at]
+            yield pd.DataFrame(out, columns=["image", "k", "component"])
+
+    return _mask_images(spark, sf).mapInPandas(rows, "image string, k int, component int")
+
+
+@query("mask_to_polygons")
+def mask_to_polygons(spark, sf):
+    from .verbs import mask_to_polygons as run
+
+    return run(_mask_images(spark, sf)).select("image", "object", "label", "poly")
+
+
+@query("profile_mask")
+def profile_mask(spark, sf):
+    from .verbs import profile
+
+    return profile(_gray_structs(spark, sf).join(_mask_images(spark, sf).withColumnRenamed("im", "mask"), "image"), "mask", "pcfbm")
+
+
+@query("process_mask")
+def process_mask(spark, sf):
+    from .verbs import process
+
+    out = process(_gray_structs(spark, sf).join(_mask_images(spark, sf).withColumnRenamed("im", "mask"), "image"), "mask", "cmfb")
+    return out.select("image", "object", "part", "im.width", "im.height", F.crc32("im.data").alias("crc"))
+
+
+def _measured(family: str, columns: tuple[str, ...], source):
+    def run(spark, sf):
+        from .verbs import measure
+
+        return measure(source(spark, sf), family).select("image", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in columns))
+
+    return run
+
+
+query("measure_intensity")(_measured("intensity", ("intensity_min", "intensity_max", "intensity_mean", "intensity_median"), _gray_structs))
+query("measure_moments")(_measured("moments", ("moments_m00", "moments_m10", "moments_m01"), _gray_structs))
+query("measure_texture")(_measured("texture", TEXTURE, _gray_structs))
+query("measure_zernike")(_measured("zernike", tuple(f"zernike_{n}{m}" for n, m in ZERNIKE_ORDERS), _gray_structs))
+
+
+@query("measure_form")
+def measure_form(spark, sf):
+    from .verbs import measure_form as run
+
+    return run(T.polygons(spark, sf).select(F.col("object").cast("string").alias("image"), F.array("poly").alias("polygons")))
+
+
+@query("profile_boxes")
+def profile_boxes(spark, sf):
+    from .verbs import profile
+
+    box = F.struct(*(F.lit(float(v)).alias(c) for c, v in (("x_min", 2), ("y_min", 2), ("x_max", 5), ("y_max", 4))))
+    return profile(_gray_structs(spark, sf).withColumn("boxes", F.array(box)), "boxes", "cx")
+
+
+@query("resize_general")
+def resize_general(spark, sf):
+    import pandas as pd
+
+    def rows(batches):
+        from petriscope.operators.kernels import resize
+        from petriscope.sources.codecs import unpack_image
+
+        for batch in batches:
+            yield pd.DataFrame([(i, resize(unpack_image(im), 12, 10, "corner").ravel().tolist()) for i, im in batch.itertuples(index=False, name=None)], columns=["image", "pixels"])
+
+    return _gray_structs(spark, sf).mapInPandas(rows, "image string, pixels array<int>")
