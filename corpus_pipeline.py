@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petriscope.llm.common import written
+from petriscope.llm.common import join_ids, written
 from petriscope.llm.decontamination import decontaminate
 from petriscope.llm.ngram_jaccard import ngram_jaccard
 from petriscope.llm.packing import pack
@@ -29,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words, and rows with a null id, are in no group and stay.
     """
     groups = ngram_jaccard(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return join_ids(docs, "doc_id", groups.where("component_id <> doc_id").select("doc_id").distinct(), "left_anti")
 
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .textkernel import squeeze
 
+#: Ids that a broadcast holds at most (about 16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 ID, TEXT, REST = "__id", "__text", "__rest"
 
 
@@ -52,6 +54,17 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def join_ids(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    """``df`` joined (left_semi or left_anti) with one column of distinct ids.
+
+    The ids are counted: up to ``BROADCAST_IDS`` they are broadcast and
+    ``df``, with its texts, stays where it is; beyond, both sides are shuffled.
+    """
+    ids = written(ids.toDF("__key"), "ids")
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, F.col(f"`{column}`") == F.col("__key"), how)
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id long, text, all other columns in one struct), under names that no input column has.
 

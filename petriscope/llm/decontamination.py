@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_ids
+
 #: Fixed masks: cared-for positions of 12 consecutive words.
 MASKS = (
     (0, 1, 3, 4, 6, 8, 9, 11),
@@ -95,5 +97,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Documents with a null id can't be named and stay.
     """
-    bad = contaminated(docs, benchmark, id_col=id_col, **parameters).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("__bad"), "left_anti")
+    bad = contaminated(docs, benchmark, id_col=id_col, **parameters).where("doc_id is not null").select("doc_id").distinct()
+    return join_ids(docs, id_col, bad, "left_anti")

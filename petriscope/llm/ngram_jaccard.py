@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, join_ids, written
 from .textkernel import LOWER, Words, mix, prefix_sums, run_hash, steps
 
 #: Sets below this size use the prefix bound.
@@ -303,7 +303,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     members = written(members.join(mixed, "sig"), "members")
 
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    grams = written(rows.join(wanted, "id").dropDuplicates(["id"]).mapInArrow(_set_rows(n, lower), "id long, grams array<long>"), "grams")
+    grams = written(join_ids(rows, "id", wanted, "left_semi").mapInArrow(_set_rows(n, lower), "id long, grams array<long>").dropDuplicates(["id"]), "grams")
     own = grams.mapInArrow(_candidate_signatures(percent), "sig long, rep long, size long, class long")
     members = written(own.join(members.select("sig").distinct(), "sig", "left_semi").distinct(), "members")
     light = written(grams.mapInArrow(_light_blocks(percent), "id long, class long, blocks long, light long"), "light")
