@@ -306,12 +306,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     grams = written(join_ids(rows, "id", wanted, "left_semi").mapInArrow(_set_rows(n, lower), "id long, grams array<long>").dropDuplicates(["id"]), "grams")
     own = grams.mapInArrow(_candidate_signatures(percent), "sig long, rep long, size long, class long")
     members = written(own.join(members.select("sig").distinct(), "sig", "left_semi").distinct(), "members")
+    # groups of the same rows are one group, with the number of column blocks it stands for
+    total = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(38,0)"))
+    same = members.groupBy("sig", "class").agg(F.count("*").alias("g"), total(1).alias("who"), total(2).alias("too")).groupBy("class", "g", "who", "too").agg(F.min("sig").alias("sig"), F.count("*").alias("w"))
+    members = written(members.join(same.select("sig", "w"), "sig"), "members")
     light = written(grams.mapInArrow(_light_blocks(percent), "id long, class long, blocks long, light long"), "light")
 
     def star(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b, sa, sb): those that agree in enough column blocks, then by their overlap."""
         near = pairs.where(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select("a", "b", "sa", "sb").distinct()
-        agree = near.join(members.select(F.col("rep").alias("a"), "sig", "class"), "a").join(members.select(F.col("rep").alias("b"), "sig", "class"), ["b", "sig", "class"]).groupBy("a", "b", "sa", "sb", "class").agg(F.count("*").alias("n"))
+        agree = near.join(members.select(F.col("rep").alias("a"), "sig", "class", "w"), "a").join(members.select(F.col("rep").alias("b"), "sig", "class"), ["b", "sig", "class"]).groupBy("a", "b", "sa", "sb", "class").agg(F.sum("w").alias("n"))
         side = lambda c: light.select(F.col("id").alias(c), "class", "blocks", F.col("light").alias(f"light_{c}"))
         known = agree.join(side("a"), ["a", "class"], "left").join(side("b").drop("blocks"), ["b", "class"], "left")
         differ = F.floor((F.col("sa") + F.col("sb")) * (100 - percent) / (100 + percent))
@@ -329,13 +333,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     for round_ in range(3):
         comp = components(links)
         labelled = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-        open_ = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-        open_ = open_.groupBy("who", "g").agg(F.min("sig").alias("sig")).select("sig")  # groups of the same rows are one group
+        open_ = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
         labelled = written(labelled.join(open_, "sig"), "open")
         if labelled.isEmpty():
             break
         if round_ < 2:
-            links = links.unionByName(star(around(labelled, F.xxhash64("sig", "rep", F.lit(round_)), F.col("comp"))))
+            links = links.unionByName(star(around(labelled, F.xxhash64("rep", F.lit(round_)), F.col("comp"))))
     else:
         links = links.unionByName(_exhaustive(labelled, grams, percent))
         comp = components(links)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from functools import lru_cache
 from itertools import combinations
 
 import duckdb
@@ -20,6 +21,7 @@ def prose(n):
     return " ".join(rng.choice(VOCABULARY, n))
 
 
+@lru_cache
 def corpus():
     shared, near, out = prose(60), prose(120), []
     for k in range(12):
@@ -225,7 +227,7 @@ def test_packing(spark, docs):
         assert all(zlib.crc32(x) == c for x, c in zip(own["ids"], own["ids_crc32"], strict=True))
     for _, s in out.sort_values("offset").groupby("sequence_id"):
         assert s["offset"].tolist() == np.r_[0, np.cumsum(s["length"])][:-1].tolist() and s["length"].sum() <= 64
-    assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 64) + 2
+    assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 64) + 4
     assert pack(df.limit(0)).count() == 0
 
 
@@ -253,7 +255,7 @@ def test_decontamination(spark):
 def test_chat(spark):
     from petriscope.llm.chat import CONTROL, format_trees, paths, read_back
 
-    ugly = "".join(CONTROL) + "\;" + "\\" + CONTROL[0][:-1] + "\\\;<|turn|"
+    ugly = "".join(CONTROL) + r"\;" + "\\" + CONTROL[0][:-1] + r"\\;<|turn|"
     rows = [(1, 1, None, "user", ugly, 0.0), (1, 2, 1, "assistant", ugly[::-1], 1.0), (1, 3, 1, "assistant", None, 5.0), (1, 4, 3, None, "end", None), (2, 1, 2, "user", "cycle", 0.0), (2, 2, 1, "user", "cycle", 0.0), (3, 5, 77, "assistant", "orphan", 0.0)]
     df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
     assert {(r.tree, r.leaf, r.node) for r in paths(df).collect()} == {(1, 2, 1), (1, 2, 2), (1, 4, 1), (1, 4, 3), (1, 4, 4), (3, 5, 5)}
