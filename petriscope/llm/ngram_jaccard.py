@@ -106,8 +106,11 @@ def _sizes(n: int, lower: bool):
     return rows
 
 
-def _of_class(c: int, m: int, percent: int, doc: np.ndarray, h: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, document) of the column blocks of the chosen rows in one class, and each chosen row's light blocks."""
+def _of_class(c: int, m: int, percent: int, doc: np.ndarray, h: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document) of the column blocks of the chosen rows in one class; each chosen row's light blocks, and its sketch.
+
+    A sketch has of every block a byte with its number of n-grams and two of its hash.
+    """
     take = chosen[doc]
     doc, h = doc[take], h[take]
     docs = np.flatnonzero(chosen)
@@ -116,12 +119,14 @@ def _of_class(c: int, m: int, percent: int, doc: np.ndarray, h: np.ndarray, size
     cell = place[doc] * m + block
     total = np.zeros(len(docs) * m, np.uint64)
     np.add.at(total, cell, mix(h, 3))
-    light = np.bincount(cell, minlength=len(total)) <= LIGHT
+    count = np.bincount(cell, minlength=len(total))
+    light = count <= LIGHT
+    sketch = np.stack([np.minimum(count, 255), *((total >> np.uint64(k)) & np.uint64(255) for k in (56, 48))], 1).astype(np.uint8).reshape(-1, 3 * m)
     n_light = light.reshape(-1, m).sum(1)
     # if all agreeing blocks of a pair can be light, both of its rows give light blocks too
     use = np.flatnonzero(~light | np.repeat(n_light >= m - _differ(size[docs], percent), m))
     tag = (use % m + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return mix(total[use] + tag, 40 + c), docs[use // m], n_light
+    return mix(total[use] + tag, 40 + c), docs[use // m], n_light, sketch
 
 
 def _all_signatures(doc: np.ndarray, h: np.ndarray, docs: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +138,7 @@ def _all_signatures(doc: np.ndarray, h: np.ndarray, docs: int, percent: int) ->
     take = small[doc] & (rank < prefix[doc])
     out = [(mix(h[take], 11), doc[take], np.full(take.sum(), -1))]
     for c, m, chosen in _places(size, percent):
-        sig, at, _ = _of_class(c, m, percent, doc, h, size, chosen)
+        sig, at, *_ = _of_class(c, m, percent, doc, h, size, chosen)
         out.append((sig, at, np.full(len(sig), c)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
@@ -181,7 +186,7 @@ def _candidate_signatures(percent: int):
 
 
 def _light_blocks(percent: int):
-    """mapInArrow over sets: (id, class, blocks, light ones) of each class a row is in."""
+    """mapInArrow over sets: (id, class, blocks, light ones, whether it is the row's own class, sketch) of each class a row is in."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -190,9 +195,12 @@ def _light_blocks(percent: int):
                 ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
                 doc, h = _flat(batch.column("grams"))
                 size = np.bincount(doc, minlength=len(ids))
+                firsts = np.array([x[0] for x in _classes(percent, int(size.max(initial=0)))])
                 for c, m, chosen in _places(size, percent):
-                    light = _of_class(c, m, percent, doc, h, size, chosen)[2]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[chosen]), pa.array(np.full(len(light), c)), pa.array(np.full(len(light), m)), pa.array(light.astype(np.int64))], ["id", "class", "blocks", "light"])
+                    *_, light, sketch = _of_class(c, m, percent, doc, h, size, chosen)
+                    own = np.searchsorted(firsts, size[chosen], "right") - 1 == c
+                    columns = [pa.array(ids[chosen]), pa.array(np.full(len(light), c)), pa.array(np.full(len(light), m)), pa.array(light.astype(np.int64)), pa.array(own), pa.array([x.tobytes() for x in sketch], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "class", "blocks", "light", "own", "sketch"])
 
     return rows
 
@@ -216,6 +224,30 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(size)), size), column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
 
+def _possible(percent: int):
+    """mapInArrow over pairs with both sketches: those that may differ in few enough n-grams.
+
+    A block whose hashes differ holds as many differences as its sizes differ
+    by, at least one, and at least two if its sizes are equal.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            sizes = batch.column("sa").to_numpy() + batch.column("sb").to_numpy()
+            for k, (x, y) in enumerate(zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)):
+                if x is None or y is None or len(x) != len(y):
+                    continue
+                p, q = (np.frombuffer(z, np.uint8).reshape(-1, 3).astype(np.int64) for z in (x, y))
+                gap = np.abs(p[:, 0] - q[:, 0])
+                other = (p[:, 1:] != q[:, 1:]).any(1)
+                least = np.where(gap > 0, gap, np.where(other, np.where(p[:, 0] < 255, 2, 1), 0)).sum()
+                keep[k] = least <= sizes[k] * (100 - percent) // (100 + percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return rows
+
+
 def _star_links(percent: int):
     """mapInArrow over pairs with both rows of the incidence: those at or above the bound."""
 
@@ -235,8 +267,9 @@ def _star_links(percent: int):
     return rows
 
 
-def block_product(doc_a: np.ndarray, col_a: np.ndarray, n_a: int, doc_b: np.ndarray, col_b: np.ndarray, n_b: int) -> np.ndarray:
-    """Overlap counts of two blocks of sparse 0/1 rows, a slice of columns at a time."""
+def block_product(doc_a: np.ndarray, col_a: np.ndarray, n_a: int, doc_b: np.ndarray, col_b: np.ndarray, n_b: int, weight_a: np.ndarray | int = 1) -> np.ndarray:
+    """Overlap counts of two blocks of sparse rows, a slice of columns at a time; ``weight_a`` counts a column more than once."""
+    weight_a = np.broadcast_to(weight_a, len(col_a))
     shared, a, b = np.intersect1d(col_a, col_b), None, None
     out = np.zeros((n_a, n_b), np.float32)
     ia, ib = np.searchsorted(shared, col_a), np.searchsorted(shared, col_b)
@@ -245,31 +278,37 @@ def block_product(doc_a: np.ndarray, col_a: np.ndarray, n_a: int, doc_b: np.ndar
     for k in range(0, len(shared), COLUMNS):
         a, b = np.zeros((n_a, COLUMNS), np.float32), np.zeros((n_b, COLUMNS), np.float32)
         x, y = ok_a & (ia >= k) & (ia < k + COLUMNS), ok_b & (ib >= k) & (ib < k + COLUMNS)
-        a[doc_a[x], ia[x] - k] = 1
+        a[doc_a[x], ia[x] - k] = weight_a[x]
         b[doc_b[y], ib[y] - k] = 1
         out += a @ b.T
     return out.astype(np.int64)
 
 
-def _block_links(percent: int):
-    """applyInArrow over one pair of row blocks: links between components, one per row and component."""
+def _block_pairs(percent: int):
+    """applyInArrow over one pair of row blocks: pairs of different components that agree in enough column blocks."""
 
-    def links(table: pa.Table) -> pa.Table:
+    def pairs(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         parts = []
         for s in (0, 1):
             t = table.filter(pa.array(side == s)).combine_chunks()
-            doc, col = _flat(t.column("grams").combine_chunks()) if t.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            parts.append((t.column("rep").to_numpy(), t.column("comp").to_numpy(), doc, col))
-        (ra, ca, da, ga), (rb, cb, db, gb) = parts[0], parts[1] if (side == 1).any() else parts[0]
-        count = block_product(da, ga, len(ra), db, gb, len(rb))
-        na, nb = np.bincount(da, minlength=len(ra)), np.bincount(db, minlength=len(rb))
-        ok = (count >= overlap_bound(na[:, None], nb[None, :], percent)) & (ca[:, None] != cb[None, :])
-        x, y = np.nonzero(ok)
-        _, first = np.unique(np.stack([ra[x], cb[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(ra[x[first]].astype(np.int64)), "b": pa.array(rb[y[first]].astype(np.int64))})
-
-    return links
+            if t.num_rows:
+                doc, sig = _flat(t.column("sigs").combine_chunks())
+                weight = _flat(t.column("ws").combine_chunks())[1].astype(np.float32)
+            else:
+                doc, sig, weight = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.float32)
+            parts.append((*(t.column(c).to_numpy() for c in ("rep", "comp", "size", "solid")), doc, sig, weight))
+        x, y = parts[0], parts[1] if (side == 1).any() else parts[0]
+        (ra, ca, sa, fa), (rb, cb, sb, fb) = x[:4], y[:4]
+        agree = block_product(x[4], x[5], len(ra), y[4], y[5], len(rb), x[6])
+        both = sa[:, None] + sb[None, :]
+        need = np.maximum(1, np.maximum(fa[:, None], fb[None, :]) - both * (100 - percent) // (100 + percent))
+        ok = (agree >= need) & (ca[:, None] != cb[None, :]) & (100 * np.minimum(sa[:, None], sb[None, :]) >= percent * np.maximum(sa[:, None], sb[None, :]))
+        i, j = np.nonzero(ok)
+        u, v = np.maximum(ra[i], rb[j]), np.minimum(ra[i], rb[j])
+        return pa.table({"a": pa.array(u.astype(np.int64)), "b": pa.array(v.astype(np.int64))})
+
+    return pairs
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +349,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     total = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(38,0)"))
     same = members.groupBy("sig", "class").agg(F.count("*").alias("g"), total(1).alias("who"), total(2).alias("too")).groupBy("class", "g", "who", "too").agg(F.min("sig").alias("sig"), F.count("*").alias("w"))
     members = written(members.join(same.select("sig", "w"), "sig"), "members")
-    light = written(grams.mapInArrow(_light_blocks(percent), "id long, class long, blocks long, light long"), "light")
+    light = written(grams.mapInArrow(_light_blocks(percent), "id long, class long, blocks long, light long, own boolean, sketch binary"), "light")
+
+    sizes_of = members.select("rep", "size").distinct()
 
     def star(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b, sa, sb): those that agree in enough column blocks, then by their overlap."""
@@ -320,7 +361,16 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
         known = agree.join(side("a"), ["a", "class"], "left").join(side("b").drop("blocks"), ["b", "class"], "left")
         differ = F.floor((F.col("sa") + F.col("sb")) * (100 - percent) / (100 + percent))
         enough = (F.col("class") < 0) | (F.col("n") >= F.col("blocks") - differ - F.least("light_a", "light_b"))
-        near = known.where(enough).select("a", "b").distinct()
+        return overlap(known.where(enough).select("a", "b").distinct())
+
+    def overlap(near: DataFrame) -> DataFrame:
+        """Links among pairs (a, b): those whose sketches allow it, by their overlap."""
+        sketch = lambda c: light.select(F.col("id").alias(c), F.col("class").alias("class"), F.col("own").alias(f"o{c}"), F.col("sketch").alias(f"k{c}"))
+        of = lambda c: sizes_of.select(F.col("rep").alias(c), F.col("size").alias(f"s{c}"))
+        sized = near.join(of("a"), "a").join(of("b"), "b")
+        # the class of the smaller set, which both rows are in; tiny sets have none
+        both = near.join(sketch("a"), "a").join(sketch("b"), ["b", "class"]).where("oa or ob").groupBy("a", "b").agg(F.max(F.struct("class", "ka", "kb")).alias("m")).select("a", "b", "m.ka", "m.kb")
+        near = sized.join(both, ["a", "b"], "left").mapInArrow(_possible(percent), "a long, b long")
         full = near.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         return written(full.select("a", "b", "ga", "gb").mapInArrow(_star_links(percent), "a long, b long"), "links")
 
@@ -332,7 +382,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     links = star(around(members, F.col("rep"), F.col("rep")))
     for round_ in range(3):
         comp = components(links)
-        labelled = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+        labelled = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "size", "class", F.coalesce("component", "rep").alias("comp"))
         open_ = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
         labelled = written(labelled.join(open_, "sig"), "open")
         if labelled.isEmpty():
@@ -340,7 +390,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
         if round_ < 2:
             links = links.unionByName(star(around(labelled, F.xxhash64("rep", F.lit(round_)), F.col("comp"))))
     else:
-        links = links.unionByName(_exhaustive(labelled, grams, percent))
+        links = links.unionByName(overlap(_exhaustive(labelled, members, light, percent)))
         comp = components(links)
 
     reached = rep_of.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("i"), "rep", F.coalesce("component", "rep").alias("component"))
@@ -354,12 +404,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     )
 
 
-def _exhaustive(labelled: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside each group, from products of row blocks.
+def _exhaustive(labelled: DataFrame, members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of a group that agree in enough column blocks, from products of row blocks.
 
-    The rows of a group's largest component are multiplied with the others
-    only, and the others with each other; so a hot group costs its size times
-    the few rows outside its main component.
+    What is multiplied are the rows' signatures, a hundred bytes a row.  The
+    rows of a group's largest component are multiplied with the others only,
+    and the others with each other; so a hot group costs its size times the few
+    rows outside its main component.
     """
     by_comp = labelled.groupBy("sig", "comp").agg(F.count("*").alias("k"))
     main = by_comp.groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("g"))
@@ -376,6 +427,8 @@ def _exhaustive(labelled: DataFrame, grams: DataFrame, percent: int) -> DataFram
         F.transform(F.filter(upto(F.col("others")), lambda j: j < block), lambda j: cell("o", j, block, 1)),
         F.array(cell("o", block, block, 0)),
     )
-    placed = m.select("sig", "rep", "comp", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)).alias("at")).select("sig", "rep", "comp", "at.*")
-    full = placed.join(grams.withColumnRenamed("id", "rep"), "rep")
-    return written(full.select("sig", "kind", "i", "j", "side", "rep", "comp", "grams").groupBy("sig", "kind", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "links")
+    placed = m.select("sig", "rep", "size", "comp", "class", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)).alias("at")).select("sig", "rep", "size", "comp", "class", "at.*")
+    rows = members.groupBy("rep", "class").agg(F.collect_list(F.struct("sig", "w")).alias("s")).select("rep", "class", F.col("s.sig").alias("sigs"), F.col("s.w").alias("ws"))
+    solid = light.select(F.col("id").alias("rep"), "class", (F.col("blocks") - F.col("light")).alias("solid"))
+    full = placed.join(rows.join(solid, ["rep", "class"], "left"), ["rep", "class"]).withColumn("solid", F.coalesce("solid", F.lit(0)))
+    return full.select("sig", "kind", "i", "j", "side", "rep", "size", "comp", "solid", "sigs", "ws").groupBy("sig", "kind", "i", "j").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
