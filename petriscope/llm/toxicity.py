@@ -27,7 +27,7 @@ BEGINNINGS = (4, 5)
 POSITIVE, NEGATIVE = 4000, 8000
 FOLDS = 5
 #: Standard errors by which a feature's log odds must differ from none, and rows that must have it.
-CLEAR, SUPPORT = 4.0, 3
+CLEAR, SUPPORT = 3.5, 3
 
 _BREAK = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 _SPACE = np.where(_BREAK, 0x20, LOWER).astype(np.uint8)
@@ -134,14 +134,21 @@ class Chain:
 
 
 def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The probability from which a row counts as positive: best F1 out of fold, in the middle of its gap."""
+    """The probability from which a row counts as positive: best F1 out of fold, in the middle of its gap.
+
+    Half of what it takes must be right out of fold; where no cut manages that,
+    there is nothing to go by and no row is positive.
+    """
     if not len(p) or not y.any():
         return 1.1
     order = np.argsort(-p, kind="stable")
     hit, all_ = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
     f1 = 2 * hit / (all_ + (weight * y).sum())
     last = np.r_[p[order][1:] < p[order][:-1], True]
-    k = int(np.where(last, f1, 0).argmax())
+    f1 = np.where(last & (2 * hit >= all_), f1, 0)
+    if not f1.any():
+        return 1.1
+    k = int(f1.argmax())
     below = p[order][k + 1] if k + 1 < len(p) else 0.0
     return float((p[order][k] + below) / 2)
 
