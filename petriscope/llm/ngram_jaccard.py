@@ -337,14 +337,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
 
     found = rows.where("id is not null").mapInArrow(_signatures(n, lower, percent), "sig long, id long")
     again = found.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
-    members = found.join(again, "sig").join(rep_of.select("id", "rep"), "id").select("sig", "rep").distinct()
-    mixed = members.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("sig")
-    members = written(members.join(mixed, "sig"), "members")
-
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    touched = found.join(again, "sig").select("id").distinct()
+    wanted = touched.join(rep_of.select("id", "rep"), "id").select(F.col("rep").alias("id")).distinct()
     grams = written(join_ids(rows, "id", wanted, "left_semi").mapInArrow(_set_rows(n, lower), "id long, grams array<long>").dropDuplicates(["id"]), "grams")
-    own = grams.mapInArrow(_candidate_signatures(percent), "sig long, rep long, size long, class long")
-    members = written(own.join(members.select("sig").distinct(), "sig", "left_semi").distinct(), "members")
+    # from here on only rows that agree with another one somewhere, their signatures anew from their sets
+    own = written(grams.mapInArrow(_candidate_signatures(percent), "sig long, rep long, size long, class long"), "own")
+    shared = own.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    members = written(own.join(shared, "sig"), "members")
     # groups of the same rows are one group, with the number of column blocks it stands for
     total = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(38,0)"))
     same = members.groupBy("sig", "class").agg(F.count("*").alias("g"), total(1).alias("who"), total(2).alias("too")).groupBy("class", "g", "who", "too").agg(F.min("sig").alias("sig"), F.count("*").alias("w"))
