@@ -4,8 +4,9 @@ Each task packs its own share of the pieces.  It holds a fixed number of open
 bins in a bitset keyed by free space: bit f of one integer says that some open
 bin has f tokens free, so the tightest bin that takes a piece is the lowest set
 bit at or above its length.  A piece that fits nowhere opens a bin; if all are
-open, the fullest closes first.  Pieces arrive longest first, which an online
-packer is free to be given, and leaves hardly any space.
+open, the fullest closes first.  Pieces arrive in hashed order, which an online
+packer is free to be given, longest first only within chunks of as many pieces
+as bins can be open: a bin opened for a long piece still meets the short ones.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
+from .textkernel import mix
 
 #: Open bins of a task.
 OPEN_BINS = 1024
@@ -140,6 +142,13 @@ def _pieces(tokenizer: str, size: int, with_ids: bool):
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType()))])
 
 
+def arrival(lengths: np.ndarray, open_bins: int) -> np.ndarray:
+    """Places of the pieces in the order they are packed: hashed, longest first within chunks of ``open_bins``."""
+    hashed = np.argsort(mix(np.arange(len(lengths), dtype=np.uint64), 23), kind="stable")
+    chunk = np.arange(len(lengths)) // open_bins
+    return hashed[np.lexsort((-lengths[hashed], chunk))]
+
+
 def _pack(size: int, open_bins: int):
     """mapInArrow over a whole partition: sequences and offsets of its pieces."""
 
@@ -151,7 +160,8 @@ def _pack(size: int, open_bins: int):
         table = pa.Table.from_batches(whole) if whole else None
         if table is None or not table.num_rows:
             return
-        table = table.sort_by([("length", "descending"), ("id", "ascending"), ("ids_crc32", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("ids_crc32", "ascending"), ("length", "ascending"), ("piece", "ascending")])
+        table = table.take(pa.array(arrival(table.column("length").to_numpy(), open_bins)))
         bins = BestFit(size, open_bins)
         places = [bins.place(n) for n in table.column("length").to_pylist()]
         at = np.array(places, np.int64).reshape(-1, 2)

@@ -238,6 +238,20 @@ def test_bounded_bins_close_the_fullest():
     assert [b.place(n)[0] for n in (6, 7, 9, 3)] == [0, 1, 2, 0]
 
 
+def test_packing_fill_does_not_fall_with_the_number_of_pieces(spark):
+    from petriscope.llm.packing import SCHEMA, _pack
+
+    draw = np.random.default_rng(5)
+    for top in (128, 100):
+        lengths = np.where(draw.random(6400) < 0.4, draw.integers(64, top, 6400), draw.integers(1, 64, 6400))
+        rows = [(k % 500 if k % 3 else None, 0, 0, int(n), k % 7, None, None, None) for k, n in enumerate(lengths)]
+        out = spark.createDataFrame(rows, SCHEMA).repartition(1).mapInArrow(_pack(128, 64), SCHEMA).toPandas()
+        assert sorted(out["length"]) == sorted(lengths)
+        for _, s in out.sort_values("offset").groupby("sequence_id"):
+            assert s["offset"].tolist() == np.r_[0, np.cumsum(s["length"])][:-1].tolist() and s["length"].sum() <= 128
+        assert out["sequence_id"].nunique() <= 1.01 * lengths.sum() / 128 + 64
+
+
 def test_decontamination(spark):
     from petriscope.llm.decontamination import contaminated, decontaminate
 
