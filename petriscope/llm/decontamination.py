@@ -1,27 +1,27 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
-A seed is the hash of the words at the cared-for positions of a fixed mask; the
-ignored positions may hold anything, so a passage with single words replaced
-still hits under one of the masks.  Every hit fixes an alignment of document
+A seed is the hash of the words at the cared-for positions of a mask; the
+ignored positions may hold anything.  The masks are chosen by enumeration so
+that one of them hits wherever the replaced words of a stretch stand, for as
+many as the rule lets be replaced.  Every hit fixes an alignment of document
 and item, and the words around it are compared one by one: a hit counts if
 some stretch of the item agrees in four fifths of its words.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache, reduce
+from itertools import combinations
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_ids
 
-#: Fixed masks: cared-for positions of 12 consecutive words.
-MASKS = (
-    (0, 1, 3, 4, 6, 8, 9, 11),
-    (0, 2, 3, 5, 6, 7, 10, 11),
-    (0, 1, 2, 5, 7, 8, 9, 11),
-    (0, 1, 2, 3, 4, 5, 6, 7),
-)
-SPAN = 12
+#: Stretches of more words, or of more placements of replaced words, are not enumerated.
+MOST_WORDS, MOST_PLACEMENTS = 13, 300
 #: Words of an item that one broadcast holds at most; more are taken in turns.
 ITEM_WORDS = 200_000
 
@@ -33,14 +33,45 @@ def _words(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _masks(short: list[int]) -> list[tuple[tuple[int, ...], int]]:
-    """(positions, words needed) of all masks; items below SPAN words match by all their words."""
-    return [(m, SPAN) for m in MASKS] + [(tuple(range(n)), n) for n in short]
+@lru_cache
+def covering(n: int, wrong: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one lies on agreeing words only, whichever ``wrong`` of ``n`` words are replaced.
 
+    The heaviest one or two that enumeration finds; where that is too much, the
+    run of words that ``wrong`` replaced ones can't break up.
 
-def _seeds(words: Column, at: Column, masks: list[tuple[tuple[int, ...], int]]) -> Column:
+    >>> covering(13, 2)
+    ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+    >>> covering(40, 8)
+    ((0, 1, 2, 3),)
+    """
+    run = -(-(n - wrong) // (wrong + 1))
+    if wrong and n <= MOST_WORDS and math.comb(n, wrong) <= MOST_PLACEMENTS:
+        placements = [sum(1 << p for p in c) for c in combinations(range(n), wrong)]
+        every = (1 << len(placements)) - 1
+        for weight in range(n - wrong, run, -1):
+            served = []  # (placements that the mask survives at some shift, as bits, mask)
+            for rest in combinations(range(1, n), weight - 1):
+                mask = sum(1 << p for p in rest) + 1
+                shifts = [mask << s for s in range(n - rest[-1])] if rest else [1 << s for s in range(n)]
+                served.append((sum(1 << k for k, c in enumerate(placements) if any(not c & m for m in shifts)), (0, *rest)))
+            served.sort(key=lambda x: (-x[0].bit_count(), x[1]))
+            if served[0][0] == every:
+                return (served[0][1],)
+            for i, (a, first) in enumerate(served):
+                if 2 * a.bit_count() < len(placements):
+                    break
+                for b, second in served[i + 1 :]:
+                    if a.bit_count() + b.bit_count() < len(placements):
+                        break
+                    if a | b == every:
+                        return first, second
+    return (tuple(range(run)),)
+
+
+def _seeds(words: Column, at: Column, masks: list[tuple[int, ...]]) -> Column:
     """Array of the seed hashes at a position, null where a mask doesn't fit."""
-    return F.array(*(F.when(at + need <= F.size(words), F.xxhash64(F.lit(k), *(F.get(words, at + p) for p in mask))) for k, (mask, need) in enumerate(masks)))
+    return F.array(*(F.when(at + mask[-1] < F.size(words), F.xxhash64(F.lit(k), *(F.get(words, at + p) for p in mask))) for k, mask in enumerate(masks)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, agree: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -52,20 +83,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, agree
     lower-cased.  n_agree and n_aligned are those of the best alignment.  Null
     and empty texts or items overlap with nothing; repeated rows add to n_hits;
     a null document id is reported as null.  Extra columns don't matter.
+    Every overlap has a seed hit: items of ``stretch`` words or more have the
+    masks of a stretch, shorter ones those of their length.
 
     The benchmark's seeds are broadcast in turns of at most ``ITEM_WORDS``
     words, counted first, so documents are never shuffled; the rows that leave
     a scan are aggregated per document and item before they move.
     """
+    if stretch < 1 or agree <= 0:
+        raise ValueError("stretch and agree must be positive")
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), _words(F.col(f"`{item_text_col}`")).alias("iw")).where(F.size("iw") > 0)
     total, *_ = items.agg(F.sum(F.size("iw"))).first()
     if not total:
         return docs.limit(0).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.lit(0).cast("long").alias(c) for c in ("item_id", "n_hits", "n_agree", "n_aligned")))
-    short = sorted(r[0] for r in items.where(F.size("iw") < SPAN).select(F.size("iw")).distinct().collect())  # at most SPAN - 1 numbers
-    masks = _masks(short)
+    needed = F.least(F.lit(stretch), F.size("iw"))
+    lengths = sorted(r[0] for r in items.select(needed).distinct().collect())  # at most ``stretch`` numbers
+    serving = {n: covering(n, max(0, n - math.ceil(agree * n))) for n in lengths}
+    masks = sorted({m for own in serving.values() for m in own})
     turns = -(-total // ITEM_WORDS)
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _words(F.col(f"`{text_col}`")).alias("w"))
-    least = min(need for _, need in masks)
+    least = min(m[-1] + 1 for m in masks)
     at = text.where(F.size("w") >= least).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("pos"))
     seeded = at.select("doc_id", "w", "pos", F.explode(_seeds(F.col("w"), F.col("pos"), masks)).alias("seed")).where("seed is not null")
     out = None
@@ -73,8 +110,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, agree
         some = items.where(F.pmod(F.xxhash64("item_id", "iw"), F.lit(turns)) == turn)
         places = some.where(F.size("iw") >= least).select("item_id", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - least)).alias("ipos"))
         seeds = places.select("item_id", "iw", "ipos", F.posexplode(_seeds(F.col("iw"), F.col("ipos"), masks)).alias("k", "seed"))
-        # a short mask serves items of just that length; long items have the spaced ones
-        fits = F.when(F.col("k") < len(MASKS), F.lit(True)).otherwise(F.size("iw") == F.element_at(F.array(*(F.lit(need) for _, need in masks)), F.col("k") + 1))
+        # an item has the masks of its own length only
+        fits = reduce(or_, ((needed == n) & F.col("k").isin(*(masks.index(m) for m in own)) for n, own in serving.items()))
         seeds = seeds.where("seed is not null").where(fits).select("seed", "ipos", F.xxhash64("item_id", "iw").alias("key"))
         texts = some.select(F.xxhash64("item_id", "iw").alias("key"), "item_id", "iw").dropDuplicates(["key"])
         # the words of the document beside the item's, cut out before anything is moved
@@ -82,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, agree
         hit = seeded.join(F.broadcast(seeds), "seed").join(F.broadcast(texts), "key")
         hit = hit.select("doc_id", "item_id", "iw", F.greatest(F.lit(0), -shift).alias("skip"), F.slice("w", F.greatest(F.lit(0), shift) + 1, F.size("iw")).alias("dw"))
         own = F.slice("iw", F.col("skip") + 1, F.size("dw"))
-        hit = hit.select("doc_id", "item_id", F.least(F.lit(stretch), F.size("iw")).alias("need"), F.zip_with(own, F.slice("dw", F.lit(1), F.size("iw") - F.col("skip")), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))).alias("same"))
+        hit = hit.select("doc_id", "item_id", needed.alias("need"), F.zip_with(own, F.slice("dw", F.lit(1), F.size("iw") - F.col("skip")), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))).alias("same"))
         starts = F.sequence(F.lit(1), F.size("same") - F.col("need") + 1)
         best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("same", s, F.col("need")), F.lit(0), lambda a, x: a + x)))
         good = hit.where(F.size("same") >= F.col("need")).where(best >= F.ceil(F.lit(agree) * F.col("need")))

@@ -266,6 +266,34 @@ def test_decontamination(spark):
     assert contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_catches_every_placement(spark):
+    from petriscope.llm.decontamination import contaminated
+
+    items = {n: [f"item{n}_{k}" for k in range(n)] for n in range(1, 17)}
+    docs, want = [], set()
+    for n, item in items.items():
+        need = min(13, n)
+        for count in range(min(n, 4 if n < 16 else 3) + 1):
+            for gone in combinations(range(n), count):
+                text = [f"new{k}" if k in gone else w for k, w in enumerate(item)]
+                if max(sum(k not in gone for k in range(s, s + need)) for s in range(n - need + 1)) >= 0.8 * need:
+                    want.add((len(docs), n))
+                docs.append((len(docs), " ".join(["before", *text, "after"] if len(docs) % 2 else text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(df, bench).collect()} == want
+
+
+def test_masks_by_enumeration():
+    from petriscope.llm.decontamination import covering
+
+    for n, wrong in [*((n, w) for n in range(1, 14) for w in range(min(n, 4))), (16, 3), (20, 4)]:
+        masks = covering(n, wrong)
+        assert all(m[-1] < n for m in masks)
+        for gone in combinations(range(n), wrong):
+            assert any(not {p + s for p in m} & set(gone) for m in masks for s in range(n - m[-1])), (n, wrong, gone)
+
+
 def test_chat(spark):
     from petriscope.llm.chat import CONTROL, format_trees, paths, read_back
 
