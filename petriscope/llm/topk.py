@@ -1,13 +1,13 @@
 """Exact top-k inner products from an impact-ordered index, read score-at-a-time.
 
 A block of vectors is indexed by impact: every component is split into a level
-(its leading part, a multiple of ``STEP``) and a rest below ``STEP``.  The
+(its leading part, a multiple of a step) and a rest below the step.  The
 postings of one level are a segment; segments are read in descending order of
 impact.  While they are, each accumulator is a lower part of the score, and
 what the unread segments and all rests can still add is bounded.  Reading
 stops only on proof: when the k-th best certain score of every query is above
-what any vector outside its possible members can still reach.  Possible
-members are rescored exactly, in integers.
+what any vector outside its possible members can still reach, the rounding of
+the accumulators included.  Possible members are rescored exactly, in integers.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Impact step of a segment.
-STEP = 16
+#: Least impact step of a segment, and segments of a block at most: large components have a larger step.
+STEP, SEGMENTS = 16, 64
 #: Queries and vectors that one task multiplies.
 QUERY_BLOCK, VECTOR_BLOCK, INDEX_BLOCK = 2048, 32_768, 4096
 
@@ -33,26 +33,31 @@ class ImpactIndex:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors.astype(np.int64), ids
-        level = np.sign(vectors) * (np.abs(vectors) // STEP)
+        self.peak = int(np.abs(vectors).max(initial=0))
+        self.step = max(STEP, self.peak // SEGMENTS + 1)
+        level = np.sign(vectors) * (np.abs(vectors) // self.step)
         self.segments = []
         for impact in np.unique(np.abs(level))[::-1]:
             if impact:
-                self.segments.append((int(impact), np.where(np.abs(level) == impact, level * STEP, 0).astype(np.float32)))
-        self.rest = np.abs(vectors - level * STEP).max(initial=0)
+                self.segments.append((int(impact), np.where(np.abs(level) == impact, level * self.step, 0).astype(np.float32)))
+        self.rest = np.abs(vectors - level * self.step).max(initial=0)
 
     def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int, int]]:
         """(query, id, score) of each query's k best, ties to the smaller id, its own id left out."""
         n = len(self.ids)
         q = queries.astype(np.float32)
-        reach = np.abs(queries).sum(1).astype(np.float64)
+        reach = np.abs(queries.astype(np.float64)).sum(1)
+        # twice what float32 can be off by: each product and each sum by 2**-24 of no more than reach times peak
+        rounding = reach * self.peak * (queries.shape[1] + len(self.segments) + 3) * 2.0**-23
+        wide = len(q) > 0 and reach.max() * self.peak >= 2.0**62
         done = np.zeros((len(q), n), np.float32)
         mine = self.ids[None, :] == own[:, None]
         keep = min(k, n - 1)
         member = np.ones((len(q), n), bool)
         for place, (_, segment) in enumerate(self.segments):
             done += q @ segment.T
-            unread = (self.segments[place + 1][0] + 1) * STEP - 1 if place + 1 < len(self.segments) else self.rest
-            slack = reach * max(unread, self.rest)  # no vector's score is further from its accumulator
+            unread = (self.segments[place + 1][0] + 1) * self.step - 1 if place + 1 < len(self.segments) else self.rest
+            slack = reach * max(unread, self.rest) + rounding  # no vector's score is further from its accumulator
             if n <= k + 1:
                 break
             sure = np.where(mine, -np.inf, done) - slack[:, None]
@@ -65,7 +70,10 @@ class ImpactIndex:
         ends = np.searchsorted(rows, np.arange(len(q) + 1))
         for i in range(len(q)):
             at = cols[ends[i] : ends[i + 1]]
-            score = self.vectors[at] @ queries[i].astype(np.int64)
+            if wide:  # in unbounded integers; a score that is no 64-bit integer is an error
+                score = np.array(self.vectors[at].astype(object) @ queries[i].astype(object), np.int64)
+            else:
+                score = self.vectors[at] @ queries[i].astype(np.int64)
             best = np.lexsort((self.ids[at], -score))[:k]
             out += [(i, int(self.ids[at[j]]), int(score[j])) for j in best]
         return out
@@ -101,10 +109,17 @@ def _cell_search(k: int):
     return search
 
 
+def _component(scale: int):
+    """floor(scale * x) as a 64-bit integer; one that doesn't fit is an error."""
+    error = F.raise_error(F.lit("a component of a vector is too large")).cast("long")
+    return lambda c: F.when(F.abs(c * scale) < 2.0**62, F.floor(c * scale)).otherwise(error)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query row.
 
-    Components become floor(scale * x), x as double.  Candidates are all rows
+    Components become floor(scale * x), x as double; components of 2**62 or
+    more, and scores that are no 64-bit integers, are errors.  Candidates are all rows
     but those of the query's own id; ties go to the smaller id; fewer than k
     candidates give fewer rows.  Rows whose id or vector is null, or whose
     vector is empty or holds null or non-finite components, take no part.
@@ -119,7 +134,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     x = F.col(f"`{vec_col}`").cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vec_col}`").isNotNull()).withColumn("__q", is_query)
-    rows = rows.where(fine & (F.size(x) > 0)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("v"), "__q")
+    rows = rows.where(fine & (F.size(x) > 0)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, _component(scale)).alias("v"), "__q")
     rows = rows.withColumn("dim", F.size("v"))
     queries = rows.where("__q").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("m")).select("id", "m.v", "m.dim")
     n, m = rows.count(), queries.count()

@@ -194,6 +194,25 @@ def test_top_k(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    from petriscope.llm.topk import ImpactIndex, top_k
+
+    draw = np.random.default_rng(11)
+    for sd in (160, 3000, 20_000, 20_000, 20_000):
+        base = draw.normal(0, sd, 64).astype(np.int64) * 16
+        v = np.repeat(base[None, :], 100, 0)
+        v[:, :8] += 16 * draw.integers(-sd // 2, sd // 2, (100, 8))  # scores that are closer than float32 can tell
+        q = base.copy()
+        q[:8] = draw.integers(1, 4, 8)
+        s = v @ q
+        best = sorted((-int(s[k]), k) for k in range(100))[:5]
+        assert ImpactIndex(v, np.arange(100)).search(q[None, :], 5, np.array([-1])) == [(0, k, -x) for x, k in best]
+    big = [(0, [9e6, 1.0]), (50, [1e7, -2.0]), (1, [9.5e6, 5.0]), (2, [9.5e6, 4.0])]
+    got = top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=2).collect()
+    score = lambda a, b: sum(int(256 * x) * int(256 * y) for x, y in zip(dict(big)[a], dict(big)[b], strict=True))
+    assert sorted(tuple(r) for r in got) == [(q, n + 1, v, score(q, v)) for q, found in ((0, (50, 1)), (50, (2, 1))) for n, v in enumerate(found)]
+
+
 def test_sharding(spark):
     from petriscope.llm.sharding import extendible_shards
 
