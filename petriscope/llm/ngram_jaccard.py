@@ -144,14 +144,14 @@ def _all_signatures(doc: np.ndarray, h: np.ndarray, docs: int, percent: int) ->
 
 
 def _places(size: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(class, blocks, rows) - a row is in its own class, and in the one below if a linked set can be there."""
+    """(class, blocks, rows) - a row is in its own class, and in every lower one that a linked set can be in."""
     table = _classes(percent, int(size.max(initial=0)))
     firsts = np.array([x[0] for x in table])
     own = np.searchsorted(firsts, size, "right") - 1
     for c, (_, m) in enumerate(table):
         chosen = own == c
         if c + 1 < len(table):
-            chosen |= (own == c + 1) & (size <= (firsts[c + 1] - 1) * 100 // percent)
+            chosen |= (own > c) & (size <= (firsts[c + 1] - 1) * 100 // percent)
         if chosen.any():
             yield c, m, chosen
 

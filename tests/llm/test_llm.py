@@ -166,6 +166,19 @@ def test_jaccard_exhaustive_blocks(spark, monkeypatch):
     assert J.ngram_jaccard(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 60, 66])
+def test_jaccard_links_over_two_size_classes(spark, percent):
+    from petriscope.llm.ngram_jaccard import ngram_jaccard
+
+    rows = []
+    for size in (*range(24, 60, 3), 81, 120):  # each with the largest set that it is linked with
+        for k in (size, size * 100 // percent):
+            rows.append((len(rows), " ".join(f"of{size}_{x}" for x in range(k))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard(df, 1, percent).collect())
+    assert got == sorted(groups(rows, 1, percent)) and [c for *_, c in got] == [k - k % 2 for k in range(len(rows))]
+
+
 def test_block_product():
     from petriscope.llm.ngram_jaccard import block_product
 
