@@ -321,7 +321,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     with null text, its set is empty and it is linked with nothing.
     ``component_id`` is the smallest id reachable over links, the own one
     included; ``first_id`` the smallest id with the same set.  Rows with a null
-    id keep it and are alone.  Repeated rows give repeated rows.
+    id keep it and are alone.  Repeated rows give repeated rows.  Rows of one id
+    with different sets are documents of their own, each with its own links.
 
     Every link counts: no cap on candidates, no sampling.  Documents of equal
     sets are one row of the product.
@@ -330,6 +331,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
         raise ValueError("percent must be in 50..100 and n positive")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sizes = written(rows.mapInArrow(_sizes(n, lower), "id long, size long, s1 long, s2 long"), "sizes")
+    one_set = F.xxhash64("size", "s1", "s2")
+    several = sizes.where("id is not null").groupBy("id").agg(F.min(one_set).alias("lo"), F.max(one_set).alias("hi")).where("lo <> hi")
+    if not several.isEmpty():
+        return _by_row(rows, n, percent, lower, id_col)
     some = sizes.where("id is not null and size > 0")
     first = some.groupBy("size", "s1", "s2").agg(F.min("id").alias("rep"))
     rep_of = some.distinct().join(first, ["size", "s1", "s2"]).select("id", "rep", "size")
@@ -403,6 +408,17 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool =
     )
 
 
+def _by_row(rows: DataFrame, n: int, percent: int, lower: bool, id_col: str) -> DataFrame:
+    """The join of rows (id, text) whose ids don't tell their sets apart: every row has a number instead."""
+    key = F.when(F.col("id").isNotNull(), F.monotonically_increasing_id()).alias("key")
+    keyed = written(rows.select(key, "id", "text"), "keyed")
+    found = written(ngram_jaccard(keyed.select("key", "text"), n, percent, lower, "key", "text"), "by_row")
+    own = found.join(keyed.where("key is not null").select("key", "id"), "key", "left")
+    least = lambda c, name: own.where("key is not null").groupBy(c).agg(F.min("id").alias(name))
+    out = own.join(least("component_id", "component"), "component_id", "left").join(least("first_id", "first"), "first_id", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("first").alias("first_id"))
+
+
 def _exhaustive(labelled: DataFrame, members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components of a group that agree in enough column blocks, from products of row blocks.
 

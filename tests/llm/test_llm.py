@@ -179,6 +179,18 @@ def test_jaccard_links_over_two_size_classes(spark, percent):
     assert got == sorted(groups(rows, 1, percent)) and [c for *_, c in got] == [k - k % 2 for k in range(len(rows))]
 
 
+def test_jaccard_of_ids_with_different_texts(spark):
+    from petriscope.llm.ngram_jaccard import ngram_jaccard
+
+    a, b, c, d = (prose(80) for _ in range(4))
+    rows = [(3, a), (5, f"{a} more"), (5, b), (5, ""), (7, f"{b} more"), (7, c), (2, f"{c} more"), (9, d), (9, f"{d} more"), (8, f"{d} more"), (5, b), (None, a), (4, None), (4, f"{a} more")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(1)
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard(df, 4, 85).collect()), key=key)
+        assert got == sorted(groups(order, 4, 85), key=key)
+
+
 def test_block_product():
     from petriscope.llm.ngram_jaccard import block_product
 
