@@ -20,8 +20,8 @@ from .textkernel import LOWER, mix, steps
 #: Hashed n-grams of 1 to 3 bytes.
 DIM = 2048
 ORDERS = (1, 2, 3)
-#: Training rows of a language, about, and languages learned at most; both bound what is collected.
-SAMPLE, LANGUAGES = 1000, 256
+#: Training rows of a language, about, and of all; with more languages each has fewer, but not fewer than LEAST.
+SAMPLE, ROWS, LEAST = 1000, 256_000, 20
 
 #: Families of ISO 639-1 codes; any other value is a family by itself.
 FAMILIES = {
@@ -124,9 +124,17 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(rows: DataFrame) -> Model | None:
-    """A model of the languages in (id, text, lang), from about ``SAMPLE`` rows of each by a hash of the id."""
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    part = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) * F.col("count") < F.lit(SAMPLE << 20)
+    """A model of all languages in (id, text, lang), from about ``SAMPLE`` rows of each by a hash of the id, or fewer where there are many.
+
+    More languages than ``ROWS`` can hold ``LEAST`` rows of are an error.
+    """
+    counts = rows.groupBy("lang").count()
+    many = counts.count()
+    if many * LEAST > ROWS:
+        raise ValueError(f"{many} languages are more than {ROWS} training rows can tell apart")
+    share = min(SAMPLE, ROWS // max(many, 1))
+    # a language of no more rows than its share has all of them
+    part = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) * F.col("count") < F.lit(share << 20)
     sample = rows.join(F.broadcast(counts), "lang").where(part).select("text", "lang").mapInArrow(_feature_rows, "lang string, x binary").toArrow()
     lang = np.array(sample.column("lang").to_pylist(), object)
     if not len(lang):

@@ -363,6 +363,18 @@ def test_language_id(spark, sf):
     assert {r.lang_pred for r in identify(odd).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_languages(spark, monkeypatch):
+    import petriscope.llm.language_id as L
+
+    monkeypatch.setattr(L, "svm", lambda x, y: (x[y > 0].mean(0) - x[y < 0].mean(0), 0.0))  # as good for this, and fast
+    rows = [(k, " ".join(f"{chr(0x4E00 + 20 * k + x)}{chr(0x4E00 + 20 * k + x + 1)}" for x in range(15)), f"lang{k:03}") for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    assert L.fit(df).langs == sorted(r[2] for r in rows)
+    monkeypatch.setattr(L, "ROWS", 300)
+    with pytest.raises(ValueError, match="400 languages"):
+        L.fit(df)
+
+
 def test_toxicity(spark):
     from petriscope.llm.toxicity import toxic_documents, without_toxic
 
