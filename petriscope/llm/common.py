@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_already.isDefined():
             return set_already.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="petriscope-checkpoints-")
         spark.sparkContext.setCheckpointDir(path)
         return path
@@ -49,7 +51,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def drop_written(df: DataFrame) -> None:
     """Delete what :func:`written` wrote, once nothing reads it any more."""
     spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
+    for file in df.inputFiles()[:1]:  # an empty table has a file too
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -60,9 +62,10 @@ def join_ids(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
     The ids are counted: up to ``BROADCAST_IDS`` they are broadcast and
     ``df``, with its texts, stays where it is; beyond, both sides are shuffled.
     """
-    ids = written(ids.toDF("__key"), "ids")
+    key = f"__key_{uuid.uuid4().hex}"  # a name that no column of ``df`` has
+    ids = written(ids.toDF(key), "ids")
     small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, F.col(f"`{column}`") == F.col("__key"), how)
+    return df.join(F.broadcast(ids) if small else ids, F.col(f"`{column}`") == F.col(key), how)
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,7 +123,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregation with map-side combining, so a hub of any degree is one row per
     task and not one task's burden.  Rounds go to the shared folder.
     """
-    spark = edges.sparkSession
+    before = None
     pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most_rounds):
         # large star: every larger neighbour of u goes to u's smallest neighbour
@@ -133,7 +136,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         sides = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = sides(new) == sides(pairs)
+        now = sides(new)
+        done, before = now == before, now
+        drop_written(pairs)
         pairs = new
         if done:
             break

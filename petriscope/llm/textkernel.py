@@ -1,21 +1,25 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
 Everything works on the UTF-8 bytes of many documents at once, as they lie in
-an Arrow string column: words are found with a byte table, and the hash of any
-run of bytes or words comes from two reads of a prefix sum (a polynomial hash
-modulo 2**64 whose base is odd and so has an inverse).  No Python loop runs
-over words or characters.
+an Arrow string column: words are found with a byte table and hashed eight bytes
+at a time.  A window of words is hashed by a sum of its words' hashes times odd
+coefficients of their places.  Another seed gives another hash of words and
+places, so two seeds are two hashes.  No Python loop runs over words or
+characters, but for words over ``LONG`` bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy step works on; a longer document is one step.
 STEP_BYTES = 1 << 20
+#: Longer words are hashed one by one.
+LONG = 64
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -65,6 +69,47 @@ def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64), seed)
 
 
+_LANES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes [start, end) of each word, eight at a time."""
+    length = end - start
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(length.astype(np.uint64), 2 * seed + 101)
+    todo, at = np.flatnonzero(length <= LONG), 0
+    while len(todo):
+        left = length[todo] - at
+        h[todo] = mix(h[todo] ^ (lanes[start[todo] + at] & _LANES[np.minimum(left, 8)]), seed)
+        at += 8
+        todo = todo[left > 8]
+    for k in np.flatnonzero(length > LONG):
+        h[k] = int.from_bytes(blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def _place(k: int, seed: int) -> np.uint64:
+    return mix(np.array([k], np.uint64), 2 * seed + 102)[0] | np.uint64(1)
+
+
+def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hash of each ``width`` consecutive words, whatever documents they are of."""
+    n = max(len(words) - width + 1, 0)
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total += words[k : k + n] * _place(k, seed)
+    return mix(total, seed)
+
+
+def sequence_hashes(words: np.ndarray, start: np.ndarray, count: np.ndarray, seed: int = 0) -> np.ndarray:
+    """:func:`window_hashes` of runs of ``count`` words each."""
+    total = count.astype(np.uint64)
+    for k in range(int(count.max(initial=0))):
+        some = np.flatnonzero(count > k)
+        total[some] += words[start[some] + k] * _place(k, seed)
+    return mix(total, seed)
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE_VALUE[data]
 
@@ -128,7 +173,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
 
     def hashes(self, data: np.ndarray, seed: int = 0) -> np.ndarray:
-        return run_hash(prefix_sums(byte_values(data)), self.start, self.end, seed)
+        return word_hashes(data, self.start, self.end, seed)
 
     def windows(self, width: int) -> np.ndarray:
         """First words of all windows of ``width`` words inside one document."""
