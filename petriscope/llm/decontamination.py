@@ -4,7 +4,7 @@ A seed is the hash of the words at the cared-for positions of a mask; the
 ignored positions may hold anything.  The masks are chosen by enumeration so
 that one of them hits wherever the replaced words of a stretch stand, for as
 many as the rule lets be replaced.  Every hit fixes an alignment of document
-and item, and the words around it are compared one by one: a hit counts if
+and item, and the words of each alignment are compared once, one by one: it counts if
 some stretch of the item agrees in four fifths of its words.
 """
 
@@ -18,11 +18,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids
+from .common import BROADCAST_IDS, join_ids, written
 
 #: Stretches of more words, or of more placements of replaced words, are not enumerated.
 MOST_WORDS, MOST_PLACEMENTS = 13, 300
-#: Words of an item that one broadcast holds at most; more are taken in turns.
+#: Places of items whose seeds one broadcast holds, about; more are taken in turns.
 ITEM_WORDS = 200_000
 
 
@@ -80,19 +80,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, agree
     They overlap if, aligned at a seed hit, some ``stretch`` consecutive words
     of the item (all of them, if it has fewer) agree with the document in at
     least ``agree`` of them.  Words are runs other than space and 0x09-0x0D,
-    lower-cased.  n_agree and n_aligned are those of the best alignment.  Null
-    and empty texts or items overlap with nothing; repeated rows add to n_hits;
-    a null document id is reported as null.  Extra columns don't matter.
-    Every overlap has a seed hit: items of ``stretch`` words or more have the
-    masks of a stretch, shorter ones those of their length.
-
-    The benchmark's seeds are broadcast in turns of at most ``ITEM_WORDS``
-    words, counted first, so documents are never shuffled; the rows that leave
-    a scan are aggregated per document and item before they move.
+    lower-cased.  n_hits counts the alignments that overlap; n_agree and
+    n_aligned are those of the best.  Null and empty texts or items overlap with
+    nothing; repeated rows add to n_hits; a null document id is reported as
+    null.  Extra columns don't matter.  Every overlap has a seed hit: items of
+    ``stretch`` words or more have the masks of a stretch, shorter ones those of
+    their length.
+
+    The benchmark's seeds are broadcast in turns of at most about ``ITEM_WORDS``
+    positions, counted first, so documents are never shuffled.  What leaves a
+    scan are distinct alignments (row, item, shift) without any words; only the
+    rows among them are read again, and each alignment is compared once.
     """
     if stretch < 1 or agree <= 0:
         raise ValueError("stretch and agree must be positive")
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), _words(F.col(f"`{item_text_col}`")).alias("iw")).where(F.size("iw") > 0)
+    items = items.withColumn("key", F.xxhash64("item_id", "iw"))
     total, *_ = items.agg(F.sum(F.size("iw"))).first()
     if not total:
         return docs.limit(0).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *(F.lit(0).cast("long").alias(c) for c in ("item_id", "n_hits", "n_agree", "n_aligned")))
@@ -101,32 +104,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, agree
     serving = {n: covering(n, max(0, n - math.ceil(agree * n))) for n in lengths}
     masks = sorted({m for own in serving.values() for m in own})
     turns = -(-total // ITEM_WORDS)
-    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _words(F.col(f"`{text_col}`")).alias("w"))
+    # rows of one key that differ are compared with each other's alignments too, which adds nothing false
+    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     least = min(m[-1] + 1 for m in masks)
-    at = text.where(F.size("w") >= least).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("pos"))
-    seeded = at.select("doc_id", "w", "pos", F.explode(_seeds(F.col("w"), F.col("pos"), masks)).alias("seed")).where("seed is not null")
+    at = text.select("row", _words(F.col("text")).alias("w")).where(F.size("w") >= least).select("row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("pos"))
+    seeded = at.select("row", "pos", F.explode(_seeds(F.col("w"), F.col("pos"), masks)).alias("seed")).where("seed is not null")
+    places = items.where(F.size("iw") >= least).select("key", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - least)).alias("ipos"))
+    seeds = places.select("key", "iw", "ipos", F.posexplode(_seeds(F.col("iw"), F.col("ipos"), masks)).alias("k", "seed"))
+    # an item has the masks of its own length only
+    fits = reduce(or_, ((needed == n) & F.col("k").isin(*(masks.index(m) for m in own)) for n, own in serving.items()))
+    seeds = seeds.where("seed is not null").where(fits).select("seed", "ipos", "key").distinct()
     out = None
     for turn in range(turns):
-        some = items.where(F.pmod(F.xxhash64("item_id", "iw"), F.lit(turns)) == turn)
-        places = some.where(F.size("iw") >= least).select("item_id", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - least)).alias("ipos"))
-        seeds = places.select("item_id", "iw", "ipos", F.posexplode(_seeds(F.col("iw"), F.col("ipos"), masks)).alias("k", "seed"))
-        # an item has the masks of its own length only
-        fits = reduce(or_, ((needed == n) & F.col("k").isin(*(masks.index(m) for m in own)) for n, own in serving.items()))
-        seeds = seeds.where("seed is not null").where(fits).select("seed", "ipos", F.xxhash64("item_id", "iw").alias("key"))
-        texts = some.select(F.xxhash64("item_id", "iw").alias("key"), "item_id", "iw").dropDuplicates(["key"])
-        # the words of the document beside the item's, cut out before anything is moved
-        shift = F.col("pos") - F.col("ipos")
-        hit = seeded.join(F.broadcast(seeds), "seed").join(F.broadcast(texts), "key")
-        hit = hit.select("doc_id", "item_id", "iw", F.greatest(F.lit(0), -shift).alias("skip"), F.slice("w", F.greatest(F.lit(0), shift) + 1, F.size("iw")).alias("dw"))
-        own = F.slice("iw", F.col("skip") + 1, F.size("dw"))
-        hit = hit.select("doc_id", "item_id", needed.alias("need"), F.zip_with(own, F.slice("dw", F.lit(1), F.size("iw") - F.col("skip")), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))).alias("same"))
-        starts = F.sequence(F.lit(1), F.size("same") - F.col("need") + 1)
-        best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("same", s, F.col("need")), F.lit(0), lambda a, x: a + x)))
-        good = hit.where(F.size("same") >= F.col("need")).where(best >= F.ceil(F.lit(agree) * F.col("need")))
-        n_agree = F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long")
-        found = good.select("doc_id", "item_id", n_agree.alias("n_agree"), F.size("same").cast("long").alias("n_aligned"))
+        some = seeds.where(F.pmod(F.xxhash64("key", "ipos"), F.lit(turns)) == turn)
+        found = seeded.join(F.broadcast(some), "seed").select("row", "key", (F.col("pos") - F.col("ipos")).alias("shift"))
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("n_agree").alias("n_agree"), F.max("n_aligned").alias("n_aligned"))
+    hits = written(out.distinct(), "alignments")
+
+    rows = join_ids(text, "row", hits.select("row").distinct(), "left_semi").select("doc_id", "row", _words(F.col("text")).alias("w"))
+    few = hits.count() <= BROADCAST_IDS
+    hit = rows.join(F.broadcast(hits) if few else hits, "row")
+    texts = items.dropDuplicates(["key"])
+    hit = hit.join(F.broadcast(texts) if turns == 1 else texts, "key")
+    shift = F.col("shift")
+    hit = hit.select("doc_id", "item_id", "iw", F.greatest(F.lit(0), -shift).alias("skip"), F.slice("w", F.greatest(F.lit(0), shift) + 1, F.size("iw")).alias("dw"))
+    own = F.slice("iw", F.col("skip") + 1, F.size("dw"))
+    hit = hit.select("doc_id", "item_id", needed.alias("need"), F.zip_with(own, F.slice("dw", F.lit(1), F.size("iw") - F.col("skip")), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))).alias("same"))
+    add = lambda x: F.aggregate(x, F.lit(0), lambda a, x: a + x)
+    starts = F.sequence(F.lit(1), F.size("same") - F.col("need") + 1)
+    agrees = F.exists(starts, lambda s: add(F.slice("same", s, F.col("need"))) >= F.ceil(F.lit(agree) * F.col("need")))
+    good = hit.where(F.size("same") >= F.col("need")).where(agrees)
+    best = good.select("doc_id", "item_id", add("same").cast("long").alias("n_agree"), F.size("same").cast("long").alias("n_aligned"))
+    return best.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("n_agree").alias("n_agree"), F.max("n_aligned").alias("n_aligned"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
