@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ID, REST, TEXT, dealt_by_id, unpacked
-from .textkernel import Words, mix, prefix_sums, run_hash, sliding_min, squeezed_steps
+from .textkernel import Words, mix, sliding_min, squeezed_steps, window_hashes
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
@@ -50,7 +50,8 @@ class _Windows:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
         self.words = Words(data, offsets)
-        self.sums = prefix_sums(self.words.hashes(data))
+        self.data = data
+        self.hashes = self.words.hashes(data)
         self.at = self.words.windows(window)
         self.doc = self.words.doc[self.at]
         self.window = window
@@ -60,12 +61,11 @@ class _Windows:
         """Least hash of the windows of ``length`` words in each full window."""
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        i = np.arange(self.total - length + 1)
-        return sliding_min(run_hash(self.sums, i, i + length), self.window - length + 1)[self.at]
+        return sliding_min(window_hashes(self.hashes, length), self.window - length + 1)[self.at]
 
     def check(self) -> np.ndarray:
-        """A second hash of the full windows."""
-        return run_hash(self.sums, self.at, self.at + self.window, 99)
+        """A second hash of the full windows, of words hashed anew."""
+        return window_hashes(self.words.hashes(self.data, 99), self.window, 99)[self.at]
 
 
 def _kept(flat: np.ndarray, keys: np.ndarray, doc: np.ndarray, list_doc: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, id_col: st
     words (the result is empty text, 0 and 0).  A document with a null id
     comes before and after none: nothing of it goes, and it removes nothing.
     Repeated rows of one id don't remove each other's words.  Extra columns
-    stay.  Two 64-bit hashes (96 bits together) stand for a window.
+    stay.  Two hashes with seeds of their own, 64 and 32 bits, stand for a window.
     """
     if window < 1 or base < 1:
         raise ValueError("window and base must be positive")
