@@ -72,8 +72,14 @@ def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assis
     text<|end|>``, with control strings inside role and text escaped; null role
     or text is empty.  ``loss`` lists (start, length) in characters of the
     texts of ``loss_role``.  Trees are long or short rows alike: what a task
-    holds at once is one conversation.
+    holds at once is one conversation.  Rows with a null tree are one tree, rows
+    with a null node are in no path; of repeated (tree, node) rows the least
+    formatted turn stands.
     """
+    lost = messages.where("tree is null")
+    if not lost.isEmpty():
+        named = format_trees(messages.where("tree is not null"), branches, loss_role)
+        return named.unionByName(format_trees(lost.withColumn("tree", F.lit(0).cast("long")), branches, loss_role).withColumn("tree", F.lit(None).cast("long")))
     found = paths(messages.select("tree", "node", "parent"))
     scores = messages.groupBy("tree", "node").agg(F.min(F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("s"))
     ranked = found.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("s").alias("score"), F.count("*").alias("n"))
