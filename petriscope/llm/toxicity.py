@@ -168,18 +168,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
 
     About ``POSITIVE`` rows that have the second category (the only one, if
     there is one) and ``NEGATIVE`` others are taken by a hash of the id and weighed by how many they stand
-    for.  Labels that are null are no label; of repeated labels of an id the
-    largest holds.
+    for.  Labels that are null are no label; of repeated labels of an id any
+    that has a category gives it.  Other columns of ``labels`` are not read.
     """
-    named = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*(F.max(F.col(c)).alias(c) for c in labels.columns if c != id_col))
-    named = named.select("id", *(c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values()))).dropna()
     ys = [f"y{k}" for k in range(len(categories))]
+    named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), *(c.cast("int").alias(y) for y, c in zip(ys, categories.values(), strict=True))).dropna()
+    named = named.groupBy("id").agg(*(F.max(y).alias(y) for y in ys))
     named = named.withColumn("positive", F.col(ys[min(1, len(ys) - 1)]) > 0)
     counts = {r["positive"]: r["count"] for r in named.groupBy("positive").count().collect()}
     share = {True: min(1.0, POSITIVE / max(1, counts.get(True, 0))), False: min(1.0, NEGATIVE / max(1, counts.get(False, 0)))}
     part = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < F.when(F.col("positive"), F.lit(share[True])).otherwise(F.lit(share[False])) * float(1 << 30)
     chosen = named.where(part).select("id", F.array(*ys).alias("y"), "positive")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     table = texts.join(F.broadcast(chosen), F.col("i") == F.col("id")).select("id", "text", "y", "positive").mapInArrow(_sample_rows, "id long, y array<int>, positive boolean, f array<int>").toArrow()
     if not table.num_rows:
         return None
@@ -229,12 +229,22 @@ def categories() -> dict[str, Column]:
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p_low_quality, p_toxic, p_toxic_low_quality, toxic) of the documents that the chain rejects."""
+    """(doc_id, p_low_quality, p_toxic, p_toxic_low_quality, toxic) of the documents that the chain rejects.
+
+    Null and empty texts are never rejected; repeated rows are rejected alike,
+    a rejected row with a null id is reported as null.  Texts are read whole.
+    Without labels, or without documents, nothing is rejected.  Other columns
+    don't matter.
+    """
     names = list(categories())
     scored = score(docs, fit(docs, labels, categories()), names)
     return scored.where("h1").select(F.col(ID).alias("doc_id"), *(F.col(f"p{k}").alias(f"p_{n}") for k, n in enumerate(names)), F.col("h1").alias("toxic"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that the chain rejects, all columns as they were."""
+    """``docs`` without the documents that the chain rejects, all columns as they were.
+
+    Rows are judged one by one, so repeated rows go or stay together, and a row
+    with a null id is judged by its text.  Null and empty texts stay.
+    """
     return unpacked(score(docs, fit(docs, labels, categories(), id_col, text_col), list(categories()), id_col, text_col).where(~F.col("h1")), docs, text_col)
