@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,20 @@ BROADCAST_IDS = 1_000_000
 ID, TEXT, REST = "__id", "__text", "__rest"
 
 
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapper whose worker, which Spark keeps for later tasks, gives free memory back at the end of each task."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -111,7 +127,7 @@ def dealt_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = narrow.groupBy("p", "q").agg(F.min("i").alias("first"))
     known = narrow.distinct().join(first, ["p", "q"]).select("i", F.col("p").alias("kp"), F.col("q").alias("kq"), "first")
     keyed = rows.select(ID, TEXT, REST, *hashes)
-    texts = keyed.mapInArrow(_squeezed, keyed.select(ID, REST, "p", "q").schema.add("z", "binary"))
+    texts = keyed.mapInArrow(lean(_squeezed), keyed.select(ID, REST, "p", "q").schema.add("z", "binary"))
     same = F.col("p").bitwiseXOR(F.col("kp")).bitwiseOR(F.col("q").bitwiseXOR(F.col("kq"))) == 0
     return texts.join(known, (F.col(ID) == F.col("i")) & same, "left").select(ID, REST, "z", (F.col("first") < F.col(ID)).alias("copy"))
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .textkernel import LOWER, mix, steps
 
 #: Hashed n-grams of 1 to 3 bytes.
@@ -158,7 +159,7 @@ def _predict(model):
                     score = np.where(letters[a:b], np.clip(score, 0, 1), 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("id", "held_out")), pa.array(lang, pa.string()), pa.array(score.astype(float))], ["id", "held_out", "lang_pred", "score"])
 
-    return rows
+    return lean(rows)
 
 
 def held_out(id_col: Column) -> Column:

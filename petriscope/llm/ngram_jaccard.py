@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, join_ids, written
+from .common import components, drop_written, join_ids, lean, written
 from .textkernel import LOWER, Words, mix, sequence_hashes, squeeze, squeezed_steps, steps, window_hashes
 
 #: Sets below this size use the prefix bound instead of column blocks.
@@ -123,7 +123,7 @@ def _sizes(n: int, lower: bool):
                     both.append(pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(size.astype(np.int64)), *both], ["id", "size", "s1", "s2"])
 
-    return rows
+    return lean(rows)
 
 
 def _cells_of(ids: np.ndarray, labels: np.ndarray | None, size: np.ndarray, doc: np.ndarray, h: np.ndarray, columns: int) -> tuple[bytes, list[int], list[bytes]]:
@@ -184,7 +184,7 @@ def _cells(n: int, lower: bool, columns: int, labelled: bool):
         if held:
             yield block()
 
-    return rows
+    return lean(rows)
 
 
 SCREEN = "at long, head boolean, payload binary"
@@ -276,7 +276,7 @@ def _squeezed_with_keys(n: int, lower: bool):
                     part = batch.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([part.column("id"), size, lists, squeeze(part.column("text"))], ["id", "size", "keys", "text"])
 
-    return rows
+    return lean(rows)
 
 
 def _star_links(n: int, lower: bool, percent: int):
@@ -296,7 +296,7 @@ def _star_links(n: int, lower: bool, percent: int):
                 ok = pa.array((count >= overlap_bound(na, nb, percent)) & (count > 0))
                 yield batch.select(["a", "b"]).filter(ok)
 
-    return rows
+    return lean(rows)
 
 
 def _of_class(c: int, m: int, doc: np.ndarray, h: np.ndarray, chosen: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +356,7 @@ def _signatures(n: int, lower: bool, percent: int):
                     sig, at = _all_signatures(doc, h, b - a, percent)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[a:b][at]), pa.array(labels[a:b][at])], ["sig", "id", "label"])
 
-    return rows
+    return lean(rows)
 
 
 def block_product(doc_a: np.ndarray, col_a: np.ndarray, n_a: int, doc_b: np.ndarray, col_b: np.ndarray, n_b: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, REST, TEXT, dealt_by_id, unpacked
+from .common import ID, REST, TEXT, dealt_by_id, lean, unpacked
 from .textkernel import Words, mix, sliding_min, squeezed_steps, window_hashes
 
 
@@ -112,7 +112,7 @@ def _level_rows(lengths: list[int], level: int):
                     names.append("check")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows
+    return lean(rows)
 
 
 def _cut(window: int):
@@ -156,7 +156,7 @@ def _cut(window: int):
                 spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), spans)
                 yield pa.RecordBatch.from_arrays([batch.column(REST).slice(a, b - a), new.cast(pa.string()), pa.array(n), pa.array(n - left), spans], [REST, TEXT, "n_words", "n_removed", "removed"])
 
-    return rows
+    return lean(rows)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, REST, TEXT, packed, unpacked
+from .common import ID, REST, TEXT, lean, packed, unpacked
 from .textkernel import LOWER, Words, byte_values, mix, prefix_sums, run_hash, steps
 
 #: Hashed words and word beginnings of 4 and 5 bytes.
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     part = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) < F.when(F.col("positive"), F.lit(share[True])).otherwise(F.lit(share[False])) * float(1 << 30)
     chosen = named.where(part).select("id", F.array(*ys).alias("y"), "positive")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    table = texts.join(F.broadcast(chosen), F.col("i") == F.col("id")).select("id", "text", "y", "positive").mapInArrow(_sample_rows, "id long, y array<int>, positive boolean, f array<int>").toArrow()
+    table = texts.join(F.broadcast(chosen), F.col("i") == F.col("id")).select("id", "text", "y", "positive").mapInArrow(lean(_sample_rows), "id long, y array<int>, positive boolean, f array<int>").toArrow()
     if not table.num_rows:
         return None
     table = table.sort_by("id").combine_chunks()
@@ -204,7 +204,7 @@ def _predict(model, names: list[str]):
                 p, hit = np.where(has[:, None], p, 0), hit & has[:, None]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (ID, TEXT, REST)), *(pa.array(p[:, k]) for k in range(len(names))), *(pa.array(hit[:, k]) for k in range(len(names)))], [ID, TEXT, REST, *(f"p{k}" for k in range(len(names))), *(f"h{k}" for k in range(len(names)))])
 
-    return rows
+    return lean(rows)
 
 
 def score(docs: DataFrame, chain: Chain | None, names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
