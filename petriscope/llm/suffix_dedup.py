@@ -14,12 +14,14 @@ follows, twice as far on each round, and settled ones are left alone - then
 takes Kasai's common prefixes, and every run of neighbours sharing ``length``
 bytes is one string, whose first occurrence stays.  The contexts of a gram with
 very many are dealt over several shards; what those keep as first is merged
-across shards by binary search.
+in ranges of digests, shard after shard, each looked up by binary search among
+the sorted digests of those before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, REST, TEXT, dealt_by_id, unpacked, written
-from .textkernel import _BYTE_VALUE, mix, prefix_sums, run_hash, sliding_min, squeezed_steps
+from .common import ID, REST, TEXT, dealt_by_id, lean, unpacked, written
+from .textkernel import _BYTE_VALUE, mix, sliding_min, squeezed_steps
 
 GRAM = 24
 #: Text of one kernel step: its arrays stay in the processor's cache.
 STEP = 1 << 18
 #: Bytes of contexts in a shard, about, and contexts of one gram in a shard at most, about.
 SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 2048
+#: Strings in a range of the merge, about.
+RANGE_STRINGS = 100_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -67,6 +71,13 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return start, stop, gram[(least[start] & low).astype(np.int64)]
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each slice, as two columns of longs."""
+    view = memoryview(np.ascontiguousarray(data))
+    out = b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
 def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of slices put one after another."""
     size = end - start
@@ -177,7 +188,7 @@ def _grams(length: int):
                 n = np.diff(np.r_[new, len(key)])
                 yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[a:b][doc[new]].astype(np.int64)), pa.array(n)], ["key", "id", "n"])
 
-    return rows
+    return lean(rows)
 
 
 CONTEXT = "key long, id long, start long, n long, c1 long, c2 long, again boolean, bytes binary"
@@ -199,26 +210,25 @@ def _contexts(length: int):
                 ok = np.isin(key ^ mix(doc.astype(np.uint64), 5), flat[at[a] : at[b]] ^ mix(of, 5))
                 start, stop, key, doc = start[ok], stop[ok], key[ok], doc[ok]
                 end = stop + length - 1
-                sums = prefix_sums(_BYTE_VALUE[data])
-                c1, c2 = run_hash(sums, start, end, 1), run_hash(sums, start, end, 2)
-                order = np.lexsort((start, c1, doc))
+                c1, c2 = digests(data, start, end).T
+                order = np.lexsort((start, c2, c1, doc))
                 again = np.zeros(len(start), bool)
-                again[order[1:]] = (c1[order[1:]] == c1[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+                again[order[1:]] = (c1[order[1:]] == c1[order[:-1]]) & (c2[order[1:]] == c2[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
                 text, edge = _gather(data, start, np.where(again, start, end))
                 text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(text)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(ids[a:b][doc].astype(np.int64)), pa.array(start - offsets[doc]), pa.array(stop - start), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(again), text],
+                    [pa.array(key.view(np.int64)), pa.array(ids[a:b][doc].astype(np.int64)), pa.array(start - offsets[doc]), pa.array(stop - start), pa.array(c1), pa.array(c2), pa.array(again), text],
                     ["key", "id", "start", "n", "c1", "c2", "again", "bytes"],
                 )
 
-    return rows
+    return lean(rows)
 
 
 def _empty(schema: list[str]) -> pa.Table:
     return pa.table({c: pa.array([], pa.int64()) for c in schema})
 
 
-SHARD_OUT = ["id", "start", "n", "key", "f1", "f2"]
+SHARD_OUT = ["id", "start", "n", "shard", "f1", "f2"]
 
 
 def _shard(length: int):
@@ -231,7 +241,7 @@ def _shard(length: int):
         at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
         text = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]]
         at = at - at[0]
-        ids, first, n, key = (table.column(c).to_numpy() for c in ("id", "start", "n", "key"))
+        ids, first, n = (table.column(c).to_numpy() for c in ("id", "start", "n"))
         end = np.repeat(at[1:], np.diff(at))
         context = np.repeat(np.arange(len(n)), n)
         inner = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
@@ -250,31 +260,39 @@ def _shard(length: int):
         edge = gone & ~np.r_[False, gone[:-1] & (context[1:] == context[:-1])]
         tail = gone & ~np.r_[gone[1:] & (context[1:] == context[:-1]), False]
         a, b = np.flatnonzero(edge), np.flatnonzero(tail)
-        out = [where_id[a], where_at[a], b - a + 1, key[context[a]], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
-        if group[1].as_py() >= 0:
-            sums = prefix_sums(_BYTE_VALUE[text])
+        shard = group[1].as_py()
+        out = [where_id[a], where_at[a], b - a + 1, np.full(len(a), shard), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
+        if shard >= 0:
             k = np.flatnonzero(is_first)
-            f1, f2 = (run_hash(sums, start[k], start[k] + length, s).view(np.int64) for s in (1, 2))
-            out = [np.r_[x, y] for x, y in zip(out, (where_id[k], where_at[k], np.zeros(len(k), np.int64), key[context[k]], f1, f2), strict=True)]
+            f1, f2 = digests(text, start[k], start[k] + length).T
+            out = [np.r_[x, y] for x, y in zip(out, (where_id[k], where_at[k], np.zeros(len(k), np.int64), np.full(len(k), shard), f1, f2), strict=True)]
         return pa.table({c: pa.array(x.astype(np.int64)) for c, x in zip(SHARD_OUT, out, strict=True)})
 
     return array
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """applyInArrow over a range of strings of one gram: those that another shard has earlier.
+    """applyInArrow over a range of digests: the strings that another shard has earlier.
 
-    The first occurrences are put in the order of (id, start); each string is
-    looked up by binary search among the sorted ones.
+    A shard has each string of a gram once.  The shards come in one after
+    another, sorted; each string is looked up by binary search among those that
+    came in before, where the earlier occurrence stays.
     """
-    i, s, f1, f2 = (table.column(c).to_numpy() for c in ("id", "start", "f1", "f2"))
-    order = np.lexsort((s, i, f2, f1))
-    sorted_ = np.rec.fromarrays([f1[order], f2[order]], names="a,b")
-    at = np.searchsorted(f1[order], f1)
-    _, lowest, inverse = np.unique(sorted_, return_index=True, return_inverse=True)
-    leader = np.empty(len(order), np.int64)
-    leader[order] = order[lowest[inverse]]
-    gone = (leader != np.arange(len(order))) & (at < len(order))
+    i, s, shard = (table.column(c).to_numpy() for c in ("id", "start", "shard"))
+    digest = np.ascontiguousarray(np.stack([table.column(c).to_numpy() for c in ("f1", "f2")], 1)).view("S16")[:, 0]
+    order = np.lexsort((digest, shard))
+    gone = np.zeros(len(i), bool)
+    leads = np.zeros(0, np.int64)
+    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        at = np.searchsorted(digest[leads], digest[own])
+        met = np.zeros(len(own), bool)
+        if len(leads):
+            met = digest[leads[np.minimum(at, len(leads) - 1)]] == digest[own]
+        mine, rival = own[met], leads[at[met]]
+        earlier = (i[mine] < i[rival]) | (i[mine] == i[rival]) & (s[mine] < s[rival])
+        gone[np.where(earlier, rival, mine)] = True
+        leads[at[met][earlier]] = mine[earlier]
+        leads = np.insert(leads, at[~met], own[~met])
     return pa.table({"id": pa.array(i[gone]), "start": pa.array(s[gone]), "n": pa.array(np.ones(gone.sum(), np.int64))})
 
 
@@ -313,7 +331,7 @@ def _cut(length: int):
                 new = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(REST).slice(a, b - a), new, pa.array(n), pa.array(n - left), spans], [REST, TEXT, "n_bytes", "n_removed", "removed"])
 
-    return rows
+    return lean(rows)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +347,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     Null text is empty.  Exact copies of a whole text are settled by its hash;
     repeated rows of one id don't remove each other.  Rows with a null id have
     no place in the order: nothing of them goes and they remove nothing.  Extra
-    columns stay.  Two 64-bit hashes decide whether contexts are equal.
+    columns stay.  128-bit digests decide whether contexts are equal, and
+    strings of different shards.
     """
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
@@ -350,10 +369,11 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     salts = F.ceil(F.col("contexts") / SHARD_CONTEXTS)
     hot = F.col("contexts") > SHARD_CONTEXTS
     shards = max(1, -(-total // SHARD_BYTES))
-    dealt = wanted.select("key", "id", "start", "n", "bytes", F.when(hot, F.col("key")).otherwise(F.pmod("key", F.lit(shards))).alias("a"), F.when(hot, F.pmod(F.xxhash64("c1"), salts)).otherwise(F.lit(-1)).cast("long").alias("b"), F.when(hot, salts).otherwise(F.lit(1)).cast("long").alias("ranges"))
+    dealt = wanted.select("key", "id", "start", "n", "bytes", F.when(hot, F.col("key")).otherwise(F.pmod("key", F.lit(shards))).alias("a"), F.when(hot, F.pmod(F.xxhash64("c1"), salts)).otherwise(F.lit(-1)).cast("long").alias("b"))
     out = written(dealt.groupBy("a", "b").applyInArrow(_shard(length), ", ".join(f"{c} long" for c in SHARD_OUT)), "strings")
-    dealt_firsts = out.where("n = 0").withColumn("range", F.pmod(F.xxhash64("f1"), F.lit(64)))
-    merged = dealt_firsts.groupBy("key", "range").applyInArrow(_merge, "id long, start long, n long")
+    firsts_of_shards = out.where("n = 0")
+    ranges = max(1, -(-firsts_of_shards.count() // RANGE_STRINGS))
+    merged = firsts_of_shards.withColumn("range", F.pmod(F.xxhash64("f1"), F.lit(ranges))).groupBy("range").applyInArrow(_merge, "id long, start long, n long")
     gone = gone.unionByName(out.where("n > 0").select("id", "start", "n")).unionByName(merged)
     cuts = gone.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")).withColumnRenamed("id", "k")
 

@@ -89,14 +89,16 @@ def test_suffix_dedup(spark, docs):
             if s in seen:
                 gone[k : k + 100] = True
             seen.add(s)
-        want[i] = (len(b), int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone]))
+        want[i] = (len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone]))
     for contexts in (2048, 3):  # and with grams dealt over shards
         S.SHARD_CONTEXTS = contexts
         got = S.suffix_dedup(docs.select("doc_id", "text", "n_words"))
         for r in got.collect():
             if r.doc_id is not None:
-                assert (r.n_bytes, r.n_removed, bytes(r.text)) == want[r.doc_id]
+                assert (r.n_bytes, r.n_removed, len(r.removed), bytes(r.text)) == want[r.doc_id]
                 assert sum(s.end - s.start for s in r.removed) == r.n_removed
+            else:  # has no place in the order
+                assert (r.n_removed, len(r.removed)) == (0, 0)
     S.SHARD_CONTEXTS = 2048
     assert S.suffix_dedup(empty(spark)).count() == 0
 
@@ -120,6 +122,30 @@ def test_suffix_order_and_kasai():
             assert common[k] == n
 
 
+def test_strings_that_defeat_polynomial_hashes(spark):
+    """Thue-Morse words: any polynomial modulo a power of two gives the two the same hash."""
+    from petriscope.llm.ngram_jaccard import ngram_jaccard
+    from petriscope.llm.substring_dedup import substring_dedup
+    from petriscope.llm.suffix_dedup import suffix_dedup
+
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    around = [f"u{k}" for k in range(40)]
+    rows = [(k, " ".join([*around[:20], x, *around[20:]])) for k, x in enumerate((morse, other))] + [(2, " ".join([morse] * 20)), (3, " ".join([other] * 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup(df, 13).orderBy("doc_id").collect()] == [0, 40, 0, 0]
+    assert [r.component_id for r in ngram_jaccard(df, 4, 85).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+    seen, want = set(), []
+    for _, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(t[k : k + 100])
+        want.append(int(gone.sum()))
+    assert [r.n_removed for r in suffix_dedup(df, 100).orderBy("doc_id").collect()] == want
+
+
 def groups(rows, n, percent):
     sets = []
     for _, t in rows:
