@@ -16,6 +16,8 @@ from .textkernel import squeeze
 
 #: Ids that a broadcast holds at most (about 16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of an Arrow batch, about; Spark has no limit of bytes unless one is set.
+BATCH_BYTES = 4 << 20
 ID, TEXT, REST = "__id", "__text", "__rest"
 
 
@@ -33,6 +35,13 @@ def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes in this session, so that long texts don't fill a worker; a limit that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -59,6 +68,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -89,6 +99,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     So any extra column, whatever its name, travels through an operator untouched.
     """
+    bounded_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias(ID),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import bounded_batches, lean
 from .textkernel import LOWER, mix, steps
 
 #: Hashed n-grams of 1 to 3 bytes.
@@ -129,6 +129,7 @@ def fit(rows: DataFrame) -> Model | None:
 
     More languages than ``ROWS`` can hold ``LEAST`` rows of are an error.
     """
+    bounded_batches(rows.sparkSession)
     counts = rows.groupBy("lang").count()
     many = counts.count()
     if many * LEAST > ROWS:

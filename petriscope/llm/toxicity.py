@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ID, REST, TEXT, lean, packed, unpacked
+from .common import ID, REST, TEXT, bounded_batches, lean, packed, unpacked
 from .textkernel import LOWER, Words, byte_values, mix, prefix_sums, run_hash, steps
 
 #: Hashed words and word beginnings of 4 and 5 bytes.
@@ -171,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     for.  Labels that are null are no label; of repeated labels of an id any
     that has a category gives it.  Other columns of ``labels`` are not read.
     """
+    bounded_batches(docs.sparkSession)
     ys = [f"y{k}" for k in range(len(categories))]
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), *(c.cast("int").alias(y) for y, c in zip(ys, categories.values(), strict=True))).dropna()
     named = named.groupBy("id").agg(*(F.max(y).alias(y) for y in ys))
