@@ -17,6 +17,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, computed once a row however often they are used.
+
+    What a generator gives, the optimizer neither copies into later expressions
+    nor into filters below.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def dedup_points(p: Column) -> Column:
     """Sorted by x, then y; repeated points once."""
     return F.array_sort(F.array_distinct(p))
@@ -124,7 +134,7 @@ def form_simple(objects: DataFrame, poly: str = "poly", compat: bool = False) ->
     cx, cy = centroid(p, compat)
     mx, my = mean_point(p)
     box = bounding_box(p)
-    out = objects.withColumns({"form_centroid_x": cx, "form_centroid_y": cy, "form_center_x": mx, "form_center_y": my, "form_area": area(p), "form_perimeter": perimeter(p), "__w": box["x_max"] - box["x_min"], "__h": box["y_max"] - box["y_min"]})
+    out = settled(objects, {"form_centroid_x": cx, "form_centroid_y": cy, "form_center_x": mx, "form_center_y": my, "form_area": area(p), "form_perimeter": perimeter(p), "__w": box["x_max"] - box["x_min"], "__h": box["y_max"] - box["y_min"]})
     a, length, w, h = (F.col(c) for c in ("form_area", "form_perimeter", "__w", "__h"))
     none = F.lit(0.0)
     thread = (length + F.sqrt(F.greatest(length * length - 16 * a, none))) / 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -308,13 +309,13 @@ def list_files_filter(spark, sf):
     return P.listed(_files(spark, sf), substring="image").select("path", "stem", "ext")
 
 
-_MASKS = "g AS (SELECT 'masks/img_' || doc_id || '_mask.png' AS path FROM documents WHERE doc_id % 3 = 0)"
+_MASKS = "g AS (SELECT 'masks/img_' || doc_id || '_mask.png' AS path FROM documents)"
 _KEYED = f"""WITH {_LIST}, {_MASKS}, a AS (SELECT replace(regexp_extract(path, '([^/]*)\\.[^.]*$', 1), '_image', '') AS key, max(path) AS path_a FROM f WHERE path NOT LIKE '%.txt' GROUP BY 1),
 b AS (SELECT replace(regexp_extract(path, '([^/]*)\\.[^.]*$', 1), '_mask', '') AS key, path AS path_b FROM g)"""
 
 
 def _masks(spark, sf):
-    d = T.read(spark, sf, "documents").where("doc_id % 3 = 0")
+    d = T.read(spark, sf, "documents")
     return P.listed(d.select(F.concat(F.lit("masks/img_"), "doc_id", F.lit("_mask.png")).alias("path")))
 
 
@@ -431,15 +432,42 @@ def _measured(family: str, columns: tuple[str, ...], source):
     def run(spark, sf):
         from .verbs import measure
 
-        return measure(source(spark, sf), family).select("image", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in columns))
+        return measure(source(spark, sf), family).select("image", *((F.round(F.col(c).cast("double"), 3) + 0.0).alias(c) for c in columns))
 
     return run
 
 
-query("measure_intensity")(_measured("intensity", ("intensity_min", "intensity_max", "intensity_mean", "intensity_median"), _gray_structs))
-query("measure_moments")(_measured("moments", ("moments_m00", "moments_m10", "moments_m01"), _gray_structs))
-query("measure_texture")(_measured("texture", TEXTURE, _gray_structs))
-query("measure_zernike")(_measured("zernike", tuple(f"zernike_{n}{m}" for n, m in ZERNIKE_ORDERS), _gray_structs))
+def _single(name: str, decimals: int = 3, to: str = "") -> str:
+    """A single-precision result, as the verbs give it, rounded."""
+    return f"round(CAST(CAST({name} AS REAL) AS DOUBLE), {decimals}) + 0e0 AS {to}{name}"  # no negative zero
+
+
+def _measured_sql(inner: str, columns: tuple[str, ...]) -> str:
+    return f"SELECT CAST(image AS VARCHAR) AS image, {', '.join(_single(c) for c in columns)} FROM ({inner})"
+
+
+def _precise(sql: str) -> str:
+    """An oracle above without its own rounding."""
+    return re.sub(r"round\((CAST\((?:[^()]|\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\))* AS DOUBLE\)), \d\)", r"\1", sql)
+
+
+_INTENSITY = ("intensity_min", "intensity_max", "intensity_mean", "intensity_median")
+_MOMENTS = tuple(f"moments_{m}" for m in RAW_MOMENTS)
+_ZERNIKE = tuple(f"zernike_{n}{m}" for n, m in ZERNIKE_ORDERS)
+
+
+def _moments_of(pixels: str) -> str:
+    return f"WITH {pixels} SELECT image, {', '.join(f'coalesce(sum(CAST(v AS DOUBLE) * pow(x, {m[1]}) * pow(y, {m[2]})), 0e0) AS moments_{m}' for m in RAW_MOMENTS)} FROM px GROUP BY image"
+
+
+def _texture_of(pixels: str) -> str:
+    return f"WITH {pixels}, {_GLCM}, {_HARALICK} SELECT image, {', '.join(f'avg({t[8:]}) AS {t}' for t in TEXTURE)} FROM hk GROUP BY image"
+
+
+query("measure_intensity", _measured_sql(_precise(_intensity_sql(T.CLIPPED_SQL)), _INTENSITY))(_measured("intensity", _INTENSITY, _gray_structs))
+query("measure_moments", _measured_sql(_moments_of(T.CLIPPED_SQL), _MOMENTS[:3]))(_measured("moments", _MOMENTS[:3], _gray_structs))
+query("measure_texture", _measured_sql(_texture_of(T.CLIPPED_SQL), TEXTURE))(_measured("texture", TEXTURE, _gray_structs))
+query("measure_zernike", _measured_sql(_precise(_zernike_sql(T.CLIPPED_SQL, 8, 8)), _ZERNIKE))(_measured("zernike", _ZERNIKE, _gray_structs))
 
 
 @query("measure_form")
@@ -449,15 +477,46 @@ def measure_form(spark, sf):
     return run(T.polygons(spark, sf).select(F.col("object").cast("string").alias("image"), F.array("poly").alias("polygons")))
 
 
-@query("profile_boxes")
+_CROP = T.CLIPPED_SQL.replace("px AS", "raw AS") + ", px AS (SELECT image, x - 1 AS x, y - 1 AS y, c, v FROM raw WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5)"
+_PROFILED = (*_INTENSITY, *_MOMENTS[:3], *TEXTURE, *_ZERNIKE)
+
+
+def _profiled_sql(pixels: str) -> str:
+    families = (_precise(_intensity_sql(pixels)), _moments_of(pixels), _texture_of(pixels), _precise(_zernike_sql(pixels, 6, 5)))
+    joined = " JOIN ".join(f"({sql}) f{k}" + " USING (image)" * bool(k) for k, sql in enumerate(families))
+    return f"SELECT CAST(image AS VARCHAR) AS image, CAST(0 AS INTEGER) AS object, {', '.join(_single(c, to='complete_') for c in _PROFILED)} FROM {joined}"
+
+
+def _boxed(spark, sf) -> DataFrame:
+    box = F.struct(*(F.lit(float(v)).alias(c) for c, v in (("x_min", 2), ("y_min", 2), ("x_max", 5), ("y_max", 4))))
+    return _gray_structs(spark, sf).withColumn("boxes", F.array(box))
+
+
+@query("profile_boxes", _profiled_sql(_CROP))
 def profile_boxes(spark, sf):
     from .verbs import profile
 
-    box = F.struct(*(F.lit(float(v)).alias(c) for c, v in (("x_min", 2), ("y_min", 2), ("x_max", 5), ("y_max", 4))))
-    return profile(_gray_structs(spark, sf).withColumn("boxes", F.array(box)), "boxes", "cx")
+    out = profile(_boxed(spark, sf), "boxes", "cx")
+    return out.select("image", "object", *((F.round(F.col(f"complete_{c}").cast("double"), 3) + 0.0).alias(f"complete_{c}") for c in _PROFILED))
+
+
+@query("process_boxes", f"WITH {_CROP} SELECT CAST(image AS VARCHAR) AS image, CAST(0 AS INTEGER) AS object, CAST(6 AS INTEGER) AS width, CAST(5 AS INTEGER) AS height, string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x) AS pixels FROM px GROUP BY image")
+def process_boxes(spark, sf):
+    from .verbs import process
+
+    return process(_boxed(spark, sf), "boxes", "c").select("image", "object", "im.width", "im.height", F.hex("im.data").alias("pixels"))
+
+
+def _corner_sql(axis: str, old: int, new: int) -> str:
+    """Weights (o, axis, w) of the general resize along one axis."""
+    at = f"(o - 0.5e0) * ({old}e0 / {new}e0)"
+    low, high = f"greatest(floor({at}), 0e0)", f"least(greatest(ceil({at}), 0e0), {old - 1}e0)"
+    return f"(SELECT o, CAST(p AS INTEGER) AS {axis}, sum(w) AS w FROM (SELECT o, {low} AS p, 1 - ({at} - {low}) AS w FROM range({new}) t(o) UNION ALL SELECT o, {high}, {at} - {low} FROM range({new}) t(o)) GROUP BY ALL)"
 
 
-@query("resize_general")
+@query("resize_general", f"""WITH {T.CLIPPED_SQL}, wx AS {_corner_sql('x', 8, 12)}, wy AS {_corner_sql('y', 8, 10)},
+big AS (SELECT image, wx.o AS ox, wy.o AS oy, sum(v * wx.w * wy.w) AS v FROM px JOIN wx USING (x) JOIN wy USING (y) GROUP BY ALL)
+SELECT CAST(image AS VARCHAR) AS image, string_agg(CAST(CAST(least(greatest(floor(v + 0.5e0), 0e0), 255e0) AS INTEGER) AS VARCHAR), ',' ORDER BY oy, ox) AS pixels FROM big GROUP BY image""")
 def resize_general(spark, sf):
     import pandas as pd
 
@@ -466,6 +525,6 @@ def resize_general(spark, sf):
         from petriscope.sources.codecs import unpack_image
 
         for batch in batches:
-            yield pd.DataFrame([(i, resize(unpack_image(im), 12, 10, "corner").ravel().tolist()) for i, im in batch.itertuples(index=False, name=None)], columns=["image", "pixels"])
+            yield pd.DataFrame([(i, ",".join(map(str, resize(unpack_image(im), 12, 10, "corner").ravel().tolist()))) for i, im in batch.itertuples(index=False, name=None)], columns=["image", "pixels"])
 
-    return _gray_structs(spark, sf).mapInPandas(rows, "image string, pixels array<int>")
+    return _gray_structs(spark, sf).mapInPandas(rows, "image string, pixels string")

@@ -29,12 +29,12 @@ def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One polygon per user with three points or more: distinct (event_id mod 24, floor(value)), in angular order."""
-    from ..functions.polygons import dedup_points, order_points
+    from ..functions.polygons import dedup_points, order_points, settled
 
     point = F.struct(F.pmod("event_id", F.lit(24)).cast("double").alias("x"), F.floor("value").cast("double").alias("y"))
     raw = read(spark, sf_dir, "events").where("value is not null").groupBy(F.col("user_id").alias("object")).agg(F.collect_set(point).alias("points"))
     out = raw.where(F.size("points") > 2)
-    return out.select("object", order_points(dedup_points(F.col("points"))).alias("poly"))
+    return settled(out.select("object", "points"), {"poly": order_points(dedup_points(F.col("points")))}).select("object", "poly")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables in DuckDB SQL, as common table expressions.
 GRAY_SQL = """px AS (SELECT image, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, 0 AS c, CAST(floor(greatest(CAST(e AS DOUBLE), 0e0) * 400) AS INTEGER) AS v
   FROM (SELECT vec_id AS image, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings))"""
+CLIPPED_SQL = GRAY_SQL.replace("CAST(floor(", "CAST(least(255, floor(").replace("* 400) AS", "* 400)) AS")
 MULTI_SQL = """px AS (SELECT image, CAST((i // 4) % 4 AS INTEGER) AS x, CAST(i // 16 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS c, CAST(floor(greatest(CAST(e AS DOUBLE), 0e0) * 400) AS INTEGER) AS v
   FROM (SELECT vec_id AS image, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings))"""
 POLYGON_SQL = """pt AS (SELECT DISTINCT user_id AS object, CAST(event_id % 24 AS DOUBLE) AS x, floor(value) AS y FROM events WHERE value IS NOT NULL),

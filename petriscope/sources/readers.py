@@ -17,7 +17,7 @@ from ..schema import BOX_KEYS, IMAGE, IMAGE_FORMATS, POLYGON_KEYS
 from . import codecs
 
 #: Images in one Arrow batch: pixels are large, so few.
-BATCH = 16
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
 DDL = "path string, stem string, im struct<width:int,height:int,channels:int,dtype:string,data:binary>, error string"
 
 
@@ -28,7 +28,8 @@ def list_files(spark: SparkSession, folder: str, formats: tuple[str, ...] = IMAG
 
 
 def _content(spark: SparkSession, folder: str, formats: tuple[str, ...], substring: str | None) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
     return listed(files, formats, substring).select("path", "stem", "ext", "content")
 
