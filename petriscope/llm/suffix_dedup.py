@@ -39,7 +39,7 @@ STEP = 1 << 18
 #: Bytes of contexts in a shard, about, and contexts of one gram in a shard at most, about.
 SHARD_BYTES, SHARD_CONTEXTS = 1 << 20, 2048
 #: Strings in a range of the merge, about.
-RANGE_STRINGS = 100_000
+RANGE_STRINGS = 4096
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
