@@ -528,3 +528,108 @@ def resize_general(spark, sf):
             yield pd.DataFrame([(i, ",".join(map(str, resize(unpack_image(im), 12, 10, "corner").ravel().tolist()))) for i, im in batch.itertuples(index=False, name=None)], columns=["image", "pixels"])
 
     return _gray_structs(spark, sf).mapInPandas(rows, "image string, pixels string")
+
+
+# --- verbs on masks, polygons and pairs -------------------------------------
+
+#: Components of more than two pixels, in raster order, as (image, object, label, box): what the verbs call objects.
+_OBJECTS = f"""RECURSIVE {T.CLIPPED_SQL}, on_ AS MATERIALIZED (SELECT image, x, y, y * 8 + x AS k FROM px WHERE v > 40),
+nb AS MATERIALIZED (SELECT a.image, a.k, b.k AS l FROM on_ a JOIN on_ b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT image, k, l FROM nb UNION SELECT r.image, r.k, n.l FROM reach r JOIN nb n ON n.image = r.image AND n.k = r.l),
+root AS (SELECT image, k, min(l) AS first_ FROM reach GROUP BY image, k),
+lab AS MATERIALIZED (SELECT image, k, dense_rank() OVER (PARTITION BY image ORDER BY first_) AS label FROM root),
+big AS (SELECT image, label, min(k % 8) AS x0, min(k // 8) AS y0, max(k % 8) AS x1, max(k // 8) AS y1 FROM lab GROUP BY ALL HAVING count(*) > 2),
+obj AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image ORDER BY label) - 1 AS object FROM big)"""
+#: Pixels of the padded crops of objects that don't touch the border, with whether they are the object's.
+_CELLS = f"""{_OBJECTS}, cell AS MATERIALIZED (SELECT o.image, o.object, p.x - o.x0 + 1 AS x, p.y - o.y0 + 1 AS y, o.x1 - o.x0 + 3 AS w, o.y1 - o.y0 + 3 AS h, 0 AS c, p.v, coalesce(l.label = o.label, false) AS mine
+  FROM obj o JOIN px p ON p.image = o.image AND p.x BETWEEN o.x0 - 1 AND o.x1 + 1 AND p.y BETWEEN o.y0 - 1 AND o.y1 + 1 LEFT JOIN lab l ON l.image = p.image AND l.k = p.y * 8 + p.x
+  WHERE o.x0 > 0 AND o.y0 > 0 AND o.x1 < 7 AND o.y1 < 7)"""
+_PARTS = {"complete": "v", "mask": "CASE WHEN mine THEN 255 ELSE 0 END", "foreground": "CASE WHEN mine THEN v ELSE 0 END", "background": "CASE WHEN mine THEN 0 ELSE v END"}
+
+
+def _parted(names: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT image, object, '{n}' AS part, x, y, w, h, c, {_PARTS[n]} AS v FROM cell" for n in names)
+
+
+def _mask_pairs(spark, sf) -> DataFrame:
+    """Images with their masks; both are made of one row, so nothing is joined."""
+    from .verbs import image_of
+
+    image = image_of(F.transform("pixels", lambda v: F.least(v, F.lit(255))), 8, 8)
+    mask = image_of(F.transform("pixels", lambda v: (v > 40).cast("int")), 8, 8)
+    return T.gray_images(spark, sf).select(F.col("image").cast("string").alias("image"), image.alias("im"), mask.alias("mask"))
+
+
+@query("mask_object_boxes", f"WITH {_OBJECTS} SELECT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, CAST(label AS BIGINT) AS label, CAST(x0 AS DOUBLE) AS x_min, CAST(y0 AS DOUBLE) AS y_min, CAST(x1 AS DOUBLE) AS x_max, CAST(y1 AS DOUBLE) AS y_max FROM obj")
+def mask_object_boxes(spark, sf):
+    from .verbs import mask_to_boxes as run
+
+    return run(_mask_images(spark, sf)).where("object is not null").select("image", "object", "label", "bbox.*")
+
+
+@query("process_mask_pixels", f"""WITH {_CELLS}, pt AS ({_parted(tuple(_PARTS))})
+SELECT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, part, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x) AS pixels FROM pt GROUP BY image, object, part""")
+def process_mask_pixels(spark, sf):
+    from .verbs import process
+
+    return process(_mask_pairs(spark, sf), "mask", "cmfb").select("image", "object", "part", "im.width", "im.height", F.hex("im.data").alias("pixels"))
+
+
+_PART_NAMES = ("complete", "foreground", "background")
+_KEYED_PARTS = f"{_CELLS.replace('px AS', 'whole AS', 1).replace('FROM px WHERE', 'FROM whole WHERE').replace('JOIN px p', 'JOIN whole p')}, px AS MATERIALIZED (SELECT image || ':' || object || ':' || part AS image, x, y, c, v FROM ({_parted(_PART_NAMES)}))"
+
+
+@query("profile_mask_parts", f"SELECT image AS key, {', '.join(_single(c) for c in (*_INTENSITY, *_MOMENTS[:3]))} FROM ({_precise(_intensity_sql(_KEYED_PARTS))}) f0 JOIN ({_moments_of(_KEYED_PARTS)}) f1 USING (image)")
+def profile_mask_parts(spark, sf):
+    from .verbs import profile
+
+    names = (*_INTENSITY, *_MOMENTS[:3])
+    one = lambda part: F.struct(F.concat_ws(":", "image", "object", F.lit(part)).alias("key"), *((F.round(F.col(f"{part}_{c}").cast("double"), 3) + 0.0).alias(c) for c in names))
+    return profile(_mask_pairs(spark, sf), "mask", "cfb").where("object is not null").select(F.inline(F.array(*map(one, _PART_NAMES))))
+
+
+def _ringed(spark, sf) -> DataFrame:
+    """A triangle in each image, of the extents of the box above."""
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((2.0, 2.0), (5.0, 2.0), (5.0, 4.0))))
+    return _gray_structs(spark, sf).withColumn("polygons", F.array(ring))
+
+
+@query("profile_polygons", f"SELECT *, 3e0 AS form_area, 4e0 AS form_center_x FROM ({_profiled_sql(_CROP)})")
+def profile_polygons(spark, sf):
+    from .verbs import profile
+
+    out = profile(_ringed(spark, sf), "polygons", "pc")
+    form = (F.col(c).cast("double").alias(c) for c in ("form_area", "form_center_x"))
+    return out.select("image", "object", *((F.round(F.col(f"complete_{c}").cast("double"), 3) + 0.0).alias(f"complete_{c}") for c in _PROFILED), *form)
+
+
+@query("process_polygons", ORACLE_SQL["process_boxes"])
+def process_polygons(spark, sf):
+    from .verbs import process
+
+    return process(_ringed(spark, sf), "polygons", "c").select("image", "object", "im.width", "im.height", F.hex("im.data").alias("pixels"))
+
+
+_RINGS = ("form_area", "form_area_bbox", "form_perimeter", "form_center_x", "form_center_y", "form_max_feret")
+
+
+@query("measure_form_columns", f"""{_BASE}, m AS (SELECT object, avg(x) AS form_center_x, avg(y) AS form_center_y FROM ring GROUP BY object),
+d AS (SELECT p.object, sqrt(max(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) AS form_max_feret FROM ring p JOIN ring q USING (object) GROUP BY p.object)
+SELECT CAST(object AS VARCHAR) AS image, {', '.join(_single(c, 2) for c in _RINGS)} FROM (SELECT object, a AS form_area, w * h AS form_area_bbox, l AS form_perimeter, form_center_x, form_center_y, form_max_feret FROM b JOIN m USING (object) JOIN d USING (object))""")
+def measure_form_columns(spark, sf):
+    return measure_form(spark, sf).select("image", *((F.round(F.col(c).cast("double"), 2) + 0.0).alias(c) for c in _RINGS))
+
+
+@query("pair_images", f"""WITH {T.CLIPPED_SQL}, g AS (SELECT image, max(v) AS most, string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x) AS pixels, string_agg(CASE WHEN v > 40 THEN '01' ELSE '00' END, '' ORDER BY y, x) AS mask FROM px GROUP BY image)
+SELECT 'img_' || image || '_image' AS image, 'img_' || image AS id, pixels, mask FROM g WHERE most > 40""")
+def pair_images(spark, sf):
+    """The verb on two image files a key, of which the last path holds, and on masks of which the empty ones are error rows."""
+    from .verbs import image_of, pair
+
+    stem = F.concat(F.lit("img_"), "image", F.lit("_image"))
+    pixels = {"npy": F.transform("pixels", lambda v: v * 0), "png": F.transform("pixels", lambda v: F.least(v, F.lit(255)))}
+    versions = F.inline(F.array(*(F.struct(F.concat(F.lit("in/"), stem, F.lit(f".{ext}")).alias("path"), image_of(v, 8, 8).alias("im")) for ext, v in pixels.items())))
+    images = T.gray_images(spark, sf).select(stem.alias("stem"), F.lit(None).cast("string").alias("error"), versions)
+    on = F.transform("pixels", lambda v: (v > 40).cast("int"))
+    masks = T.gray_images(spark, sf).select(F.concat(F.lit("img_"), "image", F.lit("_mask")).alias("stem"), image_of(on, 8, 8).alias("im"), F.when(F.array_max(on) == 0, F.lit("no objects")).alias("error"))
+    return pair(images, masks, "mask", "_image", "_mask").select("image", "id", F.hex("im.data").alias("pixels"), F.hex("mask.data").alias("mask"))

@@ -7,13 +7,14 @@ it, and :func:`spread` deals them evenly where a few hold most objects.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import pair_key
 from ..operators import neural as N
 from ..operators import objects as O
 from ..schema import profile_columns
+from ..sources import readers
 from ..sources.catalogs import MODELS
 
 KINDS = {"mask": "mask", "polygons": "polygons", "boxes": "boxes"}
@@ -29,6 +30,21 @@ def pair(images: DataFrame, segments: DataFrame, kind: str, substring_images: st
     return a.join(b, "id").select("image", "id", "im", kind)
 
 
+def check_folders(images: str, segments: str, substring_images: str | None = None, substring_segments: str | None = None) -> None:
+    """Images and segmentations in one folder must be told apart by their substrings."""
+    if images.rstrip("/") == segments.rstrip("/") and substring_images == substring_segments:
+        raise ValueError("images and segmentations in one folder need different substrings")
+
+
+def pair_folders(spark: SparkSession, images: str, segments: str, kind: str = "mask", substring_images: str | None = None, substring_segments: str | None = None) -> DataFrame:
+    """The files of two folders, read and paired."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind}")
+    check_folders(images, segments, substring_images, substring_segments)
+    read = {"mask": readers.read_masks, "polygons": readers.read_polygons, "boxes": readers.read_boxes}[kind]
+    return pair(readers.read_images(spark, images, substring_images), read(spark, segments, substring_segments), kind, substring_images, substring_segments)
+
+
 def spread(paired: DataFrame, tasks: int) -> DataFrame:
     """Images dealt evenly over tasks, so that one dense folder doesn't fill one task."""
     return paired.repartition(tasks)
@@ -93,6 +109,16 @@ def object_errors(objects: DataFrame) -> DataFrame:
     return objects.where(F.col("error").isNotNull()).select("image", "error")
 
 
+def write_status(objects: DataFrame, folder: str) -> None:
+    """object_counts.tsv and object_errors.tsv in ``folder``, without a header, each only if it has rows.
+
+    Both are folders of part files, as Spark writes them.
+    """
+    for name, rows in (("object_counts", object_counts(objects)), ("object_errors", object_errors(objects))):
+        if not rows.isEmpty():
+            rows.write.option("sep", "\t").csv(f"{folder}/{name}.tsv")
+
+
 def long_form(table: DataFrame, keys: list[str]) -> DataFrame:
     """A descriptor table as (keys, name, value) rows."""
     names = [c for c in table.columns if c not in (*keys, "error")]

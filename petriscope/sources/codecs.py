@@ -40,34 +40,38 @@ def encode_npy(a: np.ndarray) -> bytes:
 
 def _unfilter(raw: np.ndarray, height: int, stride: int, step: int) -> np.ndarray:
     lines = raw.reshape(height, stride + 1)
+    if (lines[:, 0] > 2).any():
+        return _unfilter_diagonals(lines[:, 0], lines[:, 1:], step)
     out = np.zeros((height, stride), np.uint8)
     above = np.zeros(stride, np.uint8)
     for y in range(height):
         kind, line = lines[y, 0], lines[y, 1:]
         if kind == 0:
-            row = line.copy()
+            row = line
         elif kind == 2:
             row = line + above
-        elif kind == 1:
-            row = np.cumsum(np.pad(line, (0, -stride % step)).reshape(-1, step), 0, dtype=np.uint8).ravel()[:stride]
         else:
-            row = np.zeros(stride, np.uint8)
-            left, corner = [0] * step, [0] * step
-            up = above.tolist()
-            for i, v in enumerate(line.tolist()):
-                a, b, c = left[i % step], up[i], corner[i % step]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                row[i] = left[i % step] = (v + guess) & 255
-                corner[i % step] = b
+            row = np.cumsum(np.pad(line, (0, -stride % step)).reshape(-1, step), 0, dtype=np.uint8).ravel()[:stride]
         out[y] = above = row
     return out
 
 
+def _unfilter_diagonals(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
+    """Averages and Paeth guesses need the left and the upper pixel: all pixels of an anti-diagonal are computed together."""
+    height, width = len(lines), -(-lines.shape[1] // step)
+    given = np.pad(lines, ((0, 0), (0, width * step - lines.shape[1]))).reshape(height, width, step).astype(np.int16)
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for t in range(height + width - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x = t - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        to_left, to_up, to_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(left), left, up, (left + up) >> 1, paeth])
+        out[y + 1, x + 1] = (given[y, x] + guess) & 255
+    return out[1:, 1:].reshape(height, -1)[:, : lines.shape[1]].astype(np.uint8)
+
+
 def decode_png(raw: bytes) -> np.ndarray:
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")

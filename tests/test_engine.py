@@ -134,6 +134,66 @@ def test_sinks(spark, tmp_path, folders):
     assert spark.read.json(str(tmp_path / "json")).columns == ["image", "polygons"]
 
 
+def test_png_filters():
+    """Rows of every filter, written here pixel by pixel from the definition, come back."""
+    rng = np.random.default_rng(3)
+    for c, dtype in ((1, "u1"), (3, "u1"), (1, "u2"), (3, "u2")):
+        a = rng.integers(0, np.iinfo(dtype).max, (11, 9, c)).astype(dtype)
+        flat = np.ascontiguousarray(a.astype(">u2") if dtype == "u2" else a).view(np.uint8).reshape(11, -1).astype(int)
+        step, lines = c * a.itemsize, []
+        for y, row in enumerate(flat):
+            kind, line = y % 5, []
+            for i, v in enumerate(row):
+                left, up = row[i - step] if i >= step else 0, flat[y - 1][i] if y else 0
+                corner = flat[y - 1][i - step] if y and i >= step else 0
+                guesses = sorted(((abs(left + up - corner - g), k, g) for k, g in enumerate((left, up, corner))))
+                line.append((v - (0, left, up, (left + up) // 2, guesses[0][2])[kind]) % 256)
+            lines.append([kind, *line])
+        raw = np.array(lines, np.uint8).ravel()
+        assert (codecs._unfilter(raw, 11, flat.shape[1], step) == flat).all()
+
+
+def test_json_files_come_back(spark, tmp_path, folders):
+    masks = readers.read_masks(spark, f"{folders}/masks").select(F.regexp_replace("stem", "_mask", "").alias("image"), "im")
+    objects = verbs.mask_to_polygons(masks).cache()
+    for what, read in (("polygons", readers.read_polygons), ("bounding_boxes", readers.read_boxes)):
+        done = writers.write_json_files(objects, str(tmp_path / what), what).collect()
+        assert {r.image for r in done} == {"a", "b"} and all(r.error is None for r in done)
+        back = {r.stem: r for r in read(spark, str(tmp_path / what)).collect()}
+        for r in objects.collect():
+            if what == "polygons":
+                assert back[r.image].error is None and back[r.image].polygons[r.object] == r.poly
+            else:
+                assert back[r.image].error is None and back[r.image].boxes[r.object] == r.bbox
+    assert {p.name for p in (tmp_path / "polygons").iterdir()} == {"a.json", "b.json"}
+
+
+def test_masks_saved_flat_and_by_uri(spark, tmp_path, folders):
+    masks = readers.read_masks(spark, f"{folders}/masks").select(F.col("stem").alias("name"), "im")
+    done = writers.write_masks(masks, f"file://{tmp_path}/m").collect()
+    assert len(done) == 2 and all(r.error is None for r in done)
+    assert np.load(tmp_path / "m/a_mask.npy").shape == (30, 40)
+
+
+def test_folders_guard_and_status(spark, tmp_path, folders):
+    with pytest.raises(ValueError):
+        verbs.pair_folders(spark, f"{folders}/images", f"{folders}/images/", "mask", "x", "x")
+    with pytest.raises(ValueError):
+        verbs.pair_folders(spark, folders, folders, "lines", "x", "y")
+    paired = verbs.pair_folders(spark, f"{folders}/images", f"{folders}/masks", "mask", "_image", "_mask")
+    out = verbs.profile(paired, "mask", "c")
+    assert out.count() == 4
+    verbs.write_status(out, str(tmp_path))
+    assert (tmp_path / "object_counts.tsv").exists() and not (tmp_path / "object_errors.tsv").exists()
+    assert {tuple(r) for r in spark.read.option("sep", "\t").csv(str(tmp_path / "object_counts.tsv")).collect()} == {("a_image", "2"), ("b_image", "2")}
+
+
+def test_embeddings_file_has_a_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "GATHERED", 2)
+    with pytest.raises(ValueError):
+        writers.write_embeddings(spark.range(3).select(F.array(F.lit(1.0)).alias("embedding")), str(tmp_path / "e.npy"))
+
+
 def test_neural(spark, tmp_path, folders):
     w = N.random_weights("dino_vit_small", depth=1)
     np.savez(tmp_path / "w.npz", **w)
