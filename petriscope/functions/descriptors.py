@@ -10,27 +10,31 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import HU_MOMENTS, RAW_MOMENTS, ZERNIKE_ORDERS
+from .polygons import let, settled
 
 #: Fixed value: single-precision epsilon, added inside logarithms.
 EPS = 1.1920928955078125e-07
 LEVELS = 64
-#: Neighbour offsets of the four angles.
-OFFSETS = {0: (1, 0), 45: (1, 1), 90: (0, 1), 135: (-1, 1)}
 
 
 def intensity(pixels: DataFrame, by: list[str], compat: bool = False) -> DataFrame:
     """min, max, sum, mean, std (means over channels; ``compat``: Q2), median and mad of all channels together.
 
-    One shuffle: positive values travel as a list per channel, and the list's
-    own functions give the rest.
+    Counts of equal values are combined before they move, so a row holds an
+    image's distinct values, not its pixels.
     """
-    v = F.when(F.col("v") > 0, F.col("v").cast("double"))
-    per = pixels.groupBy(*by, "c").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.collect_list(v).alias("values"))
+    v, n = F.col("v"), F.col("n")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    counts = pixels.groupBy(*by, "c", F.when(F.col("v") > 0, F.col("v").cast("double")).alias("v")).agg(F.count("*").alias("n"))
+    mass = F.nullif(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
+    per = counts.groupBy(*by, "c").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v * n).alias("total"), mass.alias("mass"), F.collect_list(F.when(v.isNotNull(), F.struct("v", "n"))).alias("values"))
+    per = per.withColumn("mean", F.col("total") / F.col("mass"))
+    squares = F.aggregate("values", F.lit(0.0), lambda s, q: s + q["n"] * F.pow(q["v"] - F.col("mean"), F.lit(2)))
+    per = per.withColumn("std", F.sqrt(squares / F.col("mass")))
     names = ("lo", "hi", "total", "mean", "std")
     if compat:
         last = lambda c: F.max_by(zero(F.col(c)), "c") / F.count("*")
@@ -38,14 +42,23 @@ def intensity(pixels: DataFrame, by: list[str], compat: bool = False) -> DataFra
     else:
         stats = [F.avg(zero(F.col(n))).alias(n) for n in names]
     one = per.groupBy(*by).agg(*stats, F.array_sort(F.flatten(F.collect_list("values"))).alias("s"))
-    one = one.withColumn("median", zero(median_of_sorted(F.col("s"))))
-    gaps = F.array_sort(F.transform("s", lambda x: F.abs(x - F.col("median"))))
-    return one.select(*by, *(F.col(a).alias(f"intensity_{b}") for a, b in zip(names, ("min", "max", "sum", "mean", "std"), strict=True)), F.col("median").alias("intensity_median"), zero(median_of_sorted(gaps)).alias("intensity_mad"))
+    one = settled(one, {"median": zero(median_of_counts(F.col("s")))})
+    gaps = F.array_sort(F.transform("s", lambda q: F.struct(F.abs(q["v"] - F.col("median")).alias("v"), q["n"].alias("n"))))
+    return one.select(*by, *(F.col(a).alias(f"intensity_{b}") for a, b in zip(names, ("min", "max", "sum", "mean", "std"), strict=True)), F.col("median").alias("intensity_median"), zero(median_of_counts(gaps)).alias("intensity_mad"))
 
 
-def median_of_sorted(s: Column) -> Column:
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+def median_of_counts(s: Column) -> Column:
+    """Median of sorted array<struct<v, n>>, where v stands n times; null if empty."""
+
+    def of(total: Column) -> Column:
+        def reached(a: Column, q: Column, name: str, rank: Column) -> Column:
+            return F.when(a[name].isNull() & (a["seen"] + q["n"] > rank), q["v"]).otherwise(a[name]).alias(name)
+
+        first, second = F.floor((total - 1) / 2), F.floor(total / 2)
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+        return F.aggregate(s, start, lambda a, q: F.struct((a["seen"] + q["n"]).alias("seen"), reached(a, q, "low", first), reached(a, q, "high", second)), lambda a: (a["low"] + a["high"]) / 2)
+
+    return let(F.aggregate(s, F.lit(0).cast("long"), lambda a, q: a + q["n"]), of)
 
 
 def raw_moments(pixels: DataFrame, by: list[str]) -> DataFrame:
@@ -93,58 +106,78 @@ def moments(pixels: DataFrame, by: list[str]) -> DataFrame:
 def glcm(pixels: DataFrame, by: list[str], angles: tuple[int, ...] = (0, 45, 90, 135)) -> DataFrame:
     """(by, c, angle, i, j, p): symmetric co-occurrence of 64 grey levels, as shares.
 
-    One equi-join serves all angles: each pixel looks for its neighbours by place.
+    An angle without any pair has one row of null i, j and p.  Pixels are dealt
+    once, by image and channel; the limits of a channel, the neighbours along
+    lines of each direction, and all that :func:`haralick` adds up keep to that.
     """
     key = [*by, "c"]
-    span = pixels.groupBy(*key).agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
-    share = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (LEVELS - 1)
-    level = pixels.join(span, key).select(*key, "x", "y", F.coalesce(F.floor(share + 0.5), F.lit(0)).cast("int").alias("g"))
-    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(OFFSETS[a][0]).alias("dx"), F.lit(OFFSETS[a][1]).alias("dy")) for a in angles)))
-    ahead = level.select(*key, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("g").alias("i"), steps.alias("o"))
-    ahead = ahead.select(*key, (F.col("x0") + F.col("o.dx")).alias("x"), (F.col("y0") + F.col("o.dy")).alias("y"), "i", F.col("o.angle").alias("angle"))
-    pairs = ahead.join(level.withColumnRenamed("g", "j"), [*key, "x", "y"])
-    both = pairs.select(*key, "angle", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("s"))
-    count = both.groupBy(*key, "angle", "s.i", "s.j").agg(F.count("*").alias("n"))
-    total = count.groupBy(*key, "angle").agg(F.sum("n").alias("t"))
-    return count.join(total, [*key, "angle"]).select(*key, "angle", "i", "j", (F.col("n") / F.col("t")).alias("p"))
+    whole = Window.partitionBy(*key)
+    low, high = F.min("v").over(whole).cast("double"), F.max("v").over(whole).cast("double")
+    share = (F.col("v") - low) / F.nullif(high - low, F.lit(0.0)) * (LEVELS - 1)
+    level = pixels.repartition(*key).select(*key, "x", "y", F.coalesce(F.floor(share + 0.5), F.lit(0)).cast("int").alias("g"))
+    #: The line that a pixel and its neighbour share, and the coordinate that grows by one along it.
+    lines = {0: (F.col("y"), "x"), 45: (F.col("x") - F.col("y"), "x"), 90: (F.col("x"), "y"), 135: (F.col("x") + F.col("y"), "y")}
+    steps = []
+    for a in angles:
+        line, along = lines[a]
+        ahead = Window.partitionBy(*key, line).orderBy(along)
+        level = level.withColumn(f"n{a}", F.when(F.lead(along).over(ahead) == F.col(along) + 1, F.lead("g").over(ahead)))
+        g = F.when(F.col(f"n{a}").isNotNull(), F.col("g"))
+        steps += [F.struct(F.lit(a).alias("angle"), i.alias("i"), j.alias("j")) for i, j in ((g, F.col(f"n{a}")), (F.col(f"n{a}"), g))]
+    count = level.select(*key, F.inline(F.array(*steps))).groupBy(*key, "angle", "i", "j").agg(F.count("i").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*key, "angle")).alias("t")
+    shares = count.select("*", total).where(F.col("i").isNotNull() | (F.col("t") == 0))
+    return shares.select(*key, "angle", "i", "j", F.when(F.col("t") > 0, F.col("n") / F.nullif("t", F.lit(0))).alias("p"))
 
 
 def haralick(cells: DataFrame, key: list[str]) -> DataFrame:
     """The 13 features of each matrix (key, i, j, p); absent cells are 0.
 
-    Every step aggregates on the key first, so Spark keeps one partitioning.
+    Margins and the shares of sums and differences stand beside each cell, so a
+    sum over a margin is a sum over cells; only the 64 or fewer values of a
+    margin are gathered.  Features of matrices without any pair, and correlation
+    where one level is all, are null.
     """
     p, i, j = F.col("p"), F.col("i"), F.col("j")
     log2 = lambda x: F.log2(x + F.lit(EPS))
-    margin = cells.groupBy(*key, "i").agg(F.sum("p").alias("px"))
-    px = F.col("px")
-    stats = margin.groupBy(*key).agg(F.sum((i + 1) * px).alias("mu"), F.sum((i + 1) * (i + 1) * px).alias("sq"), (-F.sum(px * log2(px))).alias("hx"))
-    gap = F.col("sq") - F.col("mu") * F.col("mu")
-    main = cells.join(stats, key).groupBy(*key).agg(
-        F.sum(p * p).alias("energy"), F.sum((i - j) * (i - j) * p).alias("contrast"),
-        (F.sum((i + 1 - F.col("mu")) * (j + 1 - F.col("mu")) * p) / F.nullif(F.max(gap), F.lit(0.0))).alias("correlation"),
-        F.sum((i + 1 - F.col("mu")) * (i + 1 - F.col("mu")) * p).alias("sum_of_squares"),
-        F.sum(p / (1 + (i - j) * (i - j))).alias("inverse_difference_moment"),
-        (-F.sum(p * log2(p))).alias("entropy"), F.max("hx").alias("hx"),
+    beside = lambda *e: F.sum("p").over(Window.partitionBy(*key, *e))
+    at = cells.select(*key, "i", "j", "p", beside(i).alias("px"), beside(i + j).alias("plus"), beside(F.abs(i - j)).alias("minus"))
+    plus, minus, level = F.col("plus"), F.col("minus"), i + 1
+    one = at.groupBy(*key).agg(
+        F.sum(p * p).alias("energy"), F.sum((i - j) * (i - j) * p).alias("contrast"), F.sum(level * p).alias("mu"), F.sum(level * level * p).alias("sq"), F.sum(level * (j + 1) * p).alias("both"),
+        F.sum(p / (1 + (i - j) * (i - j))).alias("inverse_difference_moment"), F.sum((i + j) * p).alias("sum_average"), F.sum((i + j) * (i + j) * p).alias("sum_squares"),
+        (-F.sum(p * F.log2(plus + F.when(plus <= EPS, 1.0).otherwise(0.0)))).alias("sum_entropy"), (-F.sum(p * log2(p))).alias("entropy"),
+        F.sum(p * minus).alias("minus_squares"), (-F.sum(p * log2(minus))).alias("difference_entropy"), (-F.sum(p * log2(F.col("px")))).alias("hx"),
+        F.collect_set(F.when(i.isNotNull(), F.struct("i", "px"))).alias("margin"),
     )
-    plus = cells.groupBy(*key, (i + j).alias("k")).agg(F.sum("p").alias("q"))
-    q, k = F.col("q"), F.col("k")
-    sums = plus.groupBy(*key).agg(F.sum(k * q).alias("sum_average"), (F.sum(k * k * q) - F.sum(k * q) * F.sum(k * q)).alias("sum_variance"), (-F.sum(q * F.log2(q + F.when(q <= EPS, 1.0).otherwise(0.0)))).alias("sum_entropy"))
-    minus = cells.groupBy(*key, F.abs(i - j).alias("k")).agg(F.sum("p").alias("q"))
-    differences = minus.groupBy(*key).agg(((F.sum(q * q) - F.sum(q) * F.sum(q) / LEVELS) / LEVELS).alias("difference_variance"), (-F.sum(q * log2(q))).alias("difference_entropy"))
-    outer = F.col("px") * F.col("py")
-    cross = margin.join(margin.select(*key, F.col("px").alias("py")), key).groupBy(*key).agg(F.sum(outer * log2(outer)).alias("hxy2"))
-    out = main.join(sums, key).join(differences, key).join(cross, key)
+    values = F.transform("margin", lambda m: m["px"])
+    alike = let(values, lambda m: F.transform(F.array_distinct(m), lambda v: F.struct(v.alias("v"), F.size(F.filter(m, lambda q: q == v)).alias("n"))))
+    crossed = let(alike, lambda m: F.aggregate(m, F.lit(0.0), lambda s, a: s + F.aggregate(m, F.lit(0.0), lambda t, b: t + a["n"] * b["n"] * a["v"] * b["v"] * log2(a["v"] * b["v"]))))
+    one = settled(one, {"hxy2": crossed})
+    gap = F.col("sq") - F.col("mu") * F.col("mu")
     hxy = -F.col("entropy")
-    return out.withColumns({"infocorr1": (F.col("hxy2") - hxy) / F.nullif(F.col("hx"), F.lit(0.0)), "infocorr2": F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (hxy - F.col("hxy2")))))}).drop("hx", "hxy2")
-
-
-def texture(pixels: DataFrame, by: list[str]) -> DataFrame:
-    """Features averaged over four angles and all channels."""
+    features = {
+        "correlation": (F.col("both") - F.col("mu") * F.col("mu")) / F.nullif(gap, F.lit(0.0)),
+        "sum_of_squares": gap,
+        "sum_variance": F.col("sum_squares") - F.col("sum_average") * F.col("sum_average"),
+        "difference_variance": (F.col("minus_squares") - F.lit(1.0 / LEVELS)) / LEVELS,
+        "infocorr1": (F.col("hxy2") - hxy) / F.nullif(F.col("hx"), F.lit(0.0)),
+        "infocorr2": F.when(hxy.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (hxy - F.col("hxy2")))))),
+    }
+    return one.withColumns(features).drop("mu", "sq", "both", "sum_squares", "minus_squares", "hx", "hxy2", "margin")
+
+
+def texture(pixels: DataFrame, by: list[str], defined_only: bool = False) -> DataFrame:
+    """Features averaged over four angles and all channels; NaN where one of them has none (Q5).
+
+    ``defined_only`` leaves the angles and channels without a value out of a
+    feature's mean instead.
+    """
     from ..schema import TEXTURE
 
     features = haralick(glcm(pixels, by), [*by, "c", "angle"])
-    return features.groupBy(*by).agg(*(F.avg(t.removeprefix("texture_")).alias(t) for t in TEXTURE))
+    value = lambda c: F.col(c) if defined_only else F.coalesce(F.col(c), F.lit(float("nan")))
+    return features.groupBy(*by).agg(*(F.avg(value(t.removeprefix("texture_"))).alias(t) for t in TEXTURE))
 
 
 def radial_terms(n: int, m: int) -> list[tuple[float, int]]:

@@ -180,6 +180,13 @@ def texture_all(spark, sf):
 @query("texture_multichannel", f"WITH {T.MULTI_SQL}, {_GLCM}, {_HARALICK} SELECT image, {', '.join(_r(f'avg({t[8:]}) + 1e-9', t, 5) for t in TEXTURE)} FROM hk GROUP BY image")
 def texture_multichannel(spark, sf):
     # many values are dyadic fractions: the addend keeps ties of the rounding from falling either way
+    t = D.texture(T.multi(spark, sf), ["image"], defined_only=True)
+    return rounded(t.select("image", *((F.col(c) + 1e-9).alias(c) for c in TEXTURE)), ["image"], 5)
+
+
+@query("texture_multichannel_nan", f"WITH {T.MULTI_SQL}, {_GLCM}, {_HARALICK} SELECT image, {', '.join(_r(f"avg(coalesce({t[8:]}, 'NaN'::DOUBLE)) + 1e-9", t, 5) for t in TEXTURE)} FROM hk GROUP BY image")
+def texture_multichannel_nan(spark, sf):
+    """As the kernels: a channel of one level has no correlation, and so has its image (Q5)."""
     t = D.texture(T.multi(spark, sf), ["image"])
     return rounded(t.select("image", *((F.col(c) + 1e-9).alias(c) for c in TEXTURE)), ["image"], 5)
 

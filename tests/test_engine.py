@@ -105,6 +105,24 @@ def test_relational_equals_kernels(spark):
         assert np.allclose([r[c] for c in r.asDict() if c != "image"], K.moments(arrays[r.image]), rtol=1e-6)
 
 
+def test_degenerate_images_equal_kernels(spark):
+    """One level, one row, one column, one pixel and no positive value (Q5)."""
+    arrays = {k: np.array(a).reshape(h, w, 1) for k, (a, h, w) in enumerate((([7] * 9, 3, 3), ([1, 5, 5, 9], 1, 4), ([1, 5, 5, 9], 4, 1), ([3], 1, 1), ([0] * 4, 2, 2), ([2, 2, 2, 9, 9, 4], 2, 3)))}
+    rows = [(k, 0, x, y, int(a[y, x, 0])) for k, a in arrays.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
+    px = spark.createDataFrame(rows, "image long, c int, x int, y int, v int")
+    texture = D.texture(px, ["image"]).collect()
+    assert len(texture) == len(arrays)
+    for r in texture:
+        assert np.allclose([r[c] for c in TEXTURE], K.texture(arrays[r.image]), atol=1e-6, equal_nan=True), r
+    for r in D.intensity(px, ["image"]).collect():
+        assert np.allclose([r[f"intensity_{c}"] for c in ("min", "max", "sum", "mean", "std", "median", "mad")], K.intensity(arrays[r.image])), r
+
+
+def test_texture_deals_pixels_once(spark):
+    plan = D.texture(tables.gray(spark, SF), ["image"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
 def test_polygon_functions_equal_kernels(spark):
     rows = tables.polygons(spark, SF)
     out = G.form_simple(rows).limit(10).collect()
