@@ -25,11 +25,12 @@ def intensity(pixels: DataFrame, by: list[str], compat: bool = False) -> DataFra
     """min, max, sum, mean, std (means over channels; ``compat``: Q2), median and mad of all channels together.
 
     Counts of equal values are combined before they move, so a row holds an
-    image's distinct values, not its pixels.
+    image's distinct values, not its pixels; channels and images then keep to
+    one partitioning.
     """
     v, n = F.col("v"), F.col("n")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    counts = pixels.groupBy(*by, "c", F.when(F.col("v") > 0, F.col("v").cast("double")).alias("v")).agg(F.count("*").alias("n"))
+    counts = pixels.groupBy(*by, "c", F.when(F.col("v") > 0, F.col("v").cast("double")).alias("v")).agg(F.count("*").alias("n")).repartition(*by)
     mass = F.nullif(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
     per = counts.groupBy(*by, "c").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v * n).alias("total"), mass.alias("mass"), F.collect_list(F.when(v.isNotNull(), F.struct("v", "n"))).alias("values"))
     per = per.withColumn("mean", F.col("total") / F.col("mass"))

@@ -89,18 +89,14 @@ def xywh(box: Column) -> Column:
     return F.struct(box["x_min"].alias("x"), box["y_min"].alias("y"), (box["x_max"] - box["x_min"]).alias("w"), (box["y_max"] - box["y_min"]).alias("h"))
 
 
-def radii(p: Column, cx: Column, cy: Column) -> tuple[Column, Column, Column]:
-    """Least distance from a point to the edges; largest and mean distance to the corners."""
-    both = let(F.struct(cx.alias("x"), cy.alias("y")), lambda m: F.struct(_edge_gap(p, m).alias("edge"), _away(p, m).alias("away")))
-    away = both["away"]
-    return both["edge"], F.array_max(away), F.aggregate(away, F.lit(0.0), lambda s, x: s + x) / F.size(p)
-
-
-def _away(p: Column, m: Column) -> Column:
+def _away(p: Column, m: dict[str, Column]) -> Column:
+    """Distance from a point to each corner."""
     return F.transform(p, lambda q: F.sqrt(F.pow(q["x"] - m["x"], F.lit(2)) + F.pow(q["y"] - m["y"], F.lit(2))))
 
 
-def _edge_gap(p: Column, m: Column) -> Column:
+def _edge_gap(p: Column, m: dict[str, Column]) -> Column:
+    """Least distance from a point to the edges."""
+
     def edge(a: Column, b: Column) -> Column:
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
         size = dx * dx + dy * dy
@@ -138,7 +134,8 @@ def form_simple(objects: DataFrame, poly: str = "poly", compat: bool = False) ->
     a, length, w, h = (F.col(c) for c in ("form_area", "form_perimeter", "__w", "__h"))
     none = F.lit(0.0)
     thread = (length + F.sqrt(F.greatest(length * length - 16 * a, none))) / 4
-    small, large, mean = radii(p, F.col("form_centroid_x"), F.col("form_centroid_y"))
+    middle = {"x": F.col("form_centroid_x"), "y": F.col("form_centroid_y")}
+    out = settled(out, {"__edge": _edge_gap(p, middle), "__away": _away(p, middle)})
     return out.withColumns(
         {
             "form_area_bbox": w * h,
@@ -148,11 +145,11 @@ def form_simple(objects: DataFrame, poly: str = "poly", compat: bool = False) ->
             "form_extent": a / F.nullif(w * h, none),
             "form_form_factor": 4 * math.pi * a / F.nullif(length * length, none),
             "form_equivalent_diameter": 2 * F.sqrt(a / math.pi),
-            "form_minimum_radius": small,
-            "form_maximum_radius": large,
-            "form_mean_radius": mean,
+            "form_minimum_radius": F.col("__edge"),
+            "form_maximum_radius": F.array_max("__away"),
+            "form_mean_radius": F.aggregate("__away", none, lambda s, x: s + x) / F.size(p),
         }
-    ).drop("__w", "__h")
+    ).drop("__w", "__h", "__edge", "__away")
 
 
 # --- boxes ------------------------------------------------------------------
