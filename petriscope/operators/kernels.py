@@ -591,11 +591,18 @@ def _corner(old: int, new: int) -> np.ndarray:
     return w
 
 
-def resize(image: np.ndarray, width: int, height: int, method: str = "triangle", compat: bool = False) -> np.ndarray:
-    """Bilinear resize; integers are rounded, floats only with ``compat`` (Q21)."""
+def resize_method(image: np.ndarray) -> str:
+    """8 and 16 bits of one or three channels, and single-precision colour, take the triangle; all others the corner form."""
+    kind, channels = image.dtype.kind + str(image.dtype.itemsize), image.shape[2]
+    return "triangle" if (kind in ("u1", "u2") and channels in (1, 3)) or (kind == "f4" and channels == 3) else "corner"
+
+
+def resize(image: np.ndarray, width: int, height: int, method: str | None = None, compat: bool = False) -> np.ndarray:
+    """Bilinear resize, by :func:`resize_method` unless one is named; integers are rounded, floats only with ``compat`` (Q21)."""
     if image.shape[:2] == (height, width):
         return image.copy()
-    weights = _triangle if method == "triangle" else _corner
+    method = method or resize_method(image)
+    weights = {"triangle": _triangle, "corner": _corner}[method]
     out = np.einsum("yh,hwc,xw->yxc", weights(image.shape[0], height), image.astype(np.float64), weights(image.shape[1], width), optimize=True)
     if image.dtype.kind != "f":
         info = np.iinfo(image.dtype)

@@ -27,8 +27,9 @@ SEGMENTATION = (
 BENCHMARK = (
     ("amgad_2022", 0.062, "CC0 1.0"), ("cnmc_2019", 0.182, "CC BY 3.0"), ("fracatlas_2023", 0.247, "CC BY 4.0"),
     ("isic_2019", 1.140, "CC BY-NC 4.0"), ("kermany_2018", 0.638, "CC BY 4.0"), ("kromp_2023", 0.025, "CC BY 4.0"),
-    ("matek_2021", 0.508, "CC BY 4.0"), ("murphy_2001", 0.033, "MIT"), ("phillip_2021", 0.032, "MIT"),
-    ("recursion_2019", 0.037, "CC BY-NC-SA 4.0"), ("verma_2021", 0.021, "CC BY-NC-SA 4.0"),
+    ("matek_2021", 0.508, "CC BY 4.0"), ("murphy_2001", 0.033, "MIT"), ("opencell_2024", 1.030, "MIT"),
+    ("phillip_2021", 0.032, "MIT"), ("recursion_2019", 0.037, "CC BY-NC-SA 4.0"), ("verma_2021", 0.021, "CC BY-NC-SA 4.0"),
+    ("runtime", 0.017, "MIT"),
 )
 
 

@@ -240,3 +240,14 @@ def test_stream_equals_batch(spark, folders, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("arrived").count() == 2
+
+
+def test_catalogs(spark):
+    from petriscope.sources import catalogs
+
+    rows = catalogs.collections(spark).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in rows} == {"segmentation": 12, "benchmark": 13}
+    assert catalogs.models(spark).count() == len(catalogs.MODELS)
+    assert catalogs.weights_path("dino_vit_small", "/c") == "/c/dino_vit_small.npz"
+    with pytest.raises(ValueError):
+        catalogs.weights_path("no_such_model")

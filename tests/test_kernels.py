@@ -194,3 +194,13 @@ def test_q9_polygon_masks():
     p = np.array([[2, 2], [6, 2], [6, 4], [2, 4]], float)
     assert K.fill_polygon(p, 10, 10).sum() == 15
     assert K.draw_centered(p, 10, 10).sum() != 15
+
+
+@pytest.mark.parametrize(
+    ("kind", "channels", "method"),
+    [("u1", 1, "triangle"), ("u1", 3, "triangle"), ("u2", 3, "triangle"), ("f4", 3, "triangle"), ("u1", 2, "corner"), ("f4", 1, "corner"), ("f8", 3, "corner"), ("i4", 1, "corner")],
+)
+def test_resize_by_type_and_channels(kind, channels, method):
+    image = np.arange(24 * channels).reshape(4, 6, channels).astype(kind)
+    assert K.resize_method(image) == method
+    assert (K.resize(image, 9, 7) == K.resize(image, 9, 7, method)).all()
