@@ -105,7 +105,7 @@ def moments(pixels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def glcm(pixels: DataFrame, by: list[str], angles: tuple[int, ...] = (0, 45, 90, 135)) -> DataFrame:
-    """(by, c, angle, i, j, p): symmetric co-occurrence of 64 grey levels, as shares.
+    """(by, c, angle, i, j, p, n, t): symmetric co-occurrence of 64 grey levels, as shares p of n in t.
 
     An angle without any pair has one row of null i, j and p.  Pixels are dealt
     once, by image and channel; the limits of a channel, the neighbours along
@@ -128,25 +128,26 @@ def glcm(pixels: DataFrame, by: list[str], angles: tuple[int, ...] = (0, 45, 90,
     count = level.select(*key, F.inline(F.array(*steps))).groupBy(*key, "angle", "i", "j").agg(F.count("i").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*key, "angle")).alias("t")
     shares = count.select("*", total).where(F.col("i").isNotNull() | (F.col("t") == 0))
-    return shares.select(*key, "angle", "i", "j", F.when(F.col("t") > 0, F.col("n") / F.nullif("t", F.lit(0))).alias("p"))
+    return shares.select(*key, "angle", "i", "j", F.when(F.col("t") > 0, F.col("n") / F.nullif("t", F.lit(0))).alias("p"), "n", "t")
 
 
 def haralick(cells: DataFrame, key: list[str]) -> DataFrame:
-    """The 13 features of each matrix (key, i, j, p); absent cells are 0.
+    """The 13 features of each matrix (key, i, j, p, n, t); absent cells are 0.
 
     Margins and the shares of sums and differences stand beside each cell, so a
     sum over a margin is a sum over cells; only the 64 or fewer values of a
-    margin are gathered.  Features of matrices without any pair, and correlation
+    margin are gathered.  Polynomials are added up over whole counts.  Features of matrices without any pair, and correlation
     where one level is all, are null.
     """
     p, i, j = F.col("p"), F.col("i"), F.col("j")
     log2 = lambda x: F.log2(x + F.lit(EPS))
     beside = lambda *e: F.sum("p").over(Window.partitionBy(*key, *e))
-    at = cells.select(*key, "i", "j", "p", beside(i).alias("px"), beside(i + j).alias("plus"), beside(F.abs(i - j)).alias("minus"))
+    at = cells.select(*key, "i", "j", "p", "n", "t", beside(i).alias("px"), beside(i + j).alias("plus"), beside(F.abs(i - j)).alias("minus"))
     plus, minus, level = F.col("plus"), F.col("minus"), i + 1
+    whole = lambda e: F.sum(e * F.col("n")).cast("double")  # noqa: E731 - exact below 2**53
     one = at.groupBy(*key).agg(
-        F.sum(p * p).alias("energy"), F.sum((i - j) * (i - j) * p).alias("contrast"), F.sum(level * p).alias("mu"), F.sum(level * level * p).alias("sq"), F.sum(level * (j + 1) * p).alias("both"),
-        F.sum(p / (1 + (i - j) * (i - j))).alias("inverse_difference_moment"), F.sum((i + j) * p).alias("sum_average"), F.sum((i + j) * (i + j) * p).alias("sum_squares"),
+        F.sum(p * p).alias("energy"), whole((i - j) * (i - j)).alias("apart"), whole(level).alias("mu"), whole(level * level).alias("sq"), whole(level * (j + 1)).alias("both"),
+        F.sum(p / (1 + (i - j) * (i - j))).alias("inverse_difference_moment"), whole(i + j).alias("s1"), whole((i + j) * (i + j)).alias("s2"), F.nullif(F.max("t"), F.lit(0)).cast("double").alias("t"),
         (-F.sum(p * F.log2(plus + F.when(plus <= EPS, 1.0).otherwise(0.0)))).alias("sum_entropy"), (-F.sum(p * log2(p))).alias("entropy"),
         F.sum(p * minus).alias("minus_squares"), (-F.sum(p * log2(minus))).alias("difference_entropy"), (-F.sum(p * log2(F.col("px")))).alias("hx"),
         F.collect_set(F.when(i.isNotNull(), F.struct("i", "px"))).alias("margin"),
@@ -155,17 +156,20 @@ def haralick(cells: DataFrame, key: list[str]) -> DataFrame:
     alike = let(values, lambda m: F.transform(F.array_distinct(m), lambda v: F.struct(v.alias("v"), F.size(F.filter(m, lambda q: q == v)).alias("n"))))
     crossed = let(alike, lambda m: F.aggregate(m, F.lit(0.0), lambda s, a: s + F.aggregate(m, F.lit(0.0), lambda t, b: t + a["n"] * b["n"] * a["v"] * b["v"] * log2(a["v"] * b["v"]))))
     one = settled(one, {"hxy2": crossed})
-    gap = F.col("sq") - F.col("mu") * F.col("mu")
+    t = F.col("t")
+    spread = lambda squares, a, b: F.col(squares) * t - F.col(a) * F.col(b)
     hxy = -F.col("entropy")
     features = {
-        "correlation": (F.col("both") - F.col("mu") * F.col("mu")) / F.nullif(gap, F.lit(0.0)),
-        "sum_of_squares": gap,
-        "sum_variance": F.col("sum_squares") - F.col("sum_average") * F.col("sum_average"),
+        "contrast": F.col("apart") / t,
+        "correlation": spread("both", "mu", "mu") / F.nullif(spread("sq", "mu", "mu"), F.lit(0.0)),
+        "sum_of_squares": spread("sq", "mu", "mu") / (t * t),
+        "sum_average": F.col("s1") / t,
+        "sum_variance": spread("s2", "s1", "s1") / (t * t),
         "difference_variance": (F.col("minus_squares") - F.lit(1.0 / LEVELS)) / LEVELS,
         "infocorr1": (F.col("hxy2") - hxy) / F.nullif(F.col("hx"), F.lit(0.0)),
         "infocorr2": F.when(hxy.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 1 - F.exp(-2 * (hxy - F.col("hxy2")))))),
     }
-    return one.withColumns(features).drop("mu", "sq", "both", "sum_squares", "minus_squares", "hx", "hxy2", "margin")
+    return one.withColumns(features).drop("apart", "mu", "sq", "both", "s1", "s2", "t", "minus_squares", "hx", "hxy2", "margin")
 
 
 def texture(pixels: DataFrame, by: list[str], defined_only: bool = False) -> DataFrame:
