@@ -1,13 +1,14 @@
 """Exact top-k inner products from an impact-ordered index, read score-at-a-time.
 
 A block of vectors is indexed by impact: every component is split into a level
-(its leading part, a multiple of a step) and a rest below the step.  The
-postings of one level are a segment; segments are read in descending order of
-impact.  While they are, each accumulator is a lower part of the score, and
-what the unread segments and all rests can still add is bounded.  Reading
-stops only on proof: when the k-th best certain score of every query is above
-what any vector outside its possible members can still reach, the rounding of
-the accumulators included.  Possible members are rescored exactly, in integers.
+(the nearest multiple of a step, its impact) and a rest.  The postings of one
+dimension and level, the places of the vectors that have it, are a segment;
+segments are read in descending order of impact, each adding to the
+accumulators of its own vectors only.  While they are, an accumulator differs
+from its score by no more than the query's length times the length of what is
+unread of the vector, which the index keeps for each level.  Reading stops only
+on proof: when few vectors can still reach the k-th best certain score, the
+rounding of the accumulators included.  Possible members are rescored exactly.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Least impact step of a segment, and segments of a block at most: large components have a larger step.
-STEP, SEGMENTS = 16, 64
-#: Queries and vectors that one task multiplies.
-QUERY_BLOCK, VECTOR_BLOCK, INDEX_BLOCK = 2048, 32_768, 4096
+#: Least impact step, and impact levels of a block at most: large components have a larger step.
+STEP, LEVELS = 8, 64
+#: Queries and vectors that one task multiplies, vectors of an index, queries that read it together.
+QUERY_BLOCK, VECTOR_BLOCK, INDEX_BLOCK, READERS = 2048, 32_768, 4096, 256
 
 
 class ImpactIndex:
-    """Segments of one block of integer vectors, by descending impact.
+    """Posting segments of one block of integer vectors, by descending impact.
 
     >>> index = ImpactIndex(np.array([[40, 0], [3, 50], [-9, 1]]), np.array([7, 8, 9]))
     >>> index.search(np.array([[1, 0], [0, 1]]), 2, np.array([-1, -1]))
@@ -33,47 +34,70 @@ class ImpactIndex:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors.astype(np.int64), ids
-        self.peak = int(np.abs(vectors).max(initial=0))
-        self.step = max(STEP, self.peak // SEGMENTS + 1)
-        level = np.sign(vectors) * (np.abs(vectors) // self.step)
-        self.segments = []
-        for impact in np.unique(np.abs(level))[::-1]:
-            if impact:
-                self.segments.append((int(impact), np.where(np.abs(level) == impact, level * self.step, 0).astype(np.float32)))
-        self.rest = np.abs(vectors - level * self.step).max(initial=0)
+        self.floats = self.vectors.astype(np.float64)
+        n, dims = self.vectors.shape
+        size = np.abs(self.vectors)
+        self.peak = int(size.max(initial=0))
+        self.step = max(STEP, self.peak // LEVELS + 1)
+        level = size // self.step + (size % self.step > self.step // 2)
+        rows, cols = np.nonzero(level)
+        level, sign = level[rows, cols], np.sign(self.vectors[rows, cols])
+        order = np.argsort((LEVELS + 1 - level) * (2 * dims) + 2 * cols + (sign < 0), kind="stable")
+        self.rows, cols, level, sign = rows[order], cols[order], level[order], sign[order]
+        cuts = np.flatnonzero((np.diff(level) != 0) | (np.diff(cols) != 0) | (np.diff(sign) != 0)) + 1
+        starts = np.concatenate([[0], cuts])[: len(order)]
+        ends = np.append(starts[1:], len(order))
+        # segments of one level follow each other: (impact, [(dimension, weight, from, to)], length of what is unread of each vector)
+        whole = (self.floats**2).sum(1)
+        left, self.levels = whole.copy(), []
+        for impact in np.unique(level)[::-1]:
+            at = np.flatnonzero(level[starts] == impact)
+            weight = sign[starts[at]] * impact * self.step
+            segments = list(zip(cols[starts[at]].tolist(), weight.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True))
+            a, b = segments[0][2], segments[-1][3]
+            x = self.floats[self.rows[a:b], cols[a:b]]
+            left -= np.bincount(self.rows[a:b], x**2 - (x - sign[a:b] * float(impact * self.step)) ** 2, n)
+            self.levels.append((int(impact), segments, np.sqrt(np.maximum(left, 0) + whole * (dims + 2) * 2.0**-50)))
 
     def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int, int]]:
         """(query, id, score) of each query's k best, ties to the smaller id, its own id left out."""
         n = len(self.ids)
-        q = queries.astype(np.float32)
-        reach = np.abs(queries.astype(np.float64)).sum(1)
-        # twice what float32 can be off by: each product and each sum by 2**-24 of no more than reach times peak
-        rounding = reach * self.peak * (queries.shape[1] + len(self.segments) + 3) * 2.0**-23
-        wide = len(q) > 0 and reach.max() * self.peak >= 2.0**62
-        done = np.zeros((len(q), n), np.float32)
+        q = queries.astype(np.float32).T.copy()
+        exact = queries.astype(np.float64)
+        length, reach = np.sqrt((exact**2).sum(1)) * (1 + 2.0**-40), np.abs(exact).sum(1)
+        # twice what float32 can be off by: each product and each sum by 2**-24 of no more than reach times 1.5 peaks
+        rounding = 1.5 * reach * self.peak * (queries.shape[1] + 3) * 2.0**-23
+        top = reach.max(initial=0) * self.peak
+        done = np.zeros((n, queries.shape[0]), np.float32)
         mine = self.ids[None, :] == own[:, None]
         keep = min(k, n - 1)
-        member = np.ones((len(q), n), bool)
-        for place, (_, segment) in enumerate(self.segments):
-            done += q @ segment.T
-            unread = (self.segments[place + 1][0] + 1) * self.step - 1 if place + 1 < len(self.segments) else self.rest
-            slack = reach * max(unread, self.rest) + rounding  # no vector's score is further from its accumulator
+        member, judged = np.ones(mine.shape, bool), np.inf
+        for place, (_, segments, unread) in enumerate(self.levels):
             if n <= k + 1:
                 break
-            sure = np.where(mine, -np.inf, done) - slack[:, None]
-            worst = np.partition(sure, n - keep, axis=1)[:, n - keep]
-            member = done + slack[:, None] + 1 >= worst[:, None]
-            if member.sum() <= 4 * k * len(q):
+            for col, weight, a, b in segments:
+                done[self.rows[a:b]] += np.float32(weight) * q[col]
+            widest = unread.max()
+            if widest > judged / 2 and place + 1 < len(self.levels):
+                continue  # what is unread has hardly become less since the last try
+            judged = widest
+            slack = length[:, None] * unread[None, :] + rounding[:, None]
+            now = done.T.astype(np.float64)
+            worst = np.partition(np.where(mine, -np.inf, now - slack), n - keep, axis=1)[:, n - keep]
+            member = now + slack + 1 >= worst[:, None]
+            if member.sum() <= 4 * k * len(member):
                 break
         out = []
         rows, cols = np.nonzero(member & ~mine)
-        ends = np.searchsorted(rows, np.arange(len(q) + 1))
-        for i in range(len(q)):
+        ends = np.searchsorted(rows, np.arange(len(queries) + 1))
+        for i in range(len(queries)):
             at = cols[ends[i] : ends[i + 1]]
-            if wide:  # in unbounded integers; a score that is no 64-bit integer is an error
-                score = np.array(self.vectors[at].astype(object) @ queries[i].astype(object), np.int64)
-            else:
+            if top < 2.0**52:  # every product and sum is a whole number that a double holds
+                score = (self.floats[at] @ exact[i]).astype(np.int64)
+            elif top < 2.0**62:
                 score = self.vectors[at] @ queries[i].astype(np.int64)
+            else:  # in unbounded integers; a score that is no 64-bit integer is an error
+                score = np.array(self.vectors[at].astype(object) @ queries[i].astype(object), np.int64)
             best = np.lexsort((self.ids[at], -score))[:k]
             out += [(i, int(self.ids[at[j]]), int(score[j])) for j in best]
         return out
@@ -97,8 +121,8 @@ def _cell_search(k: int):
         found: list[tuple[int, int, int]] = []
         for a in range(0, len(ids), INDEX_BLOCK):
             index = ImpactIndex(v[a : a + INDEX_BLOCK], ids[a : a + INDEX_BLOCK])
-            for b in range(0, len(own), 512):
-                found += [(b + i, x, s) for i, x, s in index.search(q[b : b + 512], k, own[b : b + 512])]
+            for b in range(0, len(own), READERS):
+                found += [(b + i, x, s) for i, x, s in index.search(q[b : b + READERS], k, own[b : b + READERS])]
         i, x, s = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((x, -s, i))
         i, x, s = i[order], x[order], s[order]

@@ -245,6 +245,22 @@ def test_top_k(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_postings_of_the_impact_index():
+    from petriscope.llm.topk import ImpactIndex
+
+    v = np.random.default_rng(3).normal(0, 60, (200, 6)).astype(np.int64)
+    index = ImpactIndex(v, np.arange(200))
+    read = np.zeros(v.shape)
+    impacts = [impact for impact, _, _ in index.levels]
+    assert impacts == sorted(impacts, reverse=True) and impacts[-1] > 0
+    for _, segments, unread in index.levels:
+        for col, weight, a, b in segments:
+            assert len(set(index.rows[a:b])) == b - a and not read[index.rows[a:b], col].any()
+            read[index.rows[a:b], col] += weight
+        assert np.allclose(unread, np.linalg.norm(v - read, axis=1), atol=1e-2)
+    assert (np.abs(v - read) <= index.step / 2).all()
+
+
 def test_top_k_of_large_components(spark):
     from petriscope.llm.topk import ImpactIndex, top_k
 
