@@ -18,6 +18,8 @@ from .textkernel import squeeze
 BROADCAST_IDS = 1_000_000
 #: Bytes of an Arrow batch, about; Spark has no limit of bytes unless one is set.
 BATCH_BYTES = 4 << 20
+#: Rows from which a key is hot, at least, and hot keys of a join at most.
+HUB, HUBS = 512, 50_000
 ID, TEXT, REST = "__id", "__text", "__rest"
 
 
@@ -143,29 +145,45 @@ def dealt_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.join(known, (F.col(ID) == F.col("i")) & same, "left").select(ID, REST, "z", (F.col("first") < F.col(ID)).alias("copy"))
 
 
+def join_one(rows: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` joined with ``one``, a row for each ``key`` whose ``k`` counts the rows of it; the counts add up to ``n`` at most.
+
+    Rows of a hot key are never brought together: keys of more than
+    ``max(HUB, n / HUBS)`` rows, of which there are fewer than ``HUBS``, are
+    broadcast to their rows; only the others are exchanged.
+    """
+    limit = max(HUB, n // HUBS)
+    if n <= limit:
+        return rows.join(one.drop("k"), key)
+    hubs = F.broadcast(one.where(F.col("k") > limit).drop("k"))
+    others = rows.join(F.broadcast(one.where(F.col("k") > limit).select(key)), key, "left_anti").join(one.where(F.col("k") <= limit).drop("k"), key)
+    return others.unionByName(rows.join(hubs, key))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Alternating large-star and small-star contraction; each round is an
-    aggregation with map-side combining, so a hub of any degree is one row per
-    task and not one task's burden.  Rounds go to the shared folder.
+    Alternating large-star and small-star contraction; each round aggregates
+    with map-side combining and joins with :func:`join_one`, so a hub of any
+    degree is not one task's burden.  Rounds go to the shared folder.
     """
     before = None
     pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    n = pairs.count()
     for _ in range(most_rounds):
         # large star: every larger neighbour of u goes to u's smallest neighbour
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        large = join_one(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "large")
         # small star: every smaller neighbour of u, and u, go to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = join_one(large, least, "u", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        sides = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = sides(new)
-        done, before = now == before, now
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        done, before, n = now == before, now, now[0]
         drop_written(pairs)
+        drop_written(large)
         pairs = new
         if done:
             break

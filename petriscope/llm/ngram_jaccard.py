@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, join_ids, lean, written
+from .common import components, drop_written, join_ids, join_one, lean, written
 from .textkernel import LOWER, Words, mix, sequence_hashes, squeeze, squeezed_steps, steps, window_hashes
 
 #: Sets below this size use the prefix bound instead of column blocks.
@@ -464,9 +464,9 @@ def _links(texts: DataFrame, n: int, percent: int, lower: bool) -> DataFrame | N
     for turn in range(STARS):
         keyed = written(labelled(texts.select("id", "size", F.explode("keys").alias("key")), comp), "keyed")
         order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        of_key = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "size", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        center = of_key.select("key", F.col("c.id").alias("b"), F.col("c.size").alias("sb"), F.col("c.label").alias("lb"))
-        pairs = keyed.join(center, "key").where(f"label <> lb and 100 * least(size, sb) >= {percent} * greatest(size, sb)").select(F.col("id").alias("a"), "b").distinct()
+        of_key = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "size", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+        center = of_key.select("key", "k", F.col("c.id").alias("b"), F.col("c.size").alias("sb"), F.col("c.label").alias("lb"))
+        pairs = join_one(keyed, center, "key", keyed.count()).where(f"label <> lb and 100 * least(size, sb) >= {percent} * greatest(size, sb)").select(F.col("id").alias("a"), "b").distinct()
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         comp, more = merged(full.select("a", "b", "ta", "tb").mapInArrow(_star_links(n, lower, percent), "a long, b long"), comp)
         drop_written(keyed)
@@ -478,8 +478,8 @@ def _links(texts: DataFrame, n: int, percent: int, lower: bool) -> DataFrame | N
     entries = texts.agg(F.sum("size")).first()[0] or 0
     left = written(_screened(rows.select("id", "text", "label"), entries, n, percent, lower), "left")
     own = written(rows.join(left, "id", "left_semi").select("id", "label", "text").mapInArrow(_signatures(n, lower, percent), "sig long, id long, label long"), "own")
-    open_ = own.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("b")).where("lo < hi").select("sig", "b")
-    edges = written(own.join(open_, "sig").select(F.col("id").alias("a"), "b").distinct(), "agreeing")
+    open_ = own.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("b"), F.count("*").alias("k")).where("lo < hi").select("sig", "b", "k")
+    edges = written(join_one(own, open_, "sig", own.count()).select(F.col("id").alias("a"), "b").distinct(), "agreeing")
     if not edges.isEmpty():
         clusters = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
         comp, _ = merged(_products(rows.join(clusters, "id").select("cluster", "id", "label", "text"), n, lower, percent), comp)
