@@ -225,38 +225,6 @@ def test_block_product():
     assert (block_product(da, ca.astype(np.uint64), 7, db, cb.astype(np.uint64), 5) == a.astype(int) @ b.T.astype(int)).all()
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    from petriscope.llm import common
-
-    monkeypatch.setattr(common, "HUB", 8)
-    draw = np.random.default_rng(5)
-    edges = [(5000, int(x)) for x in range(3000, 3300)] + [(1, int(x)) for x in range(100, 400)]  # centres above and below their leaves
-    edges += [tuple(map(int, e)) for e in draw.integers(10_000, 10_400, (250, 2))] + [(k, k + 1) for k in range(20_000, 20_070)] + [(7, 7), (9, 8)] * 3
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}  # alone
-    got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()
-    assert sorted(tuple(r) for r in got) == sorted((x, find(x)) for x in root if x not in loops)
-
-
-def test_join_one_leaves_hot_rows_in_place(spark):
-    from petriscope.llm.common import HUB, join_one
-
-    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("key"), "id")
-    one = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("m"))
-    got = join_one(rows, one, "key", 3000)
-    assert sorted((r.key, r.id, r.m) for r in got.collect()) == sorted((0 if i < 2000 else i, i, 0 if i < 2000 else i) for i in range(3000))
-    assert HUB < 2000 and "BroadcastHashJoin" in got._jdf.queryExecution().toString()
-
-
 def test_top_k(spark):
     from petriscope.llm.topk import ImpactIndex, top_k
 
