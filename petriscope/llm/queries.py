@@ -156,5 +156,53 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup}
-ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL}
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import digest, manifest
+
+    docs = _read(spark, sf_dir, "documents")
+    altered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    out = manifest(docs, list(MANIFEST_FIELDS), found={"text": F.translate("text", _UPPER, _UPPER.lower())}, altered=altered)
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    return out.select("doc_id", "leaf", "subroot", "root", digest(siblings).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _op13_sql(levels: int = 6) -> str:
+    """Levels of at most 16 to the power of ``levels`` leaves a source."""
+    text = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda t: "sha256(" + " || ".join(text(t if c == "text" else c) for c in MANIFEST_FIELDS) + ")"
+
+    def tree(name: str, nodes: str) -> str:
+        """Nodes (tree, i, n, d) of all levels, and the siblings of each: those left of it and right of it."""
+        out = [f"{name}0 AS MATERIALIZED ({nodes})"]
+        for k in range(levels):
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i // 16 AS i, max((n + 15) // 16) AS n, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 16)")
+            out.append(f"{name}s{k} AS MATERIALIZED (SELECT a.tree, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r FROM {name}{k} a JOIN {name}{k} b ON b.tree = a.tree AND b.i // 16 = a.i // 16 WHERE a.n > 1 GROUP BY a.tree, a.i)")
+        out.append(f"{name}top AS (" + " UNION ALL ".join(f"SELECT tree, d FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+        return ",\n".join(out)
+
+    def fold(start: str, at: str, key: str, name: str) -> str:
+        """Columns p (siblings so far) and f (digest so far) up through one tree, step by step."""
+        for k in range(levels):
+            start = f"SELECT z.* EXCLUDE (p, f), p || coalesce(s.l || s.r, '') AS p, CASE WHEN s.l IS NULL THEN f ELSE sha256(s.l || f || s.r) END AS f FROM ({start}) z LEFT JOIN {name}s{k} s ON s.tree = z.{key} AND s.i = z.{at} // {16**k}"
+        return start
+
+    lower = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+    return f"""WITH RECURSIVE crc AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS v FROM range(256) t(i) UNION ALL SELECT i, k + 1, xor(v >> 1, (v & 1) * 3988292384) FROM crc WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM crc WHERE k = 8),
+raw AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS leaf, {leaf(lower)} AS low, CAST(doc_id AS VARCHAR) AS s FROM documents),
+sums AS (SELECT raw.*, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda j: CAST(ascii(s[j]) AS BIGINT))), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]))) AS crc FROM raw, tab),
+lv AS MATERIALIZED (SELECT doc_id, tree, leaf AS d, CASE WHEN crc % 5 = 0 THEN low ELSE leaf END AS now, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM sums),
+{tree("a", "SELECT tree, i, n, d FROM lv")},
+tops AS MATERIALIZED (SELECT tree AS source_, d, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, '' AS tree FROM atop),
+{tree("b", "SELECT tree, i, n, d FROM tops")},
+up AS ({fold("SELECT doc_id, tree, i, d, '' AS p, now AS f FROM lv", "i", "tree", "a")}),
+most AS (SELECT up.doc_id, up.d AS leaf, tops.d AS subroot, tops.i AS j, '' AS whole, up.p, up.f FROM up JOIN tops ON tops.source_ = up.tree),
+done AS ({fold("SELECT * FROM most", "j", "whole", "b")})
+SELECT doc_id, leaf, subroot, btop.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = btop.d AS verified FROM done, btop"""
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL, "op13_merkle_manifest": _op13_sql()}
