@@ -204,5 +204,12 @@ done AS ({fold("SELECT * FROM most", "j", "whole", "b")})
 SELECT doc_id, leaf, subroot, btop.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = btop.d AS verified FROM done, btop"""
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup, "op13_merkle_manifest": op13_merkle_manifest}
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    out = whiten(_read(spark, sf_dir, "embeddings"), k=32, scale=64, shift=1_000_000)
+    return out.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup, "op13_merkle_manifest": op13_merkle_manifest, "op12_embedding_whitening": op12_embedding_whitening}
 ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL, "op13_merkle_manifest": _op13_sql()}
