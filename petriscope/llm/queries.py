@@ -211,5 +211,52 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup, "op13_merkle_manifest": op13_merkle_manifest, "op12_embedding_whitening": op12_embedding_whitening}
-ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL, "op13_merkle_manifest": _op13_sql()}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import BASE, license_scan
+
+    out = license_scan(_read(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["label"].isin(*BASE))
+    return out.select("doc_id", "n_words", "labels", "score", base.alias("base")).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.col("base.start")).cast("long").alias("first_word"), F.array_max(F.col("base.start")).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.round("score", 6).alias("score"),
+    )
+
+
+def _op11_sql() -> str:
+    from .licenses import BASE, NOTICES, SLACK, WORD as LICENSE_WORD, templates
+
+    sought = templates(BASE | NOTICES)
+    phrases = list(dict.fromkeys(p for t in sought for _, p in t.phrases))
+    names = {p: f"s{k}" for k, p in enumerate(phrases)}
+    starts = ", ".join(f"CASE WHEN contains(s, ' {' '.join(p)} ') THEN list_filter(range(len(ws)), lambda i: ws[i + 1 : i + {len(p)}] = {list(p)}) ELSE [] END AS {c}" for p, c in names.items())
+    vocabulary = ", ".join(f"('{w}')" for w in sorted({w for p in phrases for w in p}))
+    step = lambda at, c: f"list_transform({c}, lambda s: CAST(floor((s - {at}) / {SLACK}.0) AS BIGINT))"
+    wide = lambda x: f"flatten(list_transform({x}, lambda b: [b - 1, b, b + 1]))"
+
+    def label(t) -> str:
+        (at, p), *rest = t.phrases
+        if not rest:
+            return f"CASE WHEN len({names[p]}) > 0 THEN '{t.label}' END"
+        both = wide(step(at, names[p]))
+        for at, p in rest:
+            both = f"list_intersect({both}, {step(at, names[p])})"
+        return f"CASE WHEN len({both}) > 0 THEN '{t.label}' END"
+
+    weight = lambda p: " + ".join(f"f['{w}']" for w in p)
+    share = lambda t: "(" + " + ".join(f"CASE WHEN len({names[p]}) > 0 THEN {weight(p)} ELSE 0 END" for _, p in t.phrases) + ") / (" + " + ".join(weight(p) for _, p in t.phrases) + ")"
+    base = {t.label: names[t.phrases[0][1]] for t in sought if t.label in BASE}
+    every = f"list_concat({', '.join(base.values())})"
+    text = lambda items: f"coalesce(array_to_string(list_sort(list_filter([{items}], lambda x: x IS NOT NULL)), ','), '')"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{LICENSE_WORD}') AS ws FROM documents),
+v(w) AS (VALUES {vocabulary}),
+seen AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT r, unnest(ws) AS w FROM d) GROUP BY w),
+idf AS MATERIALIZED (SELECT map_from_entries(list((v.w, ln(((SELECT count(*) FROM d) + 1e0) / (coalesce(n, 0) + 1e0)) + 1e0))) AS f FROM v LEFT JOIN seen USING (w)),
+p AS MATERIALIZED (SELECT doc_id, len(ws) AS n_words, {starts} FROM (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS s FROM d))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base, list_min({every}) AS first_word, list_max({every}) AS last_word,
+  {text(', '.join(f"CASE WHEN len({c}) > 0 THEN '{b}' END" for b, c in base.items()))} AS base_labels, {text(', '.join(map(label, sought)))} AS labels,
+  round(greatest({', '.join(map(share, sought))}), 6) AS score FROM p, idf"""
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup, "op13_merkle_manifest": op13_merkle_manifest, "op12_embedding_whitening": op12_embedding_whitening, "op11_license_scan": op11_license_scan}
+ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL, "op13_merkle_manifest": _op13_sql(), "op11_license_scan": _op11_sql()}
