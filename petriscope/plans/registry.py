@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import descriptors as D
 from ..functions import pixels as P
 from ..functions import polygons as G
+from ..functions import regions as R
 from ..schema import BOX_KEYS, IMAGE_FORMATS, POLYGON_KEYS, RAW_MOMENTS, TEXTURE, ZERNIKE_ORDERS
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 EPS = "1.1920928955078125e-07"
+_P = f"WITH {T.POLYGON_SQL}"
 
 
 def rounded(df: DataFrame, keys: list[str], decimals: int = 6) -> DataFrame:
@@ -224,7 +226,6 @@ def zernike_multichannel(spark, sf):
 
 # --- polygons ---------------------------------------------------------------
 
-_P = f"WITH {T.POLYGON_SQL}"
 _SIGNED = "sum(x0 * y1 - x1 * y0) / 2"
 
 
@@ -413,6 +414,60 @@ def mask_relabel_cc(spark, sf):
     return _mask_images(spark, sf).mapInPandas(rows, "image string, k int, component int")
 
 
+# --- regions ----------------------------------------------------------------
+
+_ON = """on_ AS MATERIALIZED (SELECT image, x, y, {k} AS k FROM px WHERE v > 40),
+nb AS MATERIALIZED (SELECT a.image, a.k, b.k AS l FROM on_ a JOIN on_ b ON a.image = b.image AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y IN (a.y - 1, a.y, a.y + 1)),
+reach AS (SELECT image, k, l FROM nb UNION SELECT r.image, r.k, n.l FROM reach r JOIN nb n ON n.image = r.image AND n.k = r.l),
+root AS MATERIALIZED (SELECT image, k, min(l) AS root FROM reach GROUP BY image, k)"""
+
+
+@query("mask_components", f"WITH RECURSIVE {T.GRAY_SQL}, {_ON.format(k='y * 8 + x')} SELECT image, k, root AS component FROM root")
+def mask_components(spark, sf):
+    """Components by runs and interval joins, all images at once."""
+    found = R.pixels_of(R.components(T.on_pixels(spark, sf), ["image"]))
+    return found.select("image", (F.col("y") * 8 + F.col("x")).cast("int").alias("k"), R.from_place("root", 8).cast("int").alias("component"))
+
+
+@query("mosaic_components", f"WITH RECURSIVE {T.MOSAIC_SQL}, {_ON.format(k='y * 200 + x')} SELECT k, root AS component, dense_rank() OVER (ORDER BY root) AS label FROM root")
+def mosaic_components(spark, sf):
+    """Components of one image of all: its runs are dealt by row and tile, no task holds it."""
+    on = T.mosaic(spark, sf).where("v > 40").select("image", "x", "y")
+    found = R.pixels_of(R.numbered_components(R.components(on, ["image"]), ["image"]))
+    return found.select((F.col("y") * 200 + F.col("x")).alias("k"), R.from_place("root", 200).alias("component"), "label")
+
+
+_AROUND = ", ".join(f"({d}, {dx}, {dy})" for d, (dx, dy) in enumerate(R.AROUND))
+
+
+@query("mask_contours", f"""WITH RECURSIVE {T.GRAY_SQL}, {_ON.format(k='y * 8 + x')},
+dir AS (SELECT * FROM (VALUES {_AROUND}) t(d, dx, dy)),
+to_ AS MATERIALIZED (SELECT a.image, a.k, d, b.k AS l FROM on_ a, dir, on_ b WHERE b.image = a.image AND b.x = a.x + dx AND b.y = a.y + dy),
+succ AS MATERIALIZED (SELECT a.image, a.k, a.d AS back, arg_min(b.l, (a.d - b.d + 7) % 8) AS nk, (arg_min(b.d, (a.d - b.d + 7) % 8) + 4) % 8 AS nd FROM to_ a JOIN to_ b ON a.image = b.image AND a.k = b.k GROUP BY a.image, a.k, a.d),
+start AS MATERIALIZED (SELECT r.image, r.root, min(d) AS d FROM (SELECT DISTINCT image, root FROM root) r LEFT JOIN to_ ON to_.image = r.image AND to_.k = r.root GROUP BY r.image, r.root),
+walk AS (SELECT image, root, 0 AS step, root AS k, d FROM start
+  UNION ALL SELECT w.image, w.root, step + 1, s.nk, s.nd FROM walk w JOIN succ s ON s.image = w.image AND s.k = w.k AND s.back = w.d JOIN start a ON a.image = w.image AND a.root = w.root WHERE NOT (s.nk = a.root AND s.nd = a.d))
+SELECT image, root, step, CAST(k % 8 AS INTEGER) AS x, CAST(k // 8 AS INTEGER) AS y FROM walk""")
+def mask_contours(spark, sf):
+    """Outer contours of all components, points in order, by list ranking."""
+    points = R.contours(R.kept(R.components(T.on_pixels(spark, sf), ["image"]), "components"), ["image"])
+    return points.select("image", R.from_place("root", 8).cast("int").alias("root"), F.col("k").cast("int").alias("step"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+#: Pixels (object, x, y) of rings ``edge`` cut to whole numbers, on a canvas of w by h.
+_FILLED = """ed AS MATERIALIZED (SELECT object, CAST(trunc(x0) AS BIGINT) AS x0, CAST(trunc(y0) AS BIGINT) AS y0, CAST(trunc(x1) AS BIGINT) AS x1, CAST(trunc(y1) AS BIGINT) AS y1 FROM edge),
+cross_ AS (SELECT object, y, ceil(x0 + (y - y0) / CAST(y1 - y0 AS DOUBLE) * (x1 - x0)) AS x FROM (SELECT *, unnest(range(least(y0, y1), greatest(y0, y1))) AS y FROM ed)),
+span_ AS (SELECT object, y, CAST(x AS BIGINT) AS a, CAST(lead(x) OVER l AS BIGINT) AS b, row_number() OVER l AS n FROM cross_ WINDOW l AS (PARTITION BY object, y ORDER BY x)),
+line_ AS (SELECT object, floor(x0 + t / CAST(s AS DOUBLE) * (x1 - x0) + 0.5) AS x, floor(y0 + t / CAST(s AS DOUBLE) * (y1 - y0) + 0.5) AS y FROM (SELECT *, unnest(range(s + 1)) AS t FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0), 1) AS s FROM ed))),
+fill_ AS MATERIALIZED (SELECT object, x, y FROM (SELECT object, unnest(range(a, b)) AS x, y FROM span_ WHERE n % 2 = 1 UNION SELECT object, CAST(x AS BIGINT), CAST(y AS BIGINT) FROM line_) WHERE x >= 0 AND y >= 0 AND x < {w} AND y < {h})"""
+
+
+@query("polygon_fill", f"{_P}, {_FILLED.format(w=20, h=60)} SELECT object, x, y FROM fill_")
+def polygon_fill(spark, sf):
+    """The pixels of every polygon on a canvas that cuts some of them."""
+    return R.filled(T.polygons(spark, sf), ["object"], F.lit(20), F.lit(60))
+
+
 @query("mask_to_polygons")
 def mask_to_polygons(spark, sf):
     from .verbs import mask_to_polygons as run

@@ -22,6 +22,27 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_pixels(gray_images(spark, sf_dir), width=8)
 
 
+def on_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, x, y) of the pixels that a mask of level 40 has."""
+    return gray(spark, sf_dir).where("v > 40").select("image", "x", "y")
+
+
+def mosaic(spark: SparkSession, sf_dir: str, columns: int = 25) -> DataFrame:
+    """All images side by side in one: (image, c, x, y, v), rows of ``columns`` images."""
+    tile = F.col("image")
+    return gray(spark, sf_dir).select(F.lit(0).alias("image"), "c", (F.pmod(tile, F.lit(columns)) * 8 + F.col("x")).alias("x"), (F.floor(tile / columns) * 8 + F.col("y")).alias("y"), "v")
+
+
+def star_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(object, poly): of each user the distinct points (event_id mod 24 div 3, floor(value) mod 8), three or more, in angular order; they lie in an 8 x 8 image."""
+    from ..functions.polygons import dedup_points, order_points, settled
+
+    point = F.struct(F.floor(F.pmod("event_id", F.lit(24)) / 3).cast("double").alias("x"), F.pmod(F.floor("value"), F.lit(8)).cast("double").alias("y"))
+    raw = read(spark, sf_dir, "events").where("value is not null").groupBy(F.col("user_id").alias("object")).agg(F.collect_set(point).alias("points"))
+    out = raw.where(F.size("points") > 2)
+    return settled(out.select("object", "points"), {"poly": order_points(dedup_points(F.col("points")))}).select("object", "poly")
+
+
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same numbers as 4 x 4 images of 4 channels."""
     return explode_pixels(gray_images(spark, sf_dir), width=4, channels=4)
@@ -54,4 +75,6 @@ POLYGON_SQL = """pt AS (SELECT DISTINCT user_id AS object, CAST(event_id % 24 AS
 mid AS (SELECT object, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pt GROUP BY object HAVING count(*) > 2),
 ring AS (SELECT object, x, y, mx, my, n, row_number() OVER (PARTITION BY object ORDER BY -round(atan2(y - my, x - mx), 9), round(pow(x - mx, 2) + pow(y - my, 2), 9), x, y) AS k FROM pt JOIN mid USING (object)),
 edge AS (SELECT a.object, a.k, a.n, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, a.mx, a.my FROM ring a JOIN ring b ON a.object = b.object AND b.k = a.k % a.n + 1)"""
+STAR_SQL = POLYGON_SQL.replace("CAST(event_id % 24 AS DOUBLE) AS x, floor(value) AS y", "CAST(event_id % 24 // 3 AS DOUBLE) AS x, CAST(CAST(floor(value) AS BIGINT) % 8 AS DOUBLE) AS y")
+MOSAIC_SQL = GRAY_SQL.replace("px AS (SELECT image, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y", "px AS (SELECT 0 AS image, image % 25 * 8 + i % 8 AS x, image // 25 * 8 + i // 8 AS y")
 BOX_SQL = """box AS (SELECT l_orderkey AS object, CAST(min(l_linenumber) AS DOUBLE) AS x_min, min(l_quantity) AS y_min, CAST(max(l_linenumber) AS DOUBLE) AS x_max, max(l_quantity) AS y_max FROM lineitem GROUP BY 1)"""
