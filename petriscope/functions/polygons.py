@@ -106,22 +106,154 @@ def _edge_gap(p: Column, m: dict[str, Column]) -> Column:
     return F.array_min(F.zip_with(p, shifted(p), edge))
 
 
-def max_feret(p: Column) -> Column:
-    """Largest distance between two points."""
-    far = F.transform(p, lambda a: F.array_max(F.transform(p, lambda b: F.pow(a["x"] - b["x"], F.lit(2)) + F.pow(a["y"] - b["y"], F.lit(2)))))
-    return F.sqrt(F.array_max(far))
+def convex_hull(p: Column) -> Column:
+    """Corners of the hull from the least point, without points on its edges; fewer than three points as they are.
 
+    Monotone chain: the stack is the state of a fold over the sorted points.
+    Along a convex chain the turns towards a new point are right up to some
+    corner and wrong from there on, so popping keeps a prefix: a filter.
+    """
+    stack = "array<struct<x:double,y:double>>"
 
-def min_feret(p: Column) -> Column:
-    """Least width over the directions of the edges."""
+    def half(points: Column) -> Column:
+        def push(s: Column, q: Column) -> Column:
+            def right(c: Column, i: Column) -> Column:
+                b = F.get(s, i - 1)
+                return (i == 0) | ((c["x"] - b["x"]) * (q["y"] - b["y"]) - (c["y"] - b["y"]) * (q["x"] - b["x"]) < 0)
 
-    def width(a: Column, b: Column) -> Column:
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        size = F.sqrt(dx * dx + dy * dy)
-        return F.when(size > 0, F.array_max(F.transform(p, lambda q: F.abs(dx * (q["y"] - a["y"]) - dy * (q["x"] - a["x"])))) / size)
+            return F.concat(F.filter(s, right), F.array(q))
+
+        return F.aggregate(points, F.array().cast(stack), push)
+
+    def ring(points: Column) -> Column:
+        there, back = half(points), half(F.reverse(points))
+        but_last = lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0)))
+        return F.when(F.size(points) < 3, points).otherwise(F.concat(let(there, but_last), let(back, but_last)))
+
+    return let(F.array_sort(F.array_distinct(p)).cast(stack), ring)
+
+
+def max_feret(p: Column, hull: Column | None = None) -> Column:
+    """Largest distance between two points; both are corners of the hull."""
+    hull = convex_hull(p) if hull is None else hull
+    far = let(hull, lambda h: F.array_max(F.transform(h, lambda a: F.array_max(F.transform(h, lambda b: F.pow(a["x"] - b["x"], F.lit(2)) + F.pow(a["y"] - b["y"], F.lit(2)))))))
+    return F.sqrt(far)
+
+
+def min_feret(p: Column, hull: Column | None = None) -> Column:
+    """Least width over the directions of the edges; the point farthest from an edge is a corner of the hull."""
+    hull = convex_hull(p) if hull is None else hull
+
+    def of(h: Column) -> Column:
+        def width(a: Column, b: Column) -> Column:
+            dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+            size = F.sqrt(dx * dx + dy * dy)
+            return F.when(size > 0, F.array_max(F.transform(h, lambda q: F.abs(dx * (q["y"] - a["y"]) - dy * (q["x"] - a["x"])))) / size)
+
+        return F.array_min(F.filter(F.zip_with(p, shifted(p), width), lambda w: w.isNotNull() & (w > 1.1920928955078125e-07)))
+
+    return F.coalesce(let(hull, of), F.lit(0.0))
+
+
+def closed(p: Column) -> Column:
+    """The ring with its first point at the end, once."""
+    return F.when(F.get(p, F.lit(0)) == F.element_at(p, -1), p).otherwise(F.concat(p, F.slice(p, 1, 1)))
+
+
+def resample(p: Column, n: int) -> Column:
+    """n points at equal distances along the closed ring, the last the first; a ring of no length repeats its point.
+
+    The lengths up to each corner and the n targets are merged: a segment holds the targets
+    that lie on it, a range of numbers.
+    """
+
+    def of(ring: Column) -> Column:
+        parts = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.sqrt(F.pow(b["x"] - a["x"], F.lit(2)) + F.pow(b["y"] - a["y"], F.lit(2))).alias("d")))
+
+        def laid(s: Column) -> Column:
+            ends = F.aggregate(s, F.array(F.lit(0.0)), lambda t, q: F.concat(t, F.array(F.element_at(t, -1) + q["d"])))
+
+            def merged(e: Column) -> Column:
+                total = F.element_at(e, -1)
+                step = total / (n - 1)
+
+                def on(q: Column, k: Column) -> Column:
+                    here = F.get(e, k)
+                    first = F.when(k == 0, F.lit(0)).otherwise(F.least(F.floor(here / step), F.lit(n - 1)) + 1)
+                    last = F.when(k == F.size(s) - 1, F.lit(n - 1)).otherwise(F.least(F.floor(F.get(e, k + 1) / step), F.lit(n - 1)))
+                    share = lambda i: F.least(F.greatest((i * step - here) / F.nullif(q["d"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+                    at = lambda i, c: q["a"][c] + F.coalesce(share(i), F.lit(0.0)) * (q["b"][c] - q["a"][c])
+                    some = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+                    return F.transform(some, lambda i: F.struct(at(i, "x").alias("x"), at(i, "y").alias("y")))
+
+                return F.when(total > 0, F.flatten(F.transform(s, on))).otherwise(F.array_repeat(F.get(ring, F.lit(0)), n))
+
+            return let(ends, merged)
 
-    wide = F.filter(F.zip_with(p, shifted(p), width), lambda w: w.isNotNull() & (w > 1.1920928955078125e-07))
-    return F.coalesce(F.array_min(wide), F.lit(0.0))
+        return let(parts, laid)
+
+    return let(closed(p), of)
+
+
+#: Points that an ellipse is fitted to, at least.
+ELLIPSE_POINTS = 32
+
+
+def ellipse(p: Column) -> Column:
+    """struct<major, minor, eccentricity> of the conic a x2 + b xy + c y2 + d x + e y = 1 of least squares; null where that is no ellipse.
+
+    Rings of fewer points than ``ELLIPSE_POINTS`` are resampled; points are
+    taken from their mean, in units of the farthest, so the sums of the normal equations
+    are of one size, and these are solved by Gauss-Jordan elimination, as a fold over the columns.
+    """
+    point = "array<struct<x:double,y:double>>"
+    ring = let(closed(p), lambda r: F.when(F.size(r) < ELLIPSE_POINTS, resample(r, ELLIPSE_POINTS)).otherwise(r)).cast(point)
+
+    def centred(r: Column) -> Column:
+        n = F.size(r) - 1
+        mean = lambda c: F.aggregate(F.slice(r, F.lit(2), n), F.lit(0.0), lambda s, q: s + q[c]) / n
+        return let(F.struct(mean("x").alias("x"), mean("y").alias("y")), lambda m: F.transform(r, lambda q: F.struct((q["x"] - m["x"]).alias("x"), (q["y"] - m["y"]).alias("y"))))
+
+    def scaled(r: Column) -> Column:
+        unit = F.array_max(F.transform(r, lambda q: F.greatest(F.abs(q["x"]), F.abs(q["y"]))))
+        return let(F.nullif(unit, F.lit(0.0)), lambda u: F.struct(u.alias("unit"), F.transform(r, lambda q: F.struct((q["x"] / u).alias("x"), (q["y"] / u).alias("y"))).alias("r")))
+
+    powers = ((2, 0), (1, 1), (0, 2), (1, 0), (0, 1))
+
+    def solved(z: Column) -> Column:
+        def monomial(q: Column, i: int, j: int) -> Column:
+            out = F.lit(1.0)
+            for c in ("x",) * i + ("y",) * j:
+                out = out * q[c]
+            return out
+
+        total = lambda i, j: F.aggregate(z["r"], F.lit(0.0), lambda s, q: s + monomial(q, i, j))
+        sums = {(i, j): F.lit(0.0) for i in range(5) for j in range(5)} | {(i, j): total(i, j) for i in range(5) for j in range(5) if 0 < i + j <= 4}
+        rows = F.array(*(sums[a[0] + b[0], a[1] + b[1]] for a in powers for b in (*powers, (0, 0))))
+
+        def step(m: Column, k: Column) -> Column:
+            at = lambda i, j: F.get(m, (i * 6 + j).cast("int"))
+            pivot = F.nullif(at(k, k), F.lit(0.0))
+            return F.transform(m, lambda v, t: F.when(F.floor(t / 6) == k, v / pivot).otherwise(v - at(F.floor(t / 6), k) * at(k, F.pmod(t, F.lit(6))) / pivot))
+
+        return let(F.aggregate(F.array(*(F.lit(k).cast("long") for k in range(5))), rows, step), lambda m: axes(m, z["unit"]))
+
+    def axes(m: Column, unit: Column) -> Column:
+        a, b, c, d, e = (F.get(m, F.lit(6 * k + 5)) for k in range(5))
+        # middle of the conic, its level there, and the eigenvalues of its quadratic form
+        det = F.nullif(4 * a * c - b * b, F.lit(0.0))
+        x, y = (b * e - 2 * c * d) / det, (b * d - 2 * a * e) / det
+        level = 1 + a * x * x + b * x * y + c * y * y
+        half = lambda f: F.struct(((a + c) / 2 - f / 2).alias("low"), ((a + c) / 2 + f / 2).alias("high"), level.alias("level"))
+
+        def lengths(v: Column) -> Column:
+            p, q = v["level"] / F.nullif(v["low"], F.lit(0.0)), v["level"] / F.nullif(v["high"], F.lit(0.0))
+            big, small = F.greatest(p, q), F.least(p, q)
+            return F.when(small > 0, F.struct((2 * unit * F.sqrt(big)).alias("major"), (2 * unit * F.sqrt(small)).alias("minor"), F.sqrt(1 - small / big).alias("eccentricity")))
+
+        return let(half(F.sqrt((a - c) * (a - c) + b * b)), lengths)
+
+    return let(let(let(ring, centred), scaled), solved)
 
 
 def form_simple(objects: DataFrame, poly: str = "poly", compat: bool = False) -> DataFrame:
@@ -152,6 +284,18 @@ def form_simple(objects: DataFrame, poly: str = "poly", compat: bool = False) ->
     ).drop("__w", "__h", "__edge", "__away")
 
 
+def form(objects: DataFrame, poly: str = "poly", compat: bool = False) -> DataFrame:
+    """Adds all 23 form descriptors."""
+    p = F.col(poly)
+    out = settled(form_simple(objects, poly, compat), {"__hull": convex_hull(p), "__e": ellipse(p)})
+    hull, e = F.col("__hull"), F.col("__e")
+    out = settled(out, {"form_area_convex": area(hull), "form_min_feret": min_feret(p, hull), "form_max_feret": max_feret(p, hull)})
+    none = F.lit(0.0)
+    return out.withColumns(
+        {"form_solidity": F.col("form_area") / F.nullif("form_area_convex", none), "form_major_axis": e["major"], "form_minor_axis": e["minor"], "form_eccentricity": e["eccentricity"]}
+    ).drop("__hull", "__e")
+
+
 # --- boxes ------------------------------------------------------------------
 
 

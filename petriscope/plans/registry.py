@@ -13,7 +13,7 @@ from ..functions import descriptors as D
 from ..functions import pixels as P
 from ..functions import polygons as G
 from ..functions import regions as R
-from ..schema import BOX_KEYS, IMAGE_FORMATS, POLYGON_KEYS, RAW_MOMENTS, TEXTURE, ZERNIKE_ORDERS
+from ..schema import BOX_KEYS, FORM, IMAGE_FORMATS, POLYGON_KEYS, RAW_MOMENTS, TEXTURE, ZERNIKE_ORDERS
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,6 +281,90 @@ def form_radii(spark, sf):
     return rounded(out.select("object", "form_minimum_radius", "form_maximum_radius", "form_mean_radius"), ["object"], 5)
 
 
+#: Hull edges: all points on one side, and those on their line between the two ends.
+_HULL = """hedge AS MATERIALIZED (SELECT a.object, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM ring a JOIN ring b ON a.object = b.object AND (a.x, a.y) <> (b.x, b.y) JOIN ring c ON c.object = a.object
+  GROUP BY ALL HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0))),
+hull AS MATERIALIZED (SELECT object, abs(sum(x0 * y1 - x1 * y0)) / 2 AS convex FROM hedge GROUP BY object)"""
+
+
+def _ellipse_sql() -> str:
+    """Tables conic (object, unit, a, b, c, d, e) and ell (object, major, minor, ecc) of the rings."""
+    powers = ((2, 0), (1, 1), (0, 2), (1, 0), (0, 1))
+    monomial = lambda i, j: " * ".join(["1e0", *["x"] * i, *["y"] * j])
+    start = ", ".join(f"sum({monomial(a[0] + b[0], a[1] + b[1])}) AS m{i}{j}" for i, a in enumerate(powers) for j, b in enumerate((*powers, (0, 0))))
+    steps = []
+    for k in range(5):
+        cell = lambda i, j: f"m{k}{j} / m{k}{k}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k}"  # noqa: B023, E731
+        steps.append(f"g{k + 1} AS (SELECT object, unit, {', '.join(f'{cell(i, j)} AS m{i}{j}' for i in range(5) for j in range(6))} FROM (SELECT * REPLACE (nullif(m{k}{k}, 0e0) AS m{k}{k}) FROM g{k}))")
+    return f"""seg AS MATERIALIZED (SELECT *, sum(d) OVER (PARTITION BY object ORDER BY k) AS hi FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS d FROM edge)),
+spans AS (SELECT object, max(hi) AS total, max(n) AS n FROM seg GROUP BY object),
+laid AS (SELECT s.object, i, i * total / 31 AS pos, arg_min(k, k) AS k FROM spans s, range(32) t(i), seg g WHERE g.object = s.object AND s.n < 31 AND (i * total / 31 <= hi OR k = s.n) GROUP BY ALL),
+pts AS MATERIALIZED (SELECT l.object, i, x0 + greatest(0, least(1e0, coalesce((pos - hi + d) / nullif(d, 0e0), 0e0))) * (x1 - x0) AS x, y0 + greatest(0, least(1e0, coalesce((pos - hi + d) / nullif(d, 0e0), 0e0))) * (y1 - y0) AS y FROM laid l JOIN seg g USING (object, k)
+  UNION ALL SELECT object, k - 1, x0, y0 FROM edge WHERE n >= 31 UNION ALL SELECT object, n, x1, y1 FROM edge WHERE n >= 31 AND k = n),
+mean_ AS (SELECT object, avg(x) AS mx, avg(y) AS my FROM pts WHERE i > 0 GROUP BY object),
+far AS (SELECT object, max(greatest(abs(x - mx), abs(y - my))) AS unit FROM pts JOIN mean_ USING (object) GROUP BY object),
+g0 AS (SELECT object, max(unit) AS unit, {start} FROM (SELECT object, unit, (x - mx) / unit AS x, (y - my) / unit AS y FROM pts JOIN mean_ USING (object) JOIN far USING (object)) GROUP BY object),
+{', '.join(steps)},
+conic AS (SELECT object, unit, m05 AS a, m15 AS b, m25 AS c, m35 AS d, m45 AS e, nullif(4 * m05 * m25 - m15 * m15, 0e0) AS det FROM g5),
+lev AS (SELECT *, 1 + a * x * x + b * x * y + c * y * y + d * x + e * y AS level, sqrt((a - c) * (a - c) + b * b) AS f FROM (SELECT *, (b * e - 2 * c * d) / det AS x, (b * d - 2 * a * e) / det AS y FROM conic)),
+ax AS (SELECT object, unit, greatest(p, q) AS big, least(p, q) AS small FROM (SELECT *, (level - d * x - e * y) / nullif((a + c - f) / 2, 0e0) AS p, (level - d * x - e * y) / nullif((a + c + f) / 2, 0e0) AS q FROM lev)),
+ell AS MATERIALIZED (SELECT object, 2 * unit * sqrt(big) AS major, 2 * unit * sqrt(small) AS minor, sqrt(1 - small / big) AS ecc FROM ax WHERE small > 0)"""
+
+
+_ELLIPSE = _ellipse_sql()
+
+
+@query("convex_hull", f"{_P}, {_HULL} SELECT object, x0 AS x, y0 AS y FROM hedge")
+def convex_hull(spark, sf):
+    return T.polygons(spark, sf).select("object", F.inline(G.convex_hull(F.col("poly"))))
+
+
+@query("form_hull", f"{_BASE}, {_HULL} SELECT object, {_r('coalesce(convex, 0e0)', 'form_area_convex')}, {_r('a / nullif(convex, 0e0)', 'form_solidity')} FROM b LEFT JOIN hull USING (object)")
+def form_hull(spark, sf):
+    return rounded(G.form(T.polygons(spark, sf)).select("object", "form_area_convex", "form_solidity"), ["object"])
+
+
+@query("ring_resampled", f"WITH {T.SMALL_SQL}, {_ELLIPSE} SELECT object, CAST(i AS INTEGER) AS i, {_r('x', 'x')}, {_r('y', 'y')} FROM pts JOIN spans USING (object) WHERE n < 31")
+def ring_resampled(spark, sf):
+    few = T.small_polygons(spark, sf).where(F.size("poly") < 31).select("object", F.posexplode(G.resample(F.col("poly"), 32)).alias("i", "q"))
+    return rounded(few.select("object", "i", "q.x", "q.y"), ["object", "i"])
+
+
+@query("form_ellipse", f"{_P}, {_ELLIPSE} SELECT object, {_r('major', 'form_major_axis', 4)}, {_r('minor', 'form_minor_axis', 4)}, {_r('ecc', 'form_eccentricity', 4)} FROM spans LEFT JOIN ell USING (object)")
+def form_ellipse(spark, sf):
+    e = G.ellipse(F.col("poly"))
+    out = G.settled(T.polygons(spark, sf), {"e": e}).select("object", F.col("e.major").alias("form_major_axis"), F.col("e.minor").alias("form_minor_axis"), F.col("e.eccentricity").alias("form_eccentricity"))
+    return rounded(out, ["object"], 4)
+
+
+@query("form_ellipse_resampled", f"WITH {T.SMALL_SQL}, {_ELLIPSE} SELECT object, {_r('major', 'form_major_axis', 3)}, {_r('minor', 'form_minor_axis', 3)}, {_r('ecc', 'form_eccentricity', 3)} FROM spans LEFT JOIN ell USING (object)")
+def form_ellipse_resampled(spark, sf):
+    """Rings of few points: the conic is fitted to 32 points along them."""
+    e = G.ellipse(F.col("poly"))
+    out = G.settled(T.small_polygons(spark, sf), {"e": e}).select("object", F.col("e.major").alias("form_major_axis"), F.col("e.minor").alias("form_minor_axis"), F.col("e.eccentricity").alias("form_eccentricity"))
+    return rounded(out, ["object"], 3)
+
+
+_RADII = ORACLE_SQL["form_radii"].split("ct AS", 1)[1].split("SELECT object, round", 1)[0]
+_FORM_TABLES = f"""{_HULL}, {_ELLIPSE}, ct AS{_RADII},
+rd AS (SELECT object, any_value(cx) AS cx, any_value(cy) AS cy, min(sqrt(pow(cx - x0 - t * dx, 2) + pow(cy - y0 - t * dy, 2))) AS r0, max(far) AS r1, avg(far) AS r2 FROM tt GROUP BY object),
+mp AS (SELECT object, avg(x) AS px, avg(y) AS py FROM ring GROUP BY object),
+f1 AS (SELECT a.object, sqrt(max(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS most FROM ring a JOIN ring b USING (object) GROUP BY a.object),
+wd AS (SELECT e.object, e.k, max(abs((x1 - x0) * (p.y - y0) - (y1 - y0) * (p.x - x0))) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS w FROM edge e JOIN ring p ON p.object = e.object GROUP BY e.object, e.k, x0, y0, x1, y1),
+f0 AS (SELECT object, coalesce(min(w) FILTER (w > {EPS}), 0e0) AS least_ FROM wd GROUP BY object)"""
+_FORM_COLUMNS = {
+    "form_centroid_x": "cx", "form_centroid_y": "cy", "form_center_x": "px", "form_center_y": "py", "form_area": "a", "form_area_convex": "coalesce(convex, 0e0)", "form_perimeter": "l", "form_solidity": "a / nullif(convex, 0e0)",
+    "form_eccentricity": "ecc", "form_major_axis": "major", "form_minor_axis": "minor", "form_minimum_radius": "r0", "form_maximum_radius": "r1", "form_mean_radius": "r2", "form_min_feret": "least_", "form_max_feret": "most", **_SIMPLE,
+}
+_FORM_FROM = "b JOIN mp USING (object) JOIN rd USING (object) JOIN f0 USING (object) JOIN f1 USING (object) LEFT JOIN hull USING (object) LEFT JOIN ell USING (object)"
+
+
+@query("form_descriptors", f"{_BASE}, {_FORM_TABLES} SELECT object, {', '.join(_r(e, c, 4) for c, e in _FORM_COLUMNS.items())} FROM {_FORM_FROM}")
+def form_descriptors(spark, sf):
+    """All 23 of every polygon, hull and ellipse included, as expressions."""
+    return rounded(G.form(T.polygons(spark, sf)).select("object", *FORM), ["object"], 4)
+
+
 # --- boxes, listings, JSON --------------------------------------------------
 
 

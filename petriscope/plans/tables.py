@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import explode_pixels
@@ -34,13 +34,8 @@ def mosaic(spark: SparkSession, sf_dir: str, columns: int = 25) -> DataFrame:
 
 
 def star_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(object, poly): of each user the distinct points (event_id mod 24 div 3, floor(value) mod 8), three or more, in angular order; they lie in an 8 x 8 image."""
-    from ..functions.polygons import dedup_points, order_points, settled
-
-    point = F.struct(F.floor(F.pmod("event_id", F.lit(24)) / 3).cast("double").alias("x"), F.pmod(F.floor("value"), F.lit(8)).cast("double").alias("y"))
-    raw = read(spark, sf_dir, "events").where("value is not null").groupBy(F.col("user_id").alias("object")).agg(F.collect_set(point).alias("points"))
-    out = raw.where(F.size("points") > 2)
-    return settled(out.select("object", "points"), {"poly": order_points(dedup_points(F.col("points")))}).select("object", "poly")
+    """One polygon per user, in an 8 x 8 image: (event_id mod 24 div 3, floor(value) mod 8)."""
+    return _rings(spark, sf_dir, F.floor(F.pmod("event_id", F.lit(24)) / 3), F.pmod(F.floor("value"), F.lit(8)), F.col("user_id"))
 
 
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,16 +43,26 @@ def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_pixels(gray_images(spark, sf_dir), width=4, channels=4)
 
 
-def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One polygon per user with three points or more: distinct (event_id mod 24, floor(value)), in angular order."""
+def _rings(spark: SparkSession, sf_dir: str, x: Column, y: Column, of: Column) -> DataFrame:
+    """(object, poly): the distinct points of each object, three or more, in angular order."""
     from ..functions.polygons import dedup_points, order_points, settled
 
-    point = F.struct(F.pmod("event_id", F.lit(24)).cast("double").alias("x"), F.floor("value").cast("double").alias("y"))
-    raw = read(spark, sf_dir, "events").where("value is not null").groupBy(F.col("user_id").alias("object")).agg(F.collect_set(point).alias("points"))
+    point = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    raw = read(spark, sf_dir, "events").where("value is not null").groupBy(of.alias("object")).agg(F.collect_set(point).alias("points"))
     out = raw.where(F.size("points") > 2)
     return settled(out.select("object", "points"), {"poly": order_points(dedup_points(F.col("points")))}).select("object", "poly")
 
 
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polygon per user: distinct (event_id mod 24, floor(value))."""
+    return _rings(spark, sf_dir, F.pmod("event_id", F.lit(24)), F.floor("value"), F.col("user_id"))
+
+
+def small_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polygon per ten events, of ten points at most: (7 event_id mod 24, floor(value))."""
+    return _rings(spark, sf_dir, F.pmod(F.col("event_id") * 7, F.lit(24)), F.floor("value"), F.floor(F.col("event_id") / 10))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box per order: the extents of line number and quantity."""
     n, q = F.col("l_linenumber").cast("double"), F.col("l_quantity")
@@ -76,5 +81,6 @@ mid AS (SELECT object, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pt GROUP B
 ring AS (SELECT object, x, y, mx, my, n, row_number() OVER (PARTITION BY object ORDER BY -round(atan2(y - my, x - mx), 9), round(pow(x - mx, 2) + pow(y - my, 2), 9), x, y) AS k FROM pt JOIN mid USING (object)),
 edge AS (SELECT a.object, a.k, a.n, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, a.mx, a.my FROM ring a JOIN ring b ON a.object = b.object AND b.k = a.k % a.n + 1)"""
 STAR_SQL = POLYGON_SQL.replace("CAST(event_id % 24 AS DOUBLE) AS x, floor(value) AS y", "CAST(event_id % 24 // 3 AS DOUBLE) AS x, CAST(CAST(floor(value) AS BIGINT) % 8 AS DOUBLE) AS y")
+SMALL_SQL = POLYGON_SQL.replace("user_id AS object, CAST(event_id % 24 AS DOUBLE)", "event_id // 10 AS object, CAST(event_id * 7 % 24 AS DOUBLE)")
 MOSAIC_SQL = GRAY_SQL.replace("px AS (SELECT image, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y", "px AS (SELECT 0 AS image, image % 25 * 8 + i % 8 AS x, image // 25 * 8 + i // 8 AS y")
 BOX_SQL = """box AS (SELECT l_orderkey AS object, CAST(min(l_linenumber) AS DOUBLE) AS x_min, min(l_quantity) AS y_min, CAST(max(l_linenumber) AS DOUBLE) AS x_max, max(l_quantity) AS y_max FROM lineitem GROUP BY 1)"""
