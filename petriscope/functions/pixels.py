@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import IMAGE_FORMATS
+from .ordering import numbered
 
 
 def explode_pixels(images: DataFrame, pixels: str = "pixels", width: Column | int = 8, channels: Column | int = 1) -> DataFrame:
@@ -84,6 +85,16 @@ def pair_files(a: DataFrame, b: DataFrame, substring_a: str | None = None, subst
     return left.join(right, "key")
 
 
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``row``, their place (from 0) by key and paths, which is the order results are written in."""
+    return numbered(pairs, ["key", "path_a", "path_b"], name="row")
+
+
+def ordered_objects(objects: DataFrame) -> DataFrame:
+    """Object rows with ``row``, their place by image and object; rows without an object (errors) are first of their image."""
+    return numbered(objects, ["image", "object"], name="row")
+
+
 def unpaired_files(a: DataFrame, b: DataFrame, substring_a: str | None = None, substring_b: str | None = None) -> DataFrame:
     """Files of ``a`` without a partner in ``b``."""
     keyed = a.withColumn("key", pair_key(F.col("stem"), substring_a))

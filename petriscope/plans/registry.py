@@ -13,6 +13,7 @@ from ..functions import descriptors as D
 from ..functions import pixels as P
 from ..functions import polygons as G
 from ..functions import regions as R
+from ..functions import resizing as Z
 from ..schema import BOX_KEYS, FORM, IMAGE_FORMATS, POLYGON_KEYS, RAW_MOMENTS, TEXTURE, ZERNIKE_ORDERS
 from . import tables as T
 
@@ -421,6 +422,18 @@ def unpaired_files(spark, sf):
     return P.unpaired_files(_masks(spark, sf), P.listed(_files(spark, sf)), "_mask", "_image").select("key", "path")
 
 
+@query("pairs_ordered", f"{_KEYED} SELECT key, path_a, path_b, row_number() OVER (ORDER BY key, path_a, path_b) - 1 AS row FROM a JOIN b USING (key)")
+def pairs_ordered(spark, sf):
+    """Pairs in one total order, without a window over one partition."""
+    return P.ordered_pairs(pair_files(spark, sf))
+
+
+@query("objects_ordered", f"WITH {T.GRAY_SQL}, o AS (SELECT image, CAST(v // 40 AS BIGINT) AS object, count(*) AS n FROM px WHERE v // 40 > 0 GROUP BY ALL) SELECT image, object, n, row_number() OVER (ORDER BY image, object) - 1 AS row FROM o")
+def objects_ordered(spark, sf):
+    at = T.gray(spark, sf).withColumn("object", F.floor(F.col("v") / 40)).where("object > 0")
+    return P.ordered_objects(at.groupBy("image", "object").agg(F.count("*").alias("n")))
+
+
 @query("json_polygons_parse", "SELECT user_id AS object, count(*) AS n, sum(event_id % 24) AS sx, CAST(sum(floor(value)) AS BIGINT) AS sy FROM events WHERE value IS NOT NULL GROUP BY 1")
 def json_polygons_parse(spark, sf):
     point = F.array(F.pmod("event_id", F.lit(24)).cast("double"), F.floor("value").cast("double"))
@@ -676,6 +689,30 @@ def resize_general(spark, sf):
     return _gray_structs(spark, sf).mapInPandas(rows, "image string, pixels string")
 
 
+def _triangle_sql(axis: str, old: int, new: int) -> str:
+    """Weights (o, axis, w) of the default resize along one axis."""
+    reach = max(old / new, 1.0)
+    return f"(SELECT o, {axis}, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, {axis}, greatest(0e0, 1 - abs({axis} - ((o + 0.5e0) * {old}e0 / {new}e0 - 0.5e0)) / {reach!r}e0) AS w FROM range({new}) t(o), range({old}) u({axis})))"
+
+
+for _bits, _top, _times, _new in ((8, 255, 1, (12, 10)), (16, 65535, 300, (5, 3))):
+    query(
+        f"resize_triangle_{_bits}",
+        f"""WITH {T.GRAY_SQL}, wx AS {_triangle_sql("x", 8, _new[0])}, wy AS {_triangle_sql("y", 8, _new[1])}
+SELECT image, c, wx.o AS x, wy.o AS y, CAST(least(greatest(floor(sum(least(v * {_times}, {_top}) * wx.w * wy.w) + 0.5e0 + 1e-9), 0e0), {_top}e0) AS BIGINT) AS v FROM px JOIN wx USING (x) JOIN wy USING (y) GROUP BY ALL""",
+    )(
+        lambda spark, sf, top=_top, times=_times, new=_new: Z.resized(T.gray(spark, sf).select("image", "c", "x", "y", F.least(F.col("v") * times, F.lit(top)).alias("v"), F.lit(8).alias("width"), F.lit(8).alias("height")), ["image"], *new, limits=(0, top))
+        .select("image", "c", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("v").cast("long").alias("v"))
+    )
+
+
+@query("resize_corner", f"""WITH {T.CLIPPED_SQL}, wx AS {_corner_sql('x', 8, 12)}, wy AS {_corner_sql('y', 8, 10)}
+SELECT image, wx.o AS x, wy.o AS y, CAST(least(greatest(floor(sum(v * wx.w * wy.w) + 0.5e0 + 1e-9), 0e0), 255e0) AS BIGINT) AS v FROM px JOIN wx USING (x) JOIN wy USING (y) GROUP BY ALL""")
+def resize_corner(spark, sf):
+    at = T.gray(spark, sf).select("image", "c", "x", "y", F.least("v", F.lit(255)).alias("v"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return Z.resized(at, ["image"], 12, 10, "corner", (0, 255)).select("image", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("v").cast("long").alias("v"))
+
+
 # --- verbs on masks, polygons and pairs -------------------------------------
 
 #: Components of more than two pixels, in raster order, as (image, object, label, box): what the verbs call objects.

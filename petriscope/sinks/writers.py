@@ -153,13 +153,12 @@ def write_zarr(df: DataFrame, folder: str, width: int, height: int, channels: in
     Images of another channel count are left out.  Row numbers follow the
     sorted stems; gives (stem, row).
     """
-    from pyspark.sql import Window
-
+    from ..functions.ordering import numbered
     from ..operators.kernels import cast, resize
 
     names = {"u1": "uint8", "u2": "uint16", "f4": "float32", "f8": "float64", "i4": "int32"}
     good = df.where(F.col("error").isNull() & (F.col("im.channels") == channels))
-    order = good.select("stem").withColumn("row", F.row_number().over(Window.orderBy("stem")) - 1)
+    order = numbered(good.select("stem"), ["stem"], name="row")
     n = order.count()
 
     def meta(shape: list[int], chunk: list[int], kind: str) -> str:
