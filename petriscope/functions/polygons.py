@@ -195,8 +195,8 @@ def resample(p: Column, n: int) -> Column:
     return let(closed(p), of)
 
 
-#: Points that an ellipse is fitted to, at least.
-ELLIPSE_POINTS = 32
+#: Points that an ellipse is fitted to, at least; a pivot of the normal equations up to which points lie on a line or a pair of lines.
+ELLIPSE_POINTS, SINGULAR = 32, 1e-9
 
 
 def ellipse(p: Column) -> Column:
@@ -233,7 +233,7 @@ def ellipse(p: Column) -> Column:
 
         def step(m: Column, k: Column) -> Column:
             at = lambda i, j: F.get(m, (i * 6 + j).cast("int"))
-            pivot = F.nullif(at(k, k), F.lit(0.0))
+            pivot = F.when(at(k, k) > SINGULAR, at(k, k))
             return F.transform(m, lambda v, t: F.when(F.floor(t / 6) == k, v / pivot).otherwise(v - at(F.floor(t / 6), k) * at(k, F.pmod(t, F.lit(6))) / pivot))
 
         return let(F.aggregate(F.array(*(F.lit(k).cast("long") for k in range(5))), rows, step), lambda m: axes(m, z["unit"]))

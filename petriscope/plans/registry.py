@@ -14,7 +14,8 @@ from ..functions import pixels as P
 from ..functions import polygons as G
 from ..functions import regions as R
 from ..functions import resizing as Z
-from ..schema import BOX_KEYS, FORM, IMAGE_FORMATS, POLYGON_KEYS, RAW_MOMENTS, TEXTURE, ZERNIKE_ORDERS
+from ..schema import BOX_KEYS, FORM, IMAGE_FORMATS, INTENSITY, MOMENTS, PIXEL_FAMILIES, POLYGON_KEYS, RAW_MOMENTS, TEXTURE, ZERNIKE, ZERNIKE_ORDERS
+from . import relational as V
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,13 +204,14 @@ for _t in TEXTURE:
 # --- Zernike ----------------------------------------------------------------
 
 
-def _zernike_sql(pixels: str, width: int, height: int) -> str:
+def _zernike_sql(pixels: str, width: int | str, height: int | str) -> str:
     def radial(n: int, m: int) -> str:
         return " + ".join(f"({float(c)!r}) * pow(r, {k})" for c, k in D.radial_terms(n, m))
 
     sums = ", ".join(f"sum(CASE WHEN r <= 1 THEN v * ({radial(n, m)}) * {f}({m} * t) ELSE 0e0 END) AS {name}{n}{m}" for n, m in ZERNIKE_ORDERS for name, f in (("re", "cos"), ("im", "sin")))
     out = ", ".join(_r(f"avg(coalesce({n + 1} / {math.pi!r} * sqrt(pow(re{n}{m}, 2) + pow(im{n}{m}, 2)) / nullif(abs(mass), 0e0), 0e0))", f"zernike_{n}{m}", 5) for n, m in ZERNIKE_ORDERS)
-    return f"""WITH {pixels}, xy AS (SELECT image, c, CAST(v AS DOUBLE) AS v, (x - {width / 2}) / {width / 2} AS px, (y - {height / 2}) / {height / 2} AS py FROM px),
+    half = lambda n: f"({n} / 2e0)" if isinstance(n, str) else f"{n / 2}"
+    return f"""WITH {pixels}, xy AS (SELECT image, c, CAST(v AS DOUBLE) AS v, (x - {half(width)}) / {half(width)} AS px, (y - {half(height)}) / {half(height)} AS py FROM px),
 pl AS (SELECT image, c, v, sqrt(px * px + py * py) AS r, atan2(py, px) AS t FROM xy),
 z AS (SELECT image, c, sum(CASE WHEN r <= 1 THEN v ELSE 0e0 END) AS mass, {sums} FROM pl GROUP BY image, c)
 SELECT image, {out} FROM z GROUP BY image"""
@@ -296,7 +298,7 @@ def _ellipse_sql() -> str:
     steps = []
     for k in range(5):
         cell = lambda i, j: f"m{k}{j} / m{k}{k}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k}"  # noqa: B023, E731
-        steps.append(f"g{k + 1} AS (SELECT object, unit, {', '.join(f'{cell(i, j)} AS m{i}{j}' for i in range(5) for j in range(6))} FROM (SELECT * REPLACE (nullif(m{k}{k}, 0e0) AS m{k}{k}) FROM g{k}))")
+        steps.append(f"g{k + 1} AS (SELECT object, unit, {', '.join(f'{cell(i, j)} AS m{i}{j}' for i in range(5) for j in range(6))} FROM (SELECT * REPLACE (CASE WHEN m{k}{k} > {G.SINGULAR} THEN m{k}{k} END AS m{k}{k}) FROM g{k}))")
     return f"""seg AS MATERIALIZED (SELECT *, sum(d) OVER (PARTITION BY object ORDER BY k) AS hi FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS d FROM edge)),
 spans AS (SELECT object, max(hi) AS total, max(n) AS n FROM seg GROUP BY object),
 laid AS (SELECT s.object, i, i * total / 31 AS pos, arg_min(k, k) AS k FROM spans s, range(32) t(i), seg g WHERE g.object = s.object AND s.n < 31 AND (i * total / 31 <= hi OR k = s.n) GROUP BY ALL),
@@ -491,24 +493,8 @@ nb AS MATERIALIZED (SELECT a.image, a.k, b.k AS l FROM on_ a JOIN on_ b ON a.ima
 reach AS (SELECT image, k, l FROM nb UNION SELECT r.image, r.k, n.l FROM reach r JOIN nb n ON n.image = r.image AND n.k = r.l)
 SELECT CAST(image AS VARCHAR) AS image, k, min(l) AS component FROM reach GROUP BY image, k""")
 def mask_relabel_cc(spark, sf):
-    import pandas as pd
-
-    def rows(batches):
-        import numpy as np
-
-        from petriscope.operators.kernels import connected_components
-        from petriscope.sources.codecs import unpack_image
-
-        for batch in batches:
-            out = []
-            for image, im in batch.itertuples(index=False, name=None):
-                flat = connected_components(unpack_image(im)[:, :, 0]).ravel()
-                at = np.flatnonzero(flat)
-                names, first = np.unique(flat[at], return_index=True)
-                out += [(image, int(k), int(at[first][np.searchsorted(names, flat[k])])) for k in at]
-            yield pd.DataFrame(out, columns=["image", "k", "component"])
-
-    return _mask_images(spark, sf).mapInPandas(rows, "image string, k int, component int")
+    out = mask_components(spark, sf)
+    return out.withColumn("image", F.col("image").cast("string"))
 
 
 # --- regions ----------------------------------------------------------------
@@ -565,13 +551,6 @@ def polygon_fill(spark, sf):
     return R.filled(T.polygons(spark, sf), ["object"], F.lit(20), F.lit(60))
 
 
-@query("mask_to_polygons")
-def mask_to_polygons(spark, sf):
-    from .verbs import mask_to_polygons as run
-
-    return run(_mask_images(spark, sf)).select("image", "object", "label", "poly")
-
-
 @query("profile_mask")
 def profile_mask(spark, sf):
     from .verbs import profile
@@ -587,85 +566,57 @@ def process_mask(spark, sf):
     return out.select("image", "object", "part", "im.width", "im.height", F.crc32("im.data").alias("crc"))
 
 
-def _measured(family: str, columns: tuple[str, ...], source):
-    def run(spark, sf):
-        from .verbs import measure
-
-        return measure(source(spark, sf), family).select("image", *((F.round(F.col(c).cast("double"), 3) + 0.0).alias(c) for c in columns))
-
-    return run
-
-
-def _single(name: str, decimals: int = 3, to: str = "") -> str:
-    """A single-precision result, as the verbs give it, rounded."""
-    return f"round(CAST(CAST({name} AS REAL) AS DOUBLE), {decimals}) + 0e0 AS {to}{name}"  # no negative zero
-
-
-def _measured_sql(inner: str, columns: tuple[str, ...]) -> str:
-    return f"SELECT CAST(image AS VARCHAR) AS image, {', '.join(_single(c) for c in columns)} FROM ({inner})"
-
-
 def _precise(sql: str) -> str:
     """An oracle above without its own rounding."""
     return re.sub(r"round\((CAST\((?:[^()]|\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\))* AS DOUBLE\)), \d\)", r"\1", sql)
 
 
-_INTENSITY = ("intensity_min", "intensity_max", "intensity_mean", "intensity_median")
-_MOMENTS = tuple(f"moments_{m}" for m in RAW_MOMENTS)
-_ZERNIKE = tuple(f"zernike_{n}{m}" for n, m in ZERNIKE_ORDERS)
 
 
-def _moments_of(pixels: str) -> str:
-    return f"WITH {pixels} SELECT image, {', '.join(f'coalesce(sum(CAST(v AS DOUBLE) * pow(x, {m[1]}) * pow(y, {m[2]})), 0e0) AS moments_{m}' for m in RAW_MOMENTS)} FROM px GROUP BY image"
+def _clipped(spark, sf) -> DataFrame:
+    return T.gray(spark, sf).withColumn("v", F.least("v", F.lit(255)))
 
 
-def _texture_of(pixels: str) -> str:
-    return f"WITH {pixels}, {_GLCM}, {_HARALICK} SELECT image, {', '.join(f'avg({t[8:]}) AS {t}' for t in TEXTURE)} FROM hk GROUP BY image"
+def _sizes(spark, sf) -> DataFrame:
+    return T.read(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"))
 
 
-query("measure_intensity", _measured_sql(_precise(_intensity_sql(T.CLIPPED_SQL)), _INTENSITY))(_measured("intensity", _INTENSITY, _gray_structs))
-query("measure_moments", _measured_sql(_moments_of(T.CLIPPED_SQL), _MOMENTS[:3]))(_measured("moments", _MOMENTS[:3], _gray_structs))
-query("measure_texture", _measured_sql(_texture_of(T.CLIPPED_SQL), TEXTURE))(_measured("texture", TEXTURE, _gray_structs))
-query("measure_zernike", _measured_sql(_precise(_zernike_sql(T.CLIPPED_SQL, 8, 8)), _ZERNIKE))(_measured("zernike", _ZERNIKE, _gray_structs))
+#: Added before rounding: many values are dyadic fractions, whose ties would fall either way.
+_TIE = 1e-7
 
 
-@query("measure_form")
-def measure_form(spark, sf):
-    from .verbs import measure_form as run
+def _tied(c: str, decimals: int = 4) -> Column:
+    return F.round(F.col(c).cast("double") + _TIE, decimals).alias(c)
 
-    return run(T.polygons(spark, sf).select(F.col("object").cast("string").alias("image"), F.array("poly").alias("polygons")))
 
+def _measure(family: str, columns: tuple[str, ...], inner: str) -> None:
+    """All columns of a family, of whole images."""
+    sql = f"SELECT CAST(image AS VARCHAR) AS image, {', '.join(f'round(CAST({c} AS DOUBLE) + {_TIE}, 4) AS {c}' for c in columns)} FROM ({inner})"
+    query(f"measure_{family}", sql)(lambda spark, sf: V.measure(_clipped(spark, sf), family, _sizes(spark, sf)).select(F.col("image").cast("string").alias("image"), *map(_tied, columns)))
 
-_CROP = T.CLIPPED_SQL.replace("px AS", "raw AS") + ", px AS (SELECT image, x - 1 AS x, y - 1 AS y, c, v FROM raw WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5)"
-_PROFILED = (*_INTENSITY, *_MOMENTS[:3], *TEXTURE, *_ZERNIKE)
 
+def _all_moments_sql(pixels: str) -> str:
+    return f"""WITH {pixels}, m AS (SELECT image, c, {_RAW} FROM px WHERE v > 0 GROUP BY image, c), {_CENTRAL}, {_HU}, k AS (SELECT DISTINCT image, c FROM px)
+SELECT image, {', '.join(f"avg(coalesce({c}, 0e0)) AS moments_{c}" for c in (*RAW_MOMENTS, *_US, *_IS))} FROM k LEFT JOIN hu USING (image, c) GROUP BY image"""
 
-def _profiled_sql(pixels: str) -> str:
-    families = (_precise(_intensity_sql(pixels)), _moments_of(pixels), _texture_of(pixels), _precise(_zernike_sql(pixels, 6, 5)))
-    joined = " JOIN ".join(f"({sql}) f{k}" + " USING (image)" * bool(k) for k, sql in enumerate(families))
-    return f"SELECT CAST(image AS VARCHAR) AS image, CAST(0 AS INTEGER) AS object, {', '.join(_single(c, to='complete_') for c in _PROFILED)} FROM {joined}"
 
+def _texture_nan_sql(pixels: str) -> str:
+    return f"WITH {pixels}, {_GLCM}, {_HARALICK} SELECT image, {', '.join(f"avg(coalesce({t[8:]}, 'NaN'::DOUBLE)) AS {t}" for t in TEXTURE)} FROM hk GROUP BY image"
 
-def _boxed(spark, sf) -> DataFrame:
-    box = F.struct(*(F.lit(float(v)).alias(c) for c, v in (("x_min", 2), ("y_min", 2), ("x_max", 5), ("y_max", 4))))
-    return _gray_structs(spark, sf).withColumn("boxes", F.array(box))
-
-
-@query("profile_boxes", _profiled_sql(_CROP))
-def profile_boxes(spark, sf):
-    from .verbs import profile
-
-    out = profile(_boxed(spark, sf), "boxes", "cx")
-    return out.select("image", "object", *((F.round(F.col(f"complete_{c}").cast("double"), 3) + 0.0).alias(f"complete_{c}") for c in _PROFILED))
 
+_measure("intensity", INTENSITY, _precise(_intensity_sql(T.CLIPPED_SQL)))
+_measure("moments", MOMENTS, _all_moments_sql(T.CLIPPED_SQL))
+_measure("texture", TEXTURE, _texture_nan_sql(T.CLIPPED_SQL))
+_measure("zernike", ZERNIKE, _precise(_zernike_sql(T.CLIPPED_SQL, 8, 8)))
 
-@query("process_boxes", f"WITH {_CROP} SELECT CAST(image AS VARCHAR) AS image, CAST(0 AS INTEGER) AS object, CAST(6 AS INTEGER) AS width, CAST(5 AS INTEGER) AS height, string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x) AS pixels FROM px GROUP BY image")
-def process_boxes(spark, sf):
-    from .verbs import process
 
-    return process(_boxed(spark, sf), "boxes", "c").select("image", "object", "im.width", "im.height", F.hex("im.data").alias("pixels"))
+@query("measure_form", f"{_BASE}, {_FORM_TABLES} SELECT CAST(object AS VARCHAR) AS image, {', '.join(f'round(CAST({e} AS DOUBLE) + {_TIE}, 3) AS {c}' for c, e in _FORM_COLUMNS.items())} FROM {_FORM_FROM}")
+def measure_form(spark, sf):
+    """The verb's 23 columns of every polygon."""
+    return G.form(T.polygons(spark, sf)).select(F.col("object").cast("string").alias("image"), *(_tied(c, 3) for c in FORM))
 
 
+_CROP = T.CLIPPED_SQL.replace("px AS", "raw AS") + ", px AS (SELECT image, x - 1 AS x, y - 1 AS y, c, v FROM raw WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5)"
 def _corner_sql(axis: str, old: int, new: int) -> str:
     """Weights (o, axis, w) of the general resize along one axis."""
     at = f"(o - 0.5e0) * ({old}e0 / {new}e0)"
@@ -677,16 +628,9 @@ def _corner_sql(axis: str, old: int, new: int) -> str:
 big AS (SELECT image, wx.o AS ox, wy.o AS oy, sum(v * wx.w * wy.w) AS v FROM px JOIN wx USING (x) JOIN wy USING (y) GROUP BY ALL)
 SELECT CAST(image AS VARCHAR) AS image, string_agg(CAST(CAST(least(greatest(floor(v + 0.5e0), 0e0), 255e0) AS INTEGER) AS VARCHAR), ',' ORDER BY oy, ox) AS pixels FROM big GROUP BY image""")
 def resize_general(spark, sf):
-    import pandas as pd
-
-    def rows(batches):
-        from petriscope.operators.kernels import resize
-        from petriscope.sources.codecs import unpack_image
-
-        for batch in batches:
-            yield pd.DataFrame([(i, ",".join(map(str, resize(unpack_image(im), 12, 10, "corner").ravel().tolist()))) for i, im in batch.itertuples(index=False, name=None)], columns=["image", "pixels"])
-
-    return _gray_structs(spark, sf).mapInPandas(rows, "image string, pixels string")
+    at = resize_corner(spark, sf)
+    one = at.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
+    return one.select(F.col("image").cast("string").alias("image"), F.array_join(F.transform("s", lambda q: q["v"].cast("string")), ",").alias("pixels"))
 
 
 def _triangle_sql(axis: str, old: int, new: int) -> str:
@@ -734,85 +678,159 @@ def _parted(names: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT image, object, '{n}' AS part, x, y, w, h, c, {_PARTS[n]} AS v FROM cell" for n in names)
 
 
-def _mask_pairs(spark, sf) -> DataFrame:
-    """Images with their masks; both are made of one row, so nothing is joined."""
-    from .verbs import image_of
+@query("pair_images", f"""WITH {T.CLIPPED_SQL}, g AS (SELECT image, max(v) AS most, string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x) AS pixels, string_agg(CASE WHEN v > 40 THEN '01' ELSE '00' END, '' ORDER BY y, x) AS mask FROM px GROUP BY image)
+SELECT 'img_' || image || '_image' AS image, 'img_' || image AS id, pixels, mask FROM g WHERE most > 40""")
+def pair_images(spark, sf):
+    """The verb on two image files a key, of which the last path holds, and on masks of which the empty ones are error rows."""
+    from .verbs import image_of, pair
+
+    stem = F.concat(F.lit("img_"), "image", F.lit("_image"))
+    pixels = {"npy": F.transform("pixels", lambda v: v * 0), "png": F.transform("pixels", lambda v: F.least(v, F.lit(255)))}
+    versions = F.inline(F.array(*(F.struct(F.concat(F.lit("in/"), stem, F.lit(f".{ext}")).alias("path"), image_of(v, 8, 8).alias("im")) for ext, v in pixels.items())))
+    images = T.gray_images(spark, sf).select(stem.alias("stem"), F.lit(None).cast("string").alias("error"), versions)
+    on = F.transform("pixels", lambda v: (v > 40).cast("int"))
+    masks = T.gray_images(spark, sf).select(F.concat(F.lit("img_"), "image", F.lit("_mask")).alias("stem"), image_of(on, 8, 8).alias("im"), F.when(F.array_max(on) == 0, F.lit("no objects")).alias("error"))
+    return pair(images, masks, "mask", "_image", "_mask").select("image", "id", F.hex("im.data").alias("pixels"), F.hex("mask.data").alias("mask"))
+
+
+# --- whole verbs on the pixel relation ---------------------------------------
 
-    image = image_of(F.transform("pixels", lambda v: F.least(v, F.lit(255))), 8, 8)
-    mask = image_of(F.transform("pixels", lambda v: (v > 40).cast("int")), 8, 8)
-    return T.gray_images(spark, sf).select(F.col("image").cast("string").alias("image"), image.alias("im"), mask.alias("mask"))
+
+def _object_rows(df: DataFrame, *columns) -> DataFrame:
+    return df.select(F.col("image").cast("string").alias("image"), F.col("object").cast("int").alias("object"), *columns)
+
+
+def _profiled(df: DataFrame) -> DataFrame:
+    return _object_rows(df, *(_tied(c) for c in df.columns if c not in ("image", "object")))
+
+
+#: All pixel descriptors of the images of base_px, as table fam.
+_SHOWN = "px AS (SELECT * FROM base_px)"
+_FAMILIES = f"""fam AS MATERIALIZED (SELECT * FROM ({_all_moments_sql(_SHOWN)}) f1 JOIN ({_precise(_zernike_sql(_SHOWN, "w", "h"))}) f2 USING (image) JOIN ({_precise(_intensity_sql(_SHOWN))}) f3 USING (image) JOIN ({_texture_nan_sql(_SHOWN)}) f4 USING (image))"""
+
+
+def _part_pixels(names) -> str:
+    value = lambda n: "CASE WHEN mine THEN 1 ELSE 0 END" if n == "mask" else _PARTS[n]
+    return " UNION ALL ".join(f"SELECT image || ':' || object || ':{n}' AS image, x, y, w, h, c, CAST({value(n)} AS BIGINT) AS v FROM cell" for n in names)
+
+
+def _profile_sql(cells: str, names: tuple[str, ...], form: str = "", extra: tuple[str, ...] = ()) -> str:
+    """All columns of a profile: ``cells`` are tables with cell, the pixels of the crops, and keys (image, object, key, ring).
+
+    ``form`` are tables of the rings' descriptors; the ring of a key is keys.ring.
+    """
+    columns, joins = [], ""
+    for n in names:
+        joins += f" JOIN fam {n}_ ON {n}_.image = k.key || ':{n}'"
+        columns += [f"round(CAST({n}_.{c} AS DOUBLE) + {_TIE}, 4) AS {n}_{c}" for c in (MOMENTS + ZERNIKE if n == "mask" else PIXEL_FAMILIES)]
+    forms = [f"round(CAST({e} AS DOUBLE) + {_TIE}, 4) AS {c}" for c, e in _FORM_COLUMNS.items()] if form else []
+    rings = f" JOIN (SELECT * FROM {_FORM_FROM}) fm ON CAST(fm.object AS VARCHAR) = k.ring" if form else ""
+    return f"""WITH {cells}, base_px AS MATERIALIZED ({_part_pixels(names)}), {_FAMILIES}{", " + form if form else ""}
+SELECT k.image, k.object, {', '.join([*forms, *columns, *extra])} FROM keys k{joins}{rings}"""
+
+
+# objects of masks
+
+_OBJECT_CELLS_SQL = _CELLS.replace("min(l) AS first_", "min(l) AS root, min(l) AS first_") + ", keys AS (SELECT DISTINCT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, image || ':' || object AS key, image || ':' || object AS ring FROM cell)"
+_ONE_SIDE = ORACLE_SQL["mask_contours"].split("dir AS", 1)[1].split("SELECT image, root, step, CAST", 1)[0]
+_RING_OF = "mid AS (SELECT object, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pt GROUP BY object HAVING count(*) > 2)" + T.POLYGON_SQL.split("HAVING count(*) > 2)", 1)[1]
+_B_OF = _BASE.split("b AS", 1)[1]
+_WALKED = f"""dir AS{_ONE_SIDE}, pt AS (SELECT DISTINCT o.image || ':' || o.object AS object, CAST(w.k % 8 AS DOUBLE) AS x, CAST(w.k // 8 AS DOUBLE) AS y FROM walk w JOIN lab l ON l.image = w.image AND l.k = w.root JOIN obj o ON o.image = l.image AND o.label = l.label),
+{_RING_OF}, b AS{_B_OF}, {_FORM_TABLES}"""
+
+
+def _mask_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pixels, masks, sizes) of the images and their masks of level 40."""
+    pixels = _clipped(spark, sf)
+    return pixels, pixels.select("image", "x", "y", (F.col("v") > 40).cast("long").alias("label")), _sizes(spark, sf)
+
+
+@query("profile_objects", _profile_sql(_OBJECT_CELLS_SQL, tuple(_PARTS), _WALKED))
+def profile_objects(spark, sf):
+    """All 299 columns of the objects of masks, from pixels over contours to descriptors in joins and aggregations."""
+    return _profiled(V.profile_masks(*_mask_tables(spark, sf), "pcfbm"))
+
+
+@query("profile_mask_parts", f"""WITH {_OBJECT_CELLS_SQL}, base_px AS MATERIALIZED ({_part_pixels(("complete", "foreground", "background"))}), {_FAMILIES}
+SELECT fam.image AS key, {', '.join(f"round(CAST({c} AS DOUBLE) + {_TIE}, 4) AS {c}" for c in PIXEL_FAMILIES)} FROM fam""")
+def profile_mask_parts(spark, sf):
+    """All 74 pixel descriptors of each part of each object, a row a part."""
+    pixels, masks, sizes = _mask_tables(spark, sf)
+    objects = R.kept(V.mask_objects(masks), "objects")
+    crops = R.kept(G.object_crops(objects.join(sizes, "image")), "crops")
+    out = V.described_parts(V.parts(pixels, crops, V.object_pixels(masks, objects), "cfb"), "cfb")
+    return out.select(F.concat_ws(":", "image", "object", "part").alias("key"), *map(_tied, PIXEL_FAMILIES))
 
 
 @query("mask_object_boxes", f"WITH {_OBJECTS} SELECT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, CAST(label AS BIGINT) AS label, CAST(x0 AS DOUBLE) AS x_min, CAST(y0 AS DOUBLE) AS y_min, CAST(x1 AS DOUBLE) AS x_max, CAST(y1 AS DOUBLE) AS y_max FROM obj")
 def mask_object_boxes(spark, sf):
-    from .verbs import mask_to_boxes as run
+    return _object_rows(V.mask_objects(_mask_tables(spark, sf)[1]), "label", "bbox.*")
 
-    return run(_mask_images(spark, sf)).where("object is not null").select("image", "object", "label", "bbox.*")
 
+@query("mask_to_polygons", f"""WITH {_OBJECT_CELLS_SQL}, dir AS{_ONE_SIDE}
+SELECT CAST(o.image AS VARCHAR) AS image, CAST(o.object AS INTEGER) AS object, CAST(o.label AS BIGINT) AS label, string_agg((w.k % 8) || ' ' || (w.k // 8), ',' ORDER BY w.step) AS points FROM walk w JOIN lab l ON l.image = w.image AND l.k = w.root JOIN obj o ON o.image = l.image AND o.label = l.label GROUP BY ALL""")
+def mask_to_polygons(spark, sf):
+    """The contours of all objects, points in order, as text."""
+    point = F.concat(F.col("p.x").cast("long"), F.lit(" "), F.col("p.y").cast("long"))
+    text = F.array_join(F.transform("poly", lambda q: F.concat(q["x"].cast("long").cast("string"), F.lit(" "), q["y"].cast("long").cast("string"))), ",")
+    return _object_rows(V.mask_objects(_mask_tables(spark, sf)[1]), "label", text.alias("points"))
 
-@query("process_mask_pixels", f"""WITH {_CELLS}, pt AS ({_parted(tuple(_PARTS))})
-SELECT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, part, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x) AS pixels FROM pt GROUP BY image, object, part""")
-def process_mask_pixels(spark, sf):
-    from .verbs import process
 
-    return process(_mask_pairs(spark, sf), "mask", "cmfb").select("image", "object", "part", "im.width", "im.height", F.hex("im.data").alias("pixels"))
+def _hexed(df: DataFrame) -> DataFrame:
+    two = F.array_join(F.transform("pixels", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")
+    return _object_rows(df, "part", "width", "height", two.alias("pixels"))
 
 
-_PART_NAMES = ("complete", "foreground", "background")
-_KEYED_PARTS = f"{_CELLS.replace('px AS', 'whole AS', 1).replace('FROM px WHERE', 'FROM whole WHERE').replace('JOIN px p', 'JOIN whole p')}, px AS MATERIALIZED (SELECT image || ':' || object || ':' || part AS image, x, y, c, v FROM ({_parted(_PART_NAMES)}))"
+_PIXELS_SQL = "string_agg(lpad(to_hex(CAST(v AS BIGINT)), 2, '0'), '' ORDER BY y, x) AS pixels"
 
 
-@query("profile_mask_parts", f"SELECT image AS key, {', '.join(_single(c) for c in (*_INTENSITY, *_MOMENTS[:3]))} FROM ({_precise(_intensity_sql(_KEYED_PARTS))}) f0 JOIN ({_moments_of(_KEYED_PARTS)}) f1 USING (image)")
-def profile_mask_parts(spark, sf):
-    from .verbs import profile
+@query("process_mask_pixels", f"""WITH {_CELLS}, pt AS ({_parted(tuple(_PARTS))})
+SELECT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, part, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, {_PIXELS_SQL} FROM pt GROUP BY image, object, part""")
+def process_mask_pixels(spark, sf):
+    pixels, masks, sizes = _mask_tables(spark, sf)
+    objects = R.kept(V.mask_objects(masks), "objects")
+    return _hexed(V.process(pixels, objects, V.object_pixels(masks, objects), sizes, "cmfb"))
 
-    names = (*_INTENSITY, *_MOMENTS[:3])
-    one = lambda part: F.struct(F.concat_ws(":", "image", "object", F.lit(part)).alias("key"), *((F.round(F.col(f"{part}_{c}").cast("double"), 3) + 0.0).alias(c) for c in names))
-    return profile(_mask_pairs(spark, sf), "mask", "cfb").where("object is not null").select(F.inline(F.array(*map(one, _PART_NAMES))))
 
+# polygons and boxes of the images
 
-def _ringed(spark, sf) -> DataFrame:
-    """A triangle in each image, of the extents of the box above."""
-    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((2.0, 2.0), (5.0, 2.0), (5.0, 4.0))))
-    return _gray_structs(spark, sf).withColumn("polygons", F.array(ring))
+_POLYGON_CELLS = f"""{T.CLIPPED_SQL.replace("px AS", "whole AS")}, {T.IMAGE_POLYGON_SQL}, {_FILLED.format(w=8, h=8)},
+bb AS (SELECT object AS ring, object // 2 AS image, object % 2 AS object, CAST(min(x) AS BIGINT) AS x0, CAST(min(y) AS BIGINT) AS y0, CAST(max(x) AS BIGINT) AS x1, CAST(max(y) AS BIGINT) AS y1 FROM ring GROUP BY object),
+cell AS MATERIALIZED (SELECT b.ring, b.image, b.object, p.x - b.x0 + 1 AS x, p.y - b.y0 + 1 AS y, b.x1 - b.x0 + 3 AS w, b.y1 - b.y0 + 3 AS h, 0 AS c, p.v, f.x IS NOT NULL AS mine
+  FROM bb b JOIN whole p ON p.image = b.image AND p.x BETWEEN b.x0 - 1 AND b.x1 + 1 AND p.y BETWEEN b.y0 - 1 AND b.y1 + 1 LEFT JOIN fill_ f ON f.object = b.ring AND f.x = p.x AND f.y = p.y),
+keys AS (SELECT DISTINCT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, image || ':' || object AS key, CAST(ring AS VARCHAR) AS ring FROM cell)"""
 
 
-@query("profile_polygons", f"SELECT *, 3e0 AS form_area, 4e0 AS form_center_x FROM ({_profiled_sql(_CROP)})")
+@query("profile_polygons", _profile_sql(_POLYGON_CELLS, tuple(_PARTS), f"b AS{_B_OF}, {_FORM_TABLES}"))
 def profile_polygons(spark, sf):
-    from .verbs import profile
+    """All 299 columns of polygons, their masks filled by scan lines."""
+    return _profiled(V.profile_polygons(_clipped(spark, sf), T.image_polygons(spark, sf), _sizes(spark, sf), "pcfbm"))
 
-    out = profile(_ringed(spark, sf), "polygons", "pc")
-    form = (F.col(c).cast("double").alias(c) for c in ("form_area", "form_center_x"))
-    return out.select("image", "object", *((F.round(F.col(f"complete_{c}").cast("double"), 3) + 0.0).alias(f"complete_{c}") for c in _PROFILED), *form)
 
-
-@query("process_polygons", ORACLE_SQL["process_boxes"])
+@query("process_polygons", f"""WITH {_POLYGON_CELLS}, pt_ AS ({_parted(tuple(_PARTS))})
+SELECT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, part, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, {_PIXELS_SQL} FROM pt_ GROUP BY image, object, part""")
 def process_polygons(spark, sf):
-    from .verbs import process
+    sizes = _sizes(spark, sf)
+    objects = R.kept(T.image_polygons(spark, sf).withColumn("bbox", G.bounding_box(F.col("poly"))), "objects")
+    own = R.filled(objects.join(sizes, "image"), ["image", "object"], F.col("width"), F.col("height"))
+    return _hexed(V.process(_clipped(spark, sf), objects, own, sizes, "cmfb"))
 
-    return process(_ringed(spark, sf), "polygons", "c").select("image", "object", "im.width", "im.height", F.hex("im.data").alias("pixels"))
 
+def _image_boxes(spark, sf) -> DataFrame:
+    return T.image_polygons(spark, sf).select("image", "object", G.bounding_box(F.col("poly")).alias("bbox"))
 
-_RINGS = ("form_area", "form_area_bbox", "form_perimeter", "form_center_x", "form_center_y", "form_max_feret")
 
+@query("profile_boxes", _profile_sql(_POLYGON_CELLS, ("complete",), extra=("CAST(bw AS DOUBLE) AS bbox_width", "CAST(bh AS DOUBLE) AS bbox_height", "CAST(bw * bh AS DOUBLE) AS bbox_area")).replace("FROM keys k", "FROM (SELECT keys.*, x1 - x0 AS bw, y1 - y0 AS bh FROM keys JOIN bb ON CAST(bb.ring AS VARCHAR) = keys.ring) k"))
+def profile_boxes(spark, sf):
+    """All 77 columns of boxes."""
+    out = V.profile_boxes(_clipped(spark, sf), _image_boxes(spark, sf), _sizes(spark, sf), "cx")
+    return _object_rows(out, *(_tied(c) for c in out.columns if c.startswith("complete_")), "bbox_width", "bbox_height", "bbox_area")
 
-@query("measure_form_columns", f"""{_BASE}, m AS (SELECT object, avg(x) AS form_center_x, avg(y) AS form_center_y FROM ring GROUP BY object),
-d AS (SELECT p.object, sqrt(max(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))) AS form_max_feret FROM ring p JOIN ring q USING (object) GROUP BY p.object)
-SELECT CAST(object AS VARCHAR) AS image, {', '.join(_single(c, 2) for c in _RINGS)} FROM (SELECT object, a AS form_area, w * h AS form_area_bbox, l AS form_perimeter, form_center_x, form_center_y, form_max_feret FROM b JOIN m USING (object) JOIN d USING (object))""")
-def measure_form_columns(spark, sf):
-    return measure_form(spark, sf).select("image", *((F.round(F.col(c).cast("double"), 2) + 0.0).alias(c) for c in _RINGS))
 
+@query("process_boxes", f"WITH {_POLYGON_CELLS} SELECT CAST(image AS VARCHAR) AS image, CAST(object AS INTEGER) AS object, 'complete' AS part, CAST(max(w) AS INTEGER) AS width, CAST(max(h) AS INTEGER) AS height, {_PIXELS_SQL} FROM cell GROUP BY image, object")
+def process_boxes(spark, sf):
+    return _hexed(V.process(_clipped(spark, sf), _image_boxes(spark, sf), None, _sizes(spark, sf), "c"))
 
-@query("pair_images", f"""WITH {T.CLIPPED_SQL}, g AS (SELECT image, max(v) AS most, string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x) AS pixels, string_agg(CASE WHEN v > 40 THEN '01' ELSE '00' END, '' ORDER BY y, x) AS mask FROM px GROUP BY image)
-SELECT 'img_' || image || '_image' AS image, 'img_' || image AS id, pixels, mask FROM g WHERE most > 40""")
-def pair_images(spark, sf):
-    """The verb on two image files a key, of which the last path holds, and on masks of which the empty ones are error rows."""
-    from .verbs import image_of, pair
 
-    stem = F.concat(F.lit("img_"), "image", F.lit("_image"))
-    pixels = {"npy": F.transform("pixels", lambda v: v * 0), "png": F.transform("pixels", lambda v: F.least(v, F.lit(255)))}
-    versions = F.inline(F.array(*(F.struct(F.concat(F.lit("in/"), stem, F.lit(f".{ext}")).alias("path"), image_of(v, 8, 8).alias("im")) for ext, v in pixels.items())))
-    images = T.gray_images(spark, sf).select(stem.alias("stem"), F.lit(None).cast("string").alias("error"), versions)
-    on = F.transform("pixels", lambda v: (v > 40).cast("int"))
-    masks = T.gray_images(spark, sf).select(F.concat(F.lit("img_"), "image", F.lit("_mask")).alias("stem"), image_of(on, 8, 8).alias("im"), F.when(F.array_max(on) == 0, F.lit("no objects")).alias("error"))
-    return pair(images, masks, "mask", "_image", "_mask").select("image", "id", F.hex("im.data").alias("pixels"), F.hex("mask.data").alias("mask"))
+#: The older name of the verb's columns; all 23 as well.
+query("measure_form_columns", ORACLE_SQL["measure_form"])(measure_form)

@@ -33,9 +33,11 @@ def mosaic(spark: SparkSession, sf_dir: str, columns: int = 25) -> DataFrame:
     return gray(spark, sf_dir).select(F.lit(0).alias("image"), "c", (F.pmod(tile, F.lit(columns)) * 8 + F.col("x")).alias("x"), (F.floor(tile / columns) * 8 + F.col("y")).alias("y"), "v")
 
 
-def star_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One polygon per user, in an 8 x 8 image: (event_id mod 24 div 3, floor(value) mod 8)."""
-    return _rings(spark, sf_dir, F.floor(F.pmod("event_id", F.lit(24)) / 3), F.pmod(F.floor("value"), F.lit(8)), F.col("user_id"))
+def image_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, object, poly): one polygon per ten events, two an image, inside the 8 x 8 image: (1 + 5 event_id mod 6, 1 + floor(value) mod 6)."""
+    ten = F.floor(F.col("event_id") / 10)
+    rings = _rings(spark, sf_dir, F.pmod(F.col("event_id") * 5, F.lit(6)) + 1, F.pmod(F.floor("value"), F.lit(6)) + 1, ten)
+    return rings.select(F.floor(F.col("object") / 2).alias("image"), F.pmod("object", F.lit(2)).cast("int").alias("object"), "poly")
 
 
 def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ POLYGON_SQL = """pt AS (SELECT DISTINCT user_id AS object, CAST(event_id % 24 AS
 mid AS (SELECT object, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pt GROUP BY object HAVING count(*) > 2),
 ring AS (SELECT object, x, y, mx, my, n, row_number() OVER (PARTITION BY object ORDER BY -round(atan2(y - my, x - mx), 9), round(pow(x - mx, 2) + pow(y - my, 2), 9), x, y) AS k FROM pt JOIN mid USING (object)),
 edge AS (SELECT a.object, a.k, a.n, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, a.mx, a.my FROM ring a JOIN ring b ON a.object = b.object AND b.k = a.k % a.n + 1)"""
-STAR_SQL = POLYGON_SQL.replace("CAST(event_id % 24 AS DOUBLE) AS x, floor(value) AS y", "CAST(event_id % 24 // 3 AS DOUBLE) AS x, CAST(CAST(floor(value) AS BIGINT) % 8 AS DOUBLE) AS y")
+IMAGE_POLYGON_SQL = POLYGON_SQL.replace("user_id AS object, CAST(event_id % 24 AS DOUBLE) AS x, floor(value) AS y", "event_id // 10 AS object, CAST(event_id * 5 % 6 + 1 AS DOUBLE) AS x, CAST(CAST(floor(value) AS BIGINT) % 6 + 1 AS DOUBLE) AS y")
 SMALL_SQL = POLYGON_SQL.replace("user_id AS object, CAST(event_id % 24 AS DOUBLE)", "event_id // 10 AS object, CAST(event_id * 7 % 24 AS DOUBLE)")
 MOSAIC_SQL = GRAY_SQL.replace("px AS (SELECT image, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y", "px AS (SELECT 0 AS image, image % 25 * 8 + i % 8 AS x, image // 25 * 8 + i // 8 AS y")
 BOX_SQL = """box AS (SELECT l_orderkey AS object, CAST(min(l_linenumber) AS DOUBLE) AS x_min, min(l_quantity) AS y_min, CAST(max(l_linenumber) AS DOUBLE) AS x_max, max(l_quantity) AS y_max FROM lineitem GROUP BY 1)"""
