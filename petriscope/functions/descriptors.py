@@ -24,42 +24,42 @@ LEVELS = 64
 def intensity(pixels: DataFrame, by: list[str], compat: bool = False) -> DataFrame:
     """min, max, sum, mean, std (means over channels; ``compat``: Q2), median and mad of all channels together.
 
-    Counts of equal values are combined before they move, so a row holds an
-    image's distinct values, not its pixels; channels and images then keep to
-    one partitioning.
+    Counts of equal values are combined before they move and dealt by image
+    once; medians come from running counts over sorted values, which spill where
+    an image is large, so no row or buffer holds an image's values.
     """
     v, n = F.col("v"), F.col("n")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     counts = pixels.groupBy(*by, "c", F.when(F.col("v") > 0, F.col("v").cast("double")).alias("v")).agg(F.count("*").alias("n")).repartition(*by)
-    mass = F.nullif(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
-    per = counts.groupBy(*by, "c").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v * n).alias("total"), mass.alias("mass"), F.collect_list(F.when(v.isNotNull(), F.struct("v", "n"))).alias("values"))
-    per = per.withColumn("mean", F.col("total") / F.col("mass"))
-    squares = F.aggregate("values", F.lit(0.0), lambda s, q: s + q["n"] * F.pow(q["v"] - F.col("mean"), F.lit(2)))
-    per = per.withColumn("std", F.sqrt(squares / F.col("mass")))
+    some = F.when(v.isNotNull(), n).otherwise(0)
+    channel, image = Window.partitionBy(*by, "c"), Window.partitionBy(*by)
+    counts = counts.withColumns({"total": F.sum(v * n).over(channel), "mass": F.nullif(F.sum(some).over(channel), F.lit(0)), "all": F.sum(some).over(image), "seen": F.sum(some).over(image.orderBy("v"))})
+    counts = counts.withColumns({"low": F.min(reached(v, "seen", "all", 1)).over(image), "high": F.min(reached(v, "seen", "all", 0)).over(image)})
+    counts = counts.withColumn("median", (F.col("low") + F.col("high")) / 2).withColumn("gap", F.abs(v - F.col("median")))
+    counts = counts.withColumn("seen", F.sum(some).over(image.orderBy("gap")))
+    mean = F.col("total") / F.col("mass")
+    per = counts.groupBy(*by, "c").agg(
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.first("total").alias("total"), F.first(mean).alias("mean"), F.sqrt(F.sum(n * F.pow(v - mean, F.lit(2))) / F.first("mass")).alias("std"),
+        F.first("median").alias("median"), F.min(reached(F.col("gap"), "seen", "all", 1)).alias("low"), F.min(reached(F.col("gap"), "seen", "all", 0)).alias("high"),
+    )
     names = ("lo", "hi", "total", "mean", "std")
     if compat:
         last = lambda c: F.max_by(zero(F.col(c)), "c") / F.count("*")
         stats = [last("mean" if n == "std" else n).alias(n) for n in names]
     else:
         stats = [F.avg(zero(F.col(n))).alias(n) for n in names]
-    one = per.groupBy(*by).agg(*stats, F.array_sort(F.flatten(F.collect_list("values"))).alias("s"))
-    one = settled(one, {"median": zero(median_of_counts(F.col("s")))})
-    gaps = F.array_sort(F.transform("s", lambda q: F.struct(F.abs(q["v"] - F.col("median")).alias("v"), q["n"].alias("n"))))
-    return one.select(*by, *(F.col(a).alias(f"intensity_{b}") for a, b in zip(names, ("min", "max", "sum", "mean", "std"), strict=True)), F.col("median").alias("intensity_median"), zero(median_of_counts(gaps)).alias("intensity_mad"))
-
+    one = per.groupBy(*by).agg(*stats, zero(F.max("median")).alias("median"), zero((F.min("low") + F.min("high")) / 2).alias("mad"))
+    return one.select(*by, *(F.col(a).alias(f"intensity_{b}") for a, b in zip(names, ("min", "max", "sum", "mean", "std"), strict=True)), F.col("median").alias("intensity_median"), F.col("mad").alias("intensity_mad"))
 
-def median_of_counts(s: Column) -> Column:
-    """Median of sorted array<struct<v, n>>, where v stands n times; null if empty."""
 
-    def of(total: Column) -> Column:
-        def reached(a: Column, q: Column, name: str, rank: Column) -> Column:
-            return F.when(a[name].isNull() & (a["seen"] + q["n"] > rank), q["v"]).otherwise(a[name]).alias(name)
+def intensity_sum(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """(by, c, sum) of all values of each channel, negative ones too, unlike the sum of :func:`intensity`."""
+    return pixels.groupBy(*by, "c").agg(F.sum(F.col("v").cast("double")).alias("sum"))
 
-        first, second = F.floor((total - 1) / 2), F.floor(total / 2)
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-        return F.aggregate(s, start, lambda a, q: F.struct((a["seen"] + q["n"]).alias("seen"), reached(a, q, "low", first), reached(a, q, "high", second)), lambda a: (a["low"] + a["high"]) / 2)
 
-    return let(F.aggregate(s, F.lit(0).cast("long"), lambda a, q: a + q["n"]), of)
+def reached(v: Column, seen: str, total: str, back: int) -> Column:
+    """``v`` where the values up to it hold the middle place (``back`` 1: the lower of two), else null."""
+    return F.when(F.col(seen) > F.floor((F.col(total) - back) / 2), v)
 
 
 def raw_moments(pixels: DataFrame, by: list[str]) -> DataFrame:

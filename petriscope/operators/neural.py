@@ -101,7 +101,7 @@ EMBEDDINGS = "image string, object int, centroid_x float, centroid_y float, embe
 
 def embed_rows(model: str, weights: str, kind: str | None, pad: int, min_size: int, compat: bool = False, batch_size: int = 8):
     """mapInPandas: embeddings of whole images (``kind`` None) or of each object's crop."""
-    from .objects import crops_of
+    from .objects import BAD_RING, crops_of
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = load(weights)
@@ -115,6 +115,9 @@ def embed_rows(model: str, weights: str, kind: str | None, pad: int, min_size: i
                     else:
                         parts = list(crops_of(image, row, kind, "c", pad, min_size, compat))
                     for k, box, polygon, crop, _ in parts:
+                        if crop is None:
+                            out.append([row["image"], k, None, None, None, BAD_RING])
+                            continue
                         x, y = polygon.mean(0) if polygon is not None else ((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)
                         tensors.append(preprocess(crop, model, compat))
                         out.append([row["image"], k, x, x if compat and kind else y, None, None])  # Q11

@@ -23,15 +23,26 @@ from . import kernels as K
 OBJECTS = "image string, object int, label long, poly array<struct<x:double,y:double>>, bbox struct<x_min:double,y_min:double,x_max:double,y_max:double>, width int, height int, error string"
 
 
+#: Bytes of images that are Python objects at a time, about.
+SLICE_BYTES = 8 << 20
+BAD_RING = "a polygon needs three points"
+
+
 def over_rows(df: DataFrame, rows: Callable, ddl: str) -> DataFrame:
     """``rows`` (frames of Python values to frames) over Arrow batches, nested columns as lists and dicts.
 
     Spark's own conversion to pandas can't hold lists of lists of unequal length.
+    A batch is taken in slices of about ``SLICE_BYTES``, whatever the session's batches hold.
     """
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows_ = max(1, int(b.num_rows * SLICE_BYTES / max(b.get_total_buffer_size(), 1)))
+            yield from (b.slice(k, rows_) for k in range(0, b.num_rows, rows_))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames = (pd.DataFrame(b.to_pylist(), columns=b.schema.names, dtype=object) for b in batches)
+        frames = (pd.DataFrame(b.to_pylist(), columns=b.schema.names, dtype=object) for b in sliced(batches))
         for frame in rows(frames):
             yield pa.RecordBatch.from_arrays([pa.array(frame[f.name].tolist(), f.type) for f in schema], schema=schema)
 
@@ -75,7 +86,8 @@ def _segments(image: np.ndarray, row, kind: str, mode: str, compat: bool) -> lis
         for k, poly in enumerate(row["polygons"]):
             p = array_of(poly)
             if len(p) < 3:
-                continue  # Q18: one bad ring is left out, the others stay
+                out.append((k, None, None, None))  # Q18: a bad ring is an error row, the others stay
+                continue
             drawn = K.order_points(K.dedup_points(p)) if compat and "p" in mode else p  # Q8
             draw = (lambda c, q=drawn: K.draw_centered(q, c[2], c[3])) if compat else (lambda c, q=drawn: K.fill_polygon(q - [c[0], c[1]], c[2], c[3]))  # Q9
             out.append((k, K.bounding_box(p), p, draw))
@@ -84,8 +96,11 @@ def _segments(image: np.ndarray, row, kind: str, mode: str, compat: bool) -> lis
 
 
 def crops_of(image: np.ndarray, row, kind: str, mode: str, pad: int, min_size: int, compat: bool):
-    """(id, box, polygon, complete crop, object mask) of each object that stays."""
+    """(id, box, polygon, complete crop, object mask) of each object that stays; a bad ring has its id only."""
     for k, box, polygon, draw in _segments(image, row, kind, mode, compat):
+        if box is None:
+            yield k, None, None, None, None
+            continue
         c = K.object_crop(box, image.shape[1], image.shape[0], pad, min_size, compat)
         if c is not None:
             yield k, box, polygon, K.crop(image, *c), draw(c) if draw and set(mode) & set("mfb") else None
@@ -126,6 +141,9 @@ def profile_rows(kind: str, mode: str, pad: int, min_size: int, compat: bool):
                 try:
                     image = unpack_image(row["im"])
                     for k, box, polygon, crop, mask in crops_of(image, row, kind, mode, pad, min_size, compat):
+                        if crop is None:
+                            out.append((row["image"], k, *[None] * len(names), BAD_RING))
+                            continue
                         out.append((row["image"], k, *describe(crop, mask, polygon, box, mode, compat), None))
                 except Exception as e:  # noqa: BLE001
                     out.append((row["image"], None, *[None] * len(names), f"{type(e).__name__}: {e}"))
@@ -147,6 +165,9 @@ def process_rows(kind: str, mode: str, pad: int, min_size: int, compat: bool):
                 try:
                     image = unpack_image(row["im"])
                     for k, _, _, crop, mask in crops_of(image, row, kind, mode, pad, min_size, compat):
+                        if crop is None:
+                            out.append((row["image"], k, None, None, BAD_RING))
+                            continue
                         parts = {"c": ("complete", lambda: crop), "m": ("mask", lambda: mask[:, :, None] * np.uint8(255)), "f": ("foreground", lambda: K.crop_masked(crop, mask)), "b": ("background", lambda: K.crop_masked(crop, mask, background=True))}
                         for letter, (name, make) in parts.items():
                             if letter in mode:
@@ -188,7 +209,7 @@ def form_rows(compat: bool):
             for image, rings in batch[["image", "polygons"]].itertuples(index=False, name=None):
                 for k, poly in enumerate(rings):
                     p = array_of(poly)
-                    out.append((image, k, *K.form(p, compat), None) if len(p) > 2 else (image, k, *[None] * len(FORM), "a polygon needs three points"))
+                    out.append((image, k, *K.form(p, compat), None) if len(p) > 2 else (image, k, *[None] * len(FORM), BAD_RING))
             yield pd.DataFrame(out, dtype=object, columns=["image", "object", *FORM, "error"])
 
     return rows, "image string, object int, " + ", ".join(f"{c} float" for c in FORM) + ", error string"

@@ -14,6 +14,7 @@ from ..functions import pixels as P
 from ..functions import polygons as G
 from ..functions import regions as R
 from ..functions import resizing as Z
+from ..sinks.shared import new_place
 from ..schema import BOX_KEYS, FORM, IMAGE_FORMATS, INTENSITY, MOMENTS, PIXEL_FAMILIES, POLYGON_KEYS, RAW_MOMENTS, TEXTURE, ZERNIKE, ZERNIKE_ORDERS
 from . import relational as V
 from . import tables as T
@@ -65,6 +66,12 @@ def intensity_multichannel(spark, sf):
     return rounded(D.intensity(T.multi(spark, sf), ["image"]), ["image"])
 
 
+@query("intensity_sum_signed", f"WITH {T.MULTI_SQL} SELECT image, c, {_r('sum(v - 40)', 'sum')} FROM px GROUP BY image, c")
+def intensity_sum_signed(spark, sf):
+    """Sums of all values of a signed image, channel by channel."""
+    return rounded(D.intensity_sum(T.multi(spark, sf).withColumn("v", F.col("v") - 40), ["image"]), ["image", "c"])
+
+
 @query("intensity_compat_lastchannel", _intensity_sql(T.MULTI_SQL, compat=True))
 def intensity_compat(spark, sf):
     return rounded(D.intensity(T.multi(spark, sf), ["image"], compat=True), ["image"])
@@ -834,3 +841,34 @@ def process_boxes(spark, sf):
 
 #: The older name of the verb's columns; all 23 as well.
 query("measure_form_columns", ORACLE_SQL["measure_form"])(measure_form)
+
+
+# --- sources and sinks --------------------------------------------------------
+
+
+@query("image_files_round_trip", f"WITH {T.CLIPPED_SQL} SELECT image, x, y, v FROM px WHERE image % 3 < 2")
+def image_files_round_trip(spark, sf):
+    """Images written as npy files by the sink, found again by the folder source with pushed filters, and read as pixels.
+
+    Every third image has another name, which the pushed filter leaves out of the listing.
+    """
+    from ..sinks.images import save_images
+    from ..sources.folder import folder
+    from .verbs import image_of
+
+    images = T.gray_images(spark, sf)
+    name = F.concat(F.when(F.col("image") % 3 < 2, "img_").otherwise("other_"), F.col("image"))
+    place = new_place(spark, "images")
+    save_images(images.select(name.alias("name"), image_of(F.transform("pixels", lambda v: F.least(v, F.lit(255))), 8, 8).alias("im")), place, "npy")
+    files = folder(spark, place).where(F.col("ext").isin("npy", "png") & F.col("name").contains("img_"))
+    data = F.expr("substring(content, length(content) - 63, 64)")  # what follows the header
+    values = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))
+    read = files.select(F.regexp_extract("stem", "([0-9]+)$", 1).cast("long").alias("image"), values.alias("pixels"))
+    return P.explode_pixels(read, width=8).select("image", "x", "y", "v")
+
+
+def folder_listing(spark, path: str) -> DataFrame:
+    """(path, stem, ext) of the image files of a folder whose names hold "image", by the folder source."""
+    from ..sources.folder import folder
+
+    return folder(spark, path, content=False).where(F.col("ext").isin(*IMAGE_FORMATS) & F.col("name").contains("image")).select("path", "stem", "ext")

@@ -7,7 +7,6 @@ share or the URI of a store (hdfs, s3, gs, file).
 
 from __future__ import annotations
 
-import gzip
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import codecs
+from ..sources.folder import store_of as _store
 
 #: Rows of embeddings that one file may hold: 1024 numbers each make 0.8 GB.
 GATHERED = 200_000
@@ -47,13 +47,6 @@ def new_folder(path: str) -> str:
     raise FileExistsError(path)
 
 
-def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), os.path.abspath(folder)
-    return fs.FileSystem.from_uri(folder)
-
-
 def _put(store: fs.FileSystem, path: str, raw: bytes) -> None:
     """A whole file or none: local and HDFS files are renamed once written, stores show an object when it is complete."""
     if store.type_name in ("s3", "gcs", "abfs"):
@@ -150,13 +143,13 @@ def write_embeddings(df: DataFrame, path: str) -> None:
 def write_zarr(df: DataFrame, folder: str, width: int, height: int, channels: int, dtype: str = "f4", level: int = 5) -> DataFrame:
     """(stem, im, error) rows as a Zarr v3 group: /images in chunks of one image, /names of 100 bytes.
 
-    Images of another channel count are left out.  Row numbers follow the
-    sorted stems; gives (stem, row).
+    Rows with an error or another channel count are left out; an image that
+    can't be resized or cast keeps its row without chunks, which reads as zeros, and is listed in _errors.  Row
+    numbers follow the sorted stems; chunks are there once all tasks have ended well.  Gives (stem, row).
     """
     from ..functions.ordering import numbered
-    from ..operators.kernels import cast, resize
+    from .images import NAME_BYTES, ZARR_KINDS, save_images
 
-    names = {"u1": "uint8", "u2": "uint16", "f4": "float32", "f8": "float64", "i4": "int32"}
     good = df.where(F.col("error").isNull() & (F.col("im.channels") == channels))
     order = numbered(good.select("stem"), ["stem"], name="row")
     n = order.count()
@@ -165,24 +158,10 @@ def write_zarr(df: DataFrame, folder: str, width: int, height: int, channels: in
         codecs_ = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": level}}]
         return json.dumps({"zarr_format": 3, "node_type": "array", "shape": shape, "data_type": kind, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunk}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": codecs_})
 
+    save_images(good.join(order, "stem").select("row", F.col("stem").alias("name"), "im"), folder, "zarr", width=width, height=height, dtype=dtype, level=level)
     store, root = _store(folder)
     for name in ("images", "names"):
         store.create_dir(f"{root}/{name}", recursive=True)
-    for path, text in (("zarr.json", json.dumps({"zarr_format": 3, "node_type": "group"})), ("images/zarr.json", meta([n, height, width, channels], [1, height, width, channels], names[dtype])), ("names/zarr.json", meta([n, 100], [1, 100], "uint8"))):
+    for path, text in (("zarr.json", json.dumps({"zarr_format": 3, "node_type": "group"})), ("images/zarr.json", meta([n, height, width, channels], [1, height, width, channels], ZARR_KINDS[dtype])), ("names/zarr.json", meta([n, NAME_BYTES], [1, NAME_BYTES], "uint8"))):
         _put(store, f"{root}/{path}", text.encode())
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = _store(folder)
-
-        def chunk(path: str, raw: bytes) -> None:
-            store.create_dir(f"{root}/{path.rsplit('/', 1)[0]}", recursive=True)
-            _put(store, f"{root}/{path}", gzip.compress(raw, level))
-
-        for batch in batches:
-            for r in batch.itertuples():
-                a = cast(resize(codecs.unpack_image(r.im), width, height), dtype)
-                chunk(f"images/c/{r.row}/0/0/0", a.tobytes())
-                chunk(f"names/c/{r.row}/0", r.stem.encode()[:100].ljust(100, b"\0"))
-            yield batch[["stem", "row"]]
-
-    return good.join(order, "stem").select("stem", "row", "im").mapInPandas(rows, "stem string, row long")
+    return order

@@ -51,31 +51,47 @@ def _decoder(mask: bool):
 
 def read_images(spark: SparkSession, folder: str, substring: str | None = None, formats: tuple[str, ...] = IMAGE_FORMATS) -> DataFrame:
     """(path, stem, im, error); 8-bit jpeg goes through Spark's own image source."""
-    own = _content(spark, folder, tuple(f for f in formats if f not in ("jpeg", "jpg")), substring).mapInPandas(_decoder(False), DDL)
-    if not {"jpeg", "jpg"} & set(formats):
-        return own
-    jpeg = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(folder).select("image.*")
-    named = listed(jpeg.withColumnRenamed("origin", "path"), ("jpeg", "jpg"), substring)
-    return own.unionByName(named.mapInPandas(_jpegs, DDL))
+    return _read(spark, folder, substring, formats, False)
 
 
-def _jpegs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import numpy as np
+def _jpeg_rows(mask: bool):
+    """Rows of Spark's image source; as a mask, one channel is asked for."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.width <= 0:
+                    out.append((r.path, r.stem, None, "ValueError: not a JPEG file"))
+                elif mask and r.nChannels != 1:
+                    out.append((r.path, r.stem, None, f"ValueError: a mask has one channel of unsigned integers, not {r.nChannels} of uint8"))
+                else:
+                    a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                    a = a[:, :, 2::-1] if r.nChannels > 1 else a
+                    out.append((r.path, r.stem, codecs.pack_image(a.astype(np.int64) if mask else a), None))
+            yield pd.DataFrame(out, dtype=object, columns=["path", "stem", "im", "error"])
 
-    for batch in batches:
-        out = []
-        for r in batch.itertuples():
-            if r.width > 0:
-                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
-                out.append((r.path, r.stem, codecs.pack_image(a[:, :, 2::-1] if r.nChannels > 1 else a), None))
-            else:
-                out.append((r.path, r.stem, None, "ValueError: not a JPEG file"))
-        yield pd.DataFrame(out, dtype=object, columns=["path", "stem", "im", "error"])
+    return rows
+
+
+def jpegs(df: DataFrame, substring: str | None) -> DataFrame:
+    """(path, stem, width, …) of the jpeg files of Spark's image source."""
+    return listed(df.withColumnRenamed("origin", "path"), ("jpeg", "jpg"), substring)
+
+
+def _read(spark: SparkSession, folder: str, substring: str | None, formats: tuple[str, ...], mask: bool) -> DataFrame:
+    own = _content(spark, folder, tuple(f for f in formats if f not in ("jpeg", "jpg")), substring).mapInPandas(_decoder(mask), DDL)
+    if not {"jpeg", "jpg"} & set(formats):
+        return own
+    jpeg = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(folder).select("image.*")
+    return own.unionByName(jpegs(jpeg, substring).mapInPandas(_jpeg_rows(mask), DDL))
 
 
 def read_masks(spark: SparkSession, folder: str, substring: str | None = None) -> DataFrame:
-    """(path, stem, im, error): label images of one channel."""
-    return _content(spark, folder, tuple(f for f in IMAGE_FORMATS if f not in ("jpeg", "jpg")), substring).mapInPandas(_decoder(True), DDL)
+    """(path, stem, im, error): label images of one channel; a jpeg of more is an error row."""
+    return _read(spark, folder, substring, IMAGE_FORMATS, True)
 
 
 def _json(spark: SparkSession, folder: str, substring: str | None) -> DataFrame:

@@ -85,7 +85,7 @@ def test_q10_q15_q18(spark):
     im = codecs.pack_image(image)
     rings = [[{"x": 1.0, "y": 1.0}], [{"x": float(x), "y": float(y)} for x, y in ((5, 5), (15, 5), (15, 15))]]
     df = spark.createDataFrame([("a", im, rings)], "image string, im struct<width:int,height:int,channels:int,dtype:string,data:binary>, polygons array<array<struct<x:double,y:double>>>")
-    assert [r.object for r in verbs.profile(df, "polygons", "c").collect()] == [1]
+    assert [(r.object, r.error is None) for r in verbs.profile(df, "polygons", "c").collect()] == [(0, False), (1, True)]
     assert verbs.profile(df.limit(0), "polygons", "c").count() == 0
     with pytest.raises(ValueError):
         verbs.profile(df, "polygons", "z")
