@@ -166,13 +166,15 @@ o AS (SELECT * FROM (VALUES (0, 1, 0), (45, 1, 1), (90, 0, 1), (135, -1, 1)) t(a
 pr AS (SELECT a.image, a.c, o.angle, a.g AS i, b.g AS j FROM lv a, o, lv b WHERE b.image = a.image AND b.c = a.c AND b.x = a.x + o.dx AND b.y = a.y + o.dy),
 both_ AS (SELECT * FROM pr UNION ALL SELECT image, c, angle, j, i FROM pr),
 cn AS (SELECT image, c, angle, i, j, count(*) AS n FROM both_ GROUP BY ALL),
-cell AS (SELECT image, c, angle, i, j, n / CAST(sum(n) OVER (PARTITION BY image, c, angle) AS DOUBLE) AS p FROM cn)"""
+cell AS (SELECT *, n / CAST(t AS DOUBLE) AS p FROM (SELECT *, sum(n) OVER (PARTITION BY image, c, angle) AS t FROM cn))"""
+#: Polynomials over whole counts, so nothing depends on the order of a sum.
+_SPREAD = "CAST(sum((i + 1) * (i + 1) * n) * max(t) - sum((i + 1) * n) * sum((i + 1) * n) AS DOUBLE)"
 _HARALICK = f"""mg AS (SELECT image, c, angle, i, sum(p) AS px FROM cell GROUP BY ALL),
-sx AS (SELECT image, c, angle, sum((i + 1) * px) AS mu, sum((i + 1) * (i + 1) * px) AS sq, -sum(px * log2(px + {EPS})) AS hx FROM mg GROUP BY ALL),
-mn AS (SELECT image, c, angle, sum(p * p) AS energy, sum((i - j) * (i - j) * p) AS contrast, sum((i + 1 - mu) * (j + 1 - mu) * p) / nullif(max(sq - mu * mu), 0e0) AS correlation,
-  sum((i + 1 - mu) * (i + 1 - mu) * p) AS sum_of_squares, sum(p / (1 + (i - j) * (i - j))) AS inverse_difference_moment, -sum(p * log2(p + {EPS})) AS entropy, max(hx) AS hx FROM cell JOIN sx USING (image, c, angle) GROUP BY ALL),
-pl AS (SELECT image, c, angle, i + j AS k, sum(p) AS q FROM cell GROUP BY ALL),
-sp AS (SELECT image, c, angle, sum(k * q) AS sum_average, sum(k * k * q) - sum(k * q) * sum(k * q) AS sum_variance, -sum(q * log2(q + CASE WHEN q <= {EPS} THEN 1e0 ELSE 0e0 END)) AS sum_entropy FROM pl GROUP BY ALL),
+sx AS (SELECT image, c, angle, -sum(px * log2(px + {EPS})) AS hx FROM mg GROUP BY ALL),
+mn AS (SELECT image, c, angle, sum(p * p) AS energy, CAST(sum((i - j) * (i - j) * n) AS DOUBLE) / max(t) AS contrast, CAST(sum((i + 1) * (j + 1) * n) * max(t) - sum((i + 1) * n) * sum((i + 1) * n) AS DOUBLE) / nullif({_SPREAD}, 0e0) AS correlation,
+  {_SPREAD} / CAST(max(t) * max(t) AS DOUBLE) AS sum_of_squares, sum(p / (1 + (i - j) * (i - j))) AS inverse_difference_moment, -sum(p * log2(p + {EPS})) AS entropy, max(hx) AS hx FROM cell JOIN sx USING (image, c, angle) GROUP BY ALL),
+pl AS (SELECT image, c, angle, i + j AS k, sum(p) AS q, sum(n) AS m, max(t) AS t FROM cell GROUP BY ALL),
+sp AS (SELECT image, c, angle, CAST(sum(k * m) AS DOUBLE) / max(t) AS sum_average, CAST(sum(k * k * m) * max(t) - sum(k * m) * sum(k * m) AS DOUBLE) / CAST(max(t) * max(t) AS DOUBLE) AS sum_variance, -sum(q * log2(q + CASE WHEN q <= {EPS} THEN 1e0 ELSE 0e0 END)) AS sum_entropy FROM pl GROUP BY ALL),
 mi AS (SELECT image, c, angle, abs(i - j) AS k, sum(p) AS q FROM cell GROUP BY ALL),
 sd AS (SELECT image, c, angle, (sum(q * q) - sum(q) * sum(q) / 64) / 64 AS difference_variance, -sum(q * log2(q + {EPS})) AS difference_entropy FROM mi GROUP BY ALL),
 xx AS (SELECT image, c, angle, sum(a.px * b.px * log2(a.px * b.px + {EPS})) AS hxy2 FROM mg a JOIN mg b USING (image, c, angle) GROUP BY ALL),
