@@ -9,11 +9,11 @@ remembered.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,10 +89,43 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def one_fit(f: int, x: Sparse, fold: np.ndarray, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, probabilities of the rows of fold ``f``) of a model that has not seen that fold; a fold that no row has leaves all rows to learn from."""
+    train = fold != f
+    if not train.any():
+        return np.zeros(0), np.zeros(len(y))
+    w = logistic(x.rows(train), earlier[train], y[train], weight[train])
+    return w, probability(x.rows(~train), earlier[~train], w)
+
+
+def fold_tasks(spark: SparkSession):
+    """Runs the fits of a category, one of each fold and one of all rows, as tasks; the bounded sample is broadcast."""
+
+    def begin(x: Sparse, fold: np.ndarray) -> Callable:
+        sample = spark.sparkContext.broadcast((x, fold))
+
+        def run(*given: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            small = spark.sparkContext.broadcast(given)
+
+            def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for f in batch.column(0).to_pylist():
+                        w, out = one_fit(f, *sample.value, *small.value)
+                        yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([w]), pa.array([out])], ["f", "w", "out"])
+
+            got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(lean(rows), "f long, w array<double>, out array<double>").toArrow().to_pylist()
+            small.destroy()
+            return [(np.array(r["w"]), np.array(r["out"])) for r in sorted(got, key=lambda r: r["f"])]
+
+        return run
+
+    return begin
+
+
 class Chain:
-    """One model per category, in order."""
+    """One model per category, in order; ``tasks`` runs a category's fits (:func:`fold_tasks`), or they run one after the other."""
 
-    def __init__(self, names: list[str], doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray):
+    def __init__(self, names: list[str], doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, tasks: Callable | None = None):
         n = len(y)
         keep = np.zeros(1 << BITS, bool)
         for j in range(len(names)):  # features whose log odds are clear in any category
@@ -108,15 +141,14 @@ class Chain:
         own = keep[feature]
         x = Sparse(doc[own], self.place[feature[own]].astype(np.int64), (n, self.width))
         self.weights, self.cut = [], []
+        run = tasks(x, fold) if tasks else lambda *given: [one_fit(f, x, fold, *given) for f in range(FOLDS + 1)]
         earlier = np.zeros((n, 0))
         for j in range(len(names)):
+            *folds, (w, _) = run(earlier, y[:, j], weight)
             out = np.zeros(n)
-            for f in range(FOLDS):
-                train = fold != f
-                if (~train).any() and train.any():
-                    w = logistic(x.rows(train), earlier[train], y[train, j], weight[train])
-                    out[~train] = probability(x.rows(~train), earlier[~train], w)
-            self.weights.append(logistic(x, earlier, y[:, j], weight))
+            for f, (_, p) in enumerate(folds):
+                out[fold == f] = p
+            self.weights.append(w)
             self.cut.append(best_cut(out, y[:, j], weight))
             earlier = np.c_[earlier, _logit(out)]
 
@@ -191,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     y = np.array(table.column("y").to_pylist(), float)
     weight = np.where(table.column("positive").to_numpy(zero_copy_only=False), 1 / share[True], 1 / share[False])
     fold = (mix(table.column("id").to_numpy().astype(np.int64).view(np.uint64), 3) % np.uint64(FOLDS)).astype(np.int64)
-    return Chain(list(categories), doc, f.flatten().to_numpy().astype(np.int64), y, weight / weight.mean(), fold)
+    return Chain(list(categories), doc, f.flatten().to_numpy().astype(np.int64), y, weight / weight.mean(), fold, fold_tasks(docs.sparkSession))
 
 
 def _predict(model, names: list[str]):

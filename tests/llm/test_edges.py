@@ -79,9 +79,12 @@ def test_operators_on_odd_rows(spark, odd, name):
         "op2": substring_dedup.substring_dedup, "op4": suffix_dedup.suffix_dedup, "op5": language_id.identify,
         "op6": lambda d: sharding.extendible_shards(d, 4000), "op7": lambda d: packing.pack(d, size=64).where("piece = 0"), "op8": ngram_jaccard.ngram_jaccard,
     }[name]
-    out = run(odd)
     key = "id" if name in ("op5", "op6", "op7") else "doc_id"
+    shown = {"op2": ("text", "n_words", "n_removed", "removed"), "op4": ("text", "n_bytes", "n_removed", "removed"), "op5": ("held_out", "lang_pred", "score"), "op6": ("n_bytes", "depth", "prefix", "part"), "op7": ("piece", "start", "length"), "op8": ("n_shingles", "component_id")}[name]
+    values = lambda df: sorted(map(str, df.select(key, *shown).collect()))
+    out = run(odd)
     assert sorted((r[0] is None, r[0] or 0) for r in out.select(key).collect()) == all_but()
+    assert values(out) == values(run(odd.select("doc_id", "text", "lang", "source", "n_chars"))), "columns that clash change nothing"
     assert run(odd.limit(0)).count() == 0
 
 
@@ -157,3 +160,61 @@ def test_near_copies_of_one_text_in_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_jaccard(df, 4, 85).collect())
     assert got == sorted(groups(rows, 4, 85))
+
+
+def test_chain_by_hand(spark):
+    """Two categories and three words: the fits of the tasks are those of plain loops, and the second model sees the first's out-of-fold answers."""
+    from petriscope.llm import toxicity as X
+
+    n = 60
+    words = [["vile"] * (k % 3 == 0) + ["calm"] * (k % 2) + ["x"] for k in range(n)]
+    y = np.array([[k % 3 == 0, k % 3 == 0 and k % 2 == 0] for k in range(n)], float)
+    names = sorted({w for d in words for w in d})
+    pairs = [(k, 100 + names.index(w)) for k, d in enumerate(words) for w in d]
+    doc, feature = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+    weight, fold = np.ones(n), np.arange(n) % X.FOLDS
+    chain = X.Chain(["a", "b"], doc, feature, y, weight, fold, X.fold_tasks(spark))
+
+    kept = [j for j in range(len(names)) if chain.place[100 + j] >= 0]
+    dense = np.array([[names[j] in d for j in kept] for d in words], float)
+
+    def fit(x, t):
+        w, past = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, 1e-8)
+        w[-1] = np.log(t.mean() / (1 - t.mean()))
+        for _ in range(150):
+            p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+            grad = np.append(x.T @ (p - t) + 2.0 * w[:-1], (p - t).sum())
+            past += grad**2
+            w = w - 0.5 * grad / np.sqrt(past)
+        return w
+
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    x = dense
+    for j in range(2):
+        assert np.allclose(chain.weights[j], fit(x, y[:, j]))
+        out = np.zeros(n)
+        for f in range(X.FOLDS):
+            w = fit(x[fold != f], y[fold != f, j])
+            out[fold == f] = 1 / (1 + np.exp(-(x[fold == f] @ w[:-1] + w[-1])))
+        x = np.c_[x, logit(out)]
+    assert chain.cut[0] < 1 and ((chain.predict(doc, feature, n)[:, 0] >= chain.cut[0]) == (y[:, 0] > 0)).all()
+
+
+def test_votes_by_hand():
+    """The family of the largest margin, then the language with most duels won; the duels' certainty breaks ties."""
+    from petriscope.llm.language_id import DIM, Model
+
+    m = Model.__new__(Model)
+    m.langs, m.families, m.members, m.pairs = ["a", "b", "c", "z"], ["f", "g"], [[0, 1, 2], [3]], [(0, 1), (0, 2), (1, 2)]
+    m.w = np.zeros((5, DIM), np.float32)
+    m.w[:, :5], m.b = np.eye(5), np.zeros(5)
+    x = np.zeros((4, DIM), np.float32)
+    x[0, :5] = 2, -1, 1, 1, 1  # a wins both its duels
+    x[1, :5] = 2, -1, -1, 1, 3  # b beats a and c
+    x[2, :5] = 2, -1, 1, -1, 0.2  # one win each: a over b by 1, c over a by 1, b over c by little
+    x[3, :5] = -1, 2, 1, 1, 1
+    lang, score = m.predict(x)
+    sure = lambda v: 1 / (1 + np.exp(-2 * v))
+    trust = [sure(1) + sure(-1), sure(-1) + sure(0.2), sure(1) + sure(-0.2)]
+    assert [m.langs[k] for k in lang] == ["a", "b", "abc"[int(np.argmax(trust))], "z"]
+    assert np.allclose(score, [sure(2) * (2 * sure(1)) / 2, sure(2) * (sure(1) + sure(3)) / 2, sure(2) * max(trust) / 2, sure(2)])

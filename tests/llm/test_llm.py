@@ -1,6 +1,5 @@
 """The operators against brute force on small tables, with nulls, empty and repeated rows, and clashing columns."""
 
-import hashlib
 import re
 from functools import lru_cache
 from itertools import combinations
@@ -446,10 +445,32 @@ def test_oracle(spark, sf, name):
     assert rows(got) == rows(want)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, tmp_path):
+    """Planted documents: toxic ones, near copies, a shared passage and a benchmark leak go or are cut, all others are packed whole."""
     import corpus_pipeline
+    from petriscope.llm.packing import pack
 
-    out = corpus_pipeline.run(spark, sf).toPandas()
-    n = spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert 0 < out["doc_id"].nunique() < n
-    assert len(corpus_pipeline.STAGES) == 5 and hashlib is not None
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "shared passages", "decontamination", "packing"]
+    word = lambda n, of: " ".join(f"{of}{k}" for k in rng.integers(0, 5000, n))
+    docs = {k: word(60, "w") for k in range(400)}
+    toxic = set(range(0, 400, 4))
+    for k in toxic:
+        docs[k] += " vile filth vermin"
+    passage, leak, copied = word(30, "p"), word(30, "b"), word(80, "c")
+    docs[1001], docs[1002] = f"{word(20, 'x')} {passage}", f"{passage} {word(20, 'y')}"
+    docs[1003], docs[1004], docs[1005] = copied, copied + " end", copied
+    docs[1006], docs[1007], docs[1008] = f"{word(9, 'q')} {leak}", "", None
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in docs.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    kept = {k: t for k, t in docs.items() if k not in toxic | {1004, 1005, 1006}}
+    kept[1002] = docs[1002][len(passage) + 1 :]
+    assert set(out["doc_id"]) == set(kept)
+    alone = pack(spark.createDataFrame(list(kept.items()), "doc_id long, text string"), size=1024, with_ids=False).toPandas()
+    pieces = lambda df, key: sorted(zip(df[key], df["piece"], df["start"], df["length"], df["ids_crc32"], strict=True))
+    assert pieces(out, "doc_id") == pieces(alone, "id")
+    for _, one in out.sort_values("offset").groupby("sequence_id"):
+        assert one["length"].sum() <= 1024 and (one["offset"].to_numpy() == np.r_[0, one["length"].cumsum()[:-1]]).all()
