@@ -146,26 +146,38 @@ def dealt_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Alternating large-star and small-star contraction; each round is an
-    aggregation with map-side combining, so a hub of any degree is one row per
-    task and not one task's burden.  Rounds go to the shared folder.
+    Alternating large-star and small-star contraction; rounds go to the shared
+    folder.  What a node's neighbours must learn is one row a node: up to
+    ``BROADCAST_IDS`` rows (counted) it is broadcast, and a hub's edges stay where they
+    are; beyond, it is written, so that the join has two plain exchanges, of
+    which AQE splits a hub's.
     """
     before = None
     pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    rows = pairs.count()
     for _ in range(most_rounds):
+        aside = []
+
+        def told(least: DataFrame) -> DataFrame:
+            if 2 * rows <= BROADCAST_IDS:  # noqa: B023
+                return F.broadcast(least)
+            aside.append(written(least, "least"))  # noqa: B023
+            return aside[-1]  # noqa: B023
+
         # large star: every larger neighbour of u goes to u's smallest neighbour
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(told(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: every smaller neighbour of u, and u, go to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(told(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         sides = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now = sides(new)
-        done, before = now == before, now
-        drop_written(pairs)
+        done, before, rows = now == before, now, now[0]
+        for old in (pairs, *aside):
+            drop_written(old)
         pairs = new
         if done:
             break
