@@ -1,3 +1,5 @@
+"""Array kernels. Inputs and expected numbers of the descriptors are fixed values: the results to match, given as text."""
+
 import math
 
 import numpy as np

@@ -132,6 +132,74 @@ def test_bad_rings_are_error_rows(spark):
         assert [(r.object, r.error is None) for r in out.orderBy("object").collect()] == [(0, False), (1, True)]
 
 
+# --- quirks that only the compatible form has --------------------------------
+
+
+def paired(spark, image, kind, value, ddl):
+    return spark.createDataFrame([("a", codecs.pack_image(image), value)], f"image string, im {IMAGE}, {kind} {ddl}")
+
+
+def test_q8_masks_follow_the_given_order(spark):
+    """A concave ring is filled as given; the old masks of mode p follow the angular order."""
+    ring = [(5.0, 5.0), (20.0, 5.0), (20.0, 20.0), (5.0, 20.0), (5.0, 14.0), (16.0, 14.0), (16.0, 10.0), (5.0, 10.0)]  # a C
+    points = [{"x": x, "y": y} for x, y in ring]
+    df = paired(spark, np.full((30, 30, 1), 9, np.uint8), "polygons", [points], "array<array<struct<x:double,y:double>>>")
+    area = lambda compat: verbs.profile(df, "polygons", "pm", compat=compat).first().mask_moments_m00
+    own = K.fill_polygon(np.array(ring), 30, 30).sum()
+    assert area(False) == own and area(True) > own
+
+
+def test_q10_neighbours_are_background(spark):
+    """The foreground of an object has its own label only, though its crop has another."""
+    labels = np.zeros((12, 12), np.int64)
+    labels[3:6, 3:6], labels[3:6, 6:9] = 1, 2
+    df = paired(spark, np.full((12, 12, 1), 7, np.uint8), "mask", codecs.pack_image(labels[:, :, None]), IMAGE)
+    for r in verbs.process(df, "mask", "fb").collect():
+        a = codecs.unpack_image(r.im)
+        assert (a > 0).sum() == (9 if r.part == "foreground" else a.size - 9)
+
+
+def test_q11_centroids(spark, tmp_path):
+    from petriscope.operators import neural as N
+
+    np.savez(tmp_path / "w.npz", **N.random_weights("dino_vit_small", depth=1))
+    df = paired(spark, np.zeros((30, 40, 1), np.uint8), "boxes", [{"x_min": 10.0, "y_min": 4.0, "x_max": 20.0, "y_max": 8.0}], "array<struct<x_min:double,y_min:double,x_max:double,y_max:double>>")
+    place = lambda compat: [(r.centroid_x, r.centroid_y) for r in verbs.embed(df, str(tmp_path / "w.npz"), kind="boxes", compat=compat).collect()]
+    assert place(False) == [(15, 6)] and place(True) == [(15, 15)]
+
+
+def test_q16_mode_x_of_masks(spark):
+    labels = np.zeros((12, 12), np.int64)
+    labels[3:6, 2:9] = 1
+    df = paired(spark, np.ones((12, 12, 1), np.uint8), "mask", codecs.pack_image(labels[:, :, None]), IMAGE)
+    r = verbs.profile(df, "mask", "x").first()
+    assert (r.bbox_width, r.bbox_height, r.bbox_area) == (6, 2, 12)
+    px = relation(spark, {0: labels}, "label")
+    sizes = spark.createDataFrame([(0, 12, 12)], "image int, width int, height int")
+    r = V.profile_masks(px.select("image", F.lit(0).alias("c"), "x", "y", F.lit(1).alias("v")), px, sizes, "x").first()
+    assert (r.bbox_width, r.bbox_height, r.bbox_area) == (6, 2, 12)
+
+
+def test_q20_extensions_in_any_case(spark):
+    from petriscope.functions.pixels import listed
+
+    files = spark.createDataFrame([("a/b.TIF",), ("a/c.png",), ("a/d.txt",)], "path string")
+    assert [sorted(r.name for r in listed(files, compat=c).collect()) for c in (False, True)] == [["b.TIF", "c.png"], ["c.png"]]
+
+
+def test_q24_contours_at_the_last_columns():
+    """Components at the right and lower border have whole contours."""
+    mask = np.zeros((4, 5), np.uint8)
+    mask[1:, 3:] = 1
+    assert K.find_contours(mask)[0].tolist() == [[3, 1], [3, 2], [3, 3], [4, 3], [4, 2], [4, 1]]
+
+
+def test_q25_npy_of_another_type_is_an_error_row(spark, tmp_path):
+    np.save(tmp_path / "c_image.npy", np.zeros((3, 3), np.complex64))
+    np.save(tmp_path / "g_image.npy", np.zeros((3, 3), np.uint8))
+    assert {r.stem: r.error is None for r in readers.read_images(spark, str(tmp_path), formats=("npy",)).collect()} == {"c_image": False, "g_image": True}
+
+
 # --- sources, sinks, streams ------------------------------------------------
 
 
