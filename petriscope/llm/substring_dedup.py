@@ -7,8 +7,9 @@ content - the 7-word window of least hash among the 7 in it - so equal
 13-word windows choose equal 7-word ones, and neighbouring windows mostly
 choose the same, which leaves about a quarter of all positions to shuffle on
 the first level and only windows inside repeated passages on the last.  The
-ladder ends when no candidate survives or the asked length is reached; longer
-windows cannot change which words go.
+ladder ends at the asked length, as longer windows cannot change which words
+go; its levels are one plan that shares one exchange of the texts, in which a level after
+one without candidates has no rows.
 """
 
 from __future__ import annotations

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Least impact step, and impact levels of a block at most: large components have a larger step.
 STEP, LEVELS = 8, 64
-#: Queries and vectors that one task multiplies, vectors of an index, queries that read it together.
-QUERY_BLOCK, VECTOR_BLOCK, INDEX_BLOCK, READERS = 2048, 32_768, 4096, 256
+#: Numbers in the queries, and in the vectors, of one task at most; of either 32,768 rows at most; vectors of an index, queries that read it together.
+BLOCK_NUMBERS, BLOCK_ROWS, INDEX_BLOCK, READERS = 1 << 22, 32_768, 4096, 256
 
 
 class ImpactIndex:
@@ -151,9 +151,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     than once, its least vector is the query; a repeated candidate counts each
     time.  Extra columns don't matter.
 
-    Queries and vectors meet in the cells of a grid, each of at most
-    ``QUERY_BLOCK`` queries and about ``VECTOR_BLOCK`` vectors whatever the
-    size of the input; k rows per query leave a cell.
+    Queries and vectors meet in the cells of a grid, each of about
+    ``BLOCK_ROWS`` of either (fewer, if they are long) whatever the size of the input, so a vector is dealt, and its
+    index built, once for that many queries; k rows per query leave a cell.
     """
     x = F.col(f"`{vec_col}`").cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -161,8 +161,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = rows.where(fine & (F.size(x) > 0)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, _component(scale)).alias("v"), "__q")
     rows = rows.withColumn("dim", F.size("v"))
     queries = rows.where("__q").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("m")).select("id", "m.v", "m.dim")
-    n, m = rows.count(), queries.count()
-    rs, qs = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    n, longest = rows.agg(F.count("*"), F.max("dim")).first()
+    block = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(longest or 1, 1)))
+    rs, qs = max(1, -(-n // block)), max(1, -(-queries.count() // block))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = queries.select(F.lit(True).alias("is_query"), "id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int").alias("qb")).withColumn("vb", every(rs))
     # rows of one id are parted by their place, so that no id makes a cell larger
