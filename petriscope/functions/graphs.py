@@ -7,26 +7,40 @@ from pyspark.sql import functions as F
 
 from ..sinks.shared import forget, kept
 
+#: Rows of a round that a broadcast holds at most (about 30 MB).
+FEW = 1_000_000
+
 
 def least_reachable(edges: DataFrame, by: list[str], most_rounds: int = 60) -> DataFrame:
     """(by, node, root): the least node that each node of ``edges`` (by, u, v) reaches within its group.
 
     Large stars and small stars in turn; every round is written, and the loop
-    ends when a round changes nothing.  A component's root gathers one row for each
-    node, which AQE splits where that is too much for a task.  Nodes without
-    edges have no row.
+    ends when a round changes nothing.  What a node's neighbours learn is one
+    row a node: up to ``FEW`` rows (counted) it is broadcast and edges stay where they
+    are; beyond, it is written, so that AQE can split the exchange of a root
+    that many nodes have.  Nodes without edges have no row.
     """
     pairs, before = kept(edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"), None
+    rows = pairs.count()
     for _ in range(most_rounds):
+        aside: list[DataFrame] = []
+
+        def told(least: DataFrame) -> DataFrame:
+            if 2 * rows <= FEW:  # noqa: B023
+                return F.broadcast(least)
+            aside.append(kept(least, "least"))  # noqa: B023
+            return aside[-1]  # noqa: B023
+
         both = pairs.unionByName(pairs.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(told(least), [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        small = large.join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(told(least), [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = kept(small.unionByName(least.select(*by, "u", F.col("m").alias("v"))).distinct(), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
-        forget(pairs)
-        pairs = new
+        for old in (pairs, *aside):
+            forget(old)
+        pairs, rows = new, now[0]
         if now == before:
             flat = pairs.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
             return flat.unionByName(pairs.select(*by, F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -113,10 +113,9 @@ def contours(found: DataFrame, by: list[str], most_rounds: int = 40) -> DataFram
     for _ in range(most_rounds):
         open_ = known.where("end is null")
         both = known.unionByName(open_.drop("end").join(jump, [*key, "state"]).select(*key, "start", (F.col("k") + grown).alias("k"), F.col("next").alias("state"), F.lit(None).cast("long").alias("end")))
-        both = kept(both, "known")
         back = both.where("end is null AND state = start AND k > 0").groupBy(*key).agg(F.min("k").alias("back"))
         new = kept(both.join(back, key, "left").withColumn("end", F.coalesce("end", "back")).drop("back").where("end is null OR k < end"), "known")
-        forget(both), forget(known)
+        forget(known)
         known, grown = new, grown * 2
         if known.where("end is null").isEmpty():
             break
