@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sinks.shared import forget, kept
 from .graphs import least_reachable
+from .polygons import bounding_box, settled
 
 #: Columns of a tile; runs are joined tile by tile, so a row of many runs is no quadratic join.
 TILE = 64
@@ -162,6 +163,28 @@ def filled(polygons: DataFrame, by: list[str], width: Column, height: Column, po
     return inside.unionByName(outline.select(*by, "x", "y")).distinct()
 
 
+def drawn(polygons: DataFrame, by: list[str], pad: int = 0, poly: str = "poly") -> DataFrame:
+    """(by, x, y, width, height): each polygon filled on a canvas of its own size, with ``pad`` pixels on every side."""
+    at = settled(polygons.select(*by, F.transform(poly, lambda q: F.struct(_cut(q["x"]).alias("x"), _cut(q["y"]).alias("y"))).alias("p")), {"b": bounding_box(F.col("p"))})
+    at = at.select(*by, F.transform("p", lambda q: F.struct((q["x"] - F.col("b.x_min") + pad).alias("x"), (q["y"] - F.col("b.y_min") + pad).alias("y"))).alias("p"), *((F.col(f"b.{c}_max") - F.col(f"b.{c}_min") + 1 + 2 * pad).alias(n) for c, n in (("x", "width"), ("y", "height"))))
+    size = {c: f"__own{k}" for k, c in enumerate(by)}
+    sizes = at.select(*(F.col(c).alias(n) for c, n in size.items()), "width", "height")
+    out = filled(at, by, F.col("width"), F.col("height"), "p")
+    return out.join(sizes, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in size.items()))).select(*by, "x", "y", "width", "height")
+
+
+def drawn_centered(polygons: DataFrame, by: list[str], width: int, height: int, pad: int = 0, poly: str = "poly") -> DataFrame:
+    """(by, x, y): each polygon scaled to fit the canvas less ``pad`` on every side, sides in proportion, and filled in its middle."""
+    at = settled(polygons.select(*by, F.col(poly).alias("p")), {"b": bounding_box(F.col("p"))})
+    far = {c: F.col(f"b.{c}_max") - F.col(f"b.{c}_min") for c in "xy"}
+    inner = {"x": max(width - 2 * pad - 1, 1), "y": max(height - 2 * pad - 1, 1)}
+    at = settled(at, {"s": F.least(*(inner[c] / F.greatest(far[c], F.lit(1.0)) for c in "xy"))})
+    rest = {"x": (width - 1 - far["x"] * F.col("s")) / 2, "y": (height - 1 - far["y"] * F.col("s")) / 2}
+    moved = settled(at, {f"r{c}": v for c, v in rest.items()})
+    ring = F.transform("p", lambda q: F.struct(*(((q[c] - F.col(f"b.{c}_min")) * F.col("s") + F.col(f"r{c}")).alias(c) for c in "xy")))
+    return filled(moved.select(*by, ring.alias("p")), by, F.lit(width), F.lit(height), "p")
+
+
 def _cut(v: Column) -> Column:
     return F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("long")
 

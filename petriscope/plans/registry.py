@@ -560,6 +560,26 @@ def polygon_fill(spark, sf):
     return R.filled(T.polygons(spark, sf), ["object"], F.lit(20), F.lit(60))
 
 
+_WHOLE = T.POLYGON_SQL.replace("edge AS (", "whole_edge AS (")
+
+
+@query("polygon_drawn", f"""WITH {_WHOLE}, lo AS (SELECT object, min(trunc(x0)) AS lx, min(trunc(y0)) AS ly, max(trunc(x0)) AS hx, max(trunc(y0)) AS hy FROM whole_edge GROUP BY object),
+edge AS (SELECT e.object, trunc(x0) - lx + 2 AS x0, trunc(y0) - ly + 2 AS y0, trunc(x1) - lx + 2 AS x1, trunc(y1) - ly + 2 AS y1 FROM whole_edge e JOIN lo USING (object)), {_FILLED.format(w=1000000, h=1000000)}
+SELECT object, f.x, f.y, CAST(hx - lx + 5 AS BIGINT) AS width, CAST(hy - ly + 5 AS BIGINT) AS height FROM fill_ f JOIN lo USING (object)""")
+def polygon_drawn(spark, sf):
+    """Polygons on canvases of their own size."""
+    return R.drawn(T.polygons(spark, sf), ["object"], pad=2)
+
+
+@query("polygon_drawn_centered", f"""WITH {_WHOLE}, lo AS (SELECT object, min(x0) AS lx, min(y0) AS ly, max(x0) - min(x0) AS fx, max(y0) - min(y0) AS fy FROM whole_edge GROUP BY object),
+sc AS (SELECT *, least(27 / greatest(fx, 1e0), 37 / greatest(fy, 1e0)) AS s FROM lo),
+edge AS (SELECT e.object, (x0 - lx) * s + (29 - fx * s) / 2 AS x0, (y0 - ly) * s + (39 - fy * s) / 2 AS y0, (x1 - lx) * s + (29 - fx * s) / 2 AS x1, (y1 - ly) * s + (39 - fy * s) / 2 AS y1 FROM whole_edge e JOIN sc USING (object)), {_FILLED.format(w=30, h=40)}
+SELECT object, x, y FROM fill_""")
+def polygon_drawn_centered(spark, sf):
+    """Polygons scaled to one canvas."""
+    return R.drawn_centered(T.polygons(spark, sf), ["object"], 30, 40, pad=1)
+
+
 @query("profile_mask")
 def profile_mask(spark, sf):
     from .verbs import profile

@@ -47,6 +47,15 @@ def test_filled_polygons(spark):
     assert got == {(k, x, y) for k, p, w, h in polygons for (y, x), on in np.ndenumerate(K.fill_polygon(np.array(p), w, h)) if on}
 
 
+def test_drawn_polygons(spark):
+    polygons = [(k, [tuple(map(float, q)) for q in rng.uniform(-9, 60, (int(rng.integers(3, 9)), 2))]) for k in range(40)]
+    df = spark.createDataFrame(polygons, "object int, poly array<struct<x:double,y:double>>")
+    own = {(r.object, r.x, r.y) for r in R.drawn(df, ["object"], pad=1).collect()}
+    fit = {(r.object, r.x, r.y) for r in R.drawn_centered(df, ["object"], 20, 31, pad=2).collect()}
+    on = lambda draw: {(k, x, y) for k, p in polygons for (y, x), v in np.ndenumerate(draw(np.array(p))) if v}
+    assert own == on(lambda p: K.draw_points(p, 1)) and fit == on(lambda p: K.draw_centered(p, 20, 31, 2))
+
+
 def test_forms(spark):
     rings = [rng.integers(0, 24, (int(n), 2)).astype(float) for n in rng.integers(3, 60, 60)] + [rng.normal(0, 30, (90, 2)), np.array([[0.0, 0], [1, 1], [2, 2], [5, 5]])]
     rings = [p for p in (K.order_points(K.dedup_points(p)) for p in rings) if len(p) > 2]
