@@ -7,12 +7,12 @@ closely related languages need a plane of their own for every pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, lean
@@ -21,8 +21,11 @@ from .textkernel import LOWER, mix, steps
 #: Hashed n-grams of 1 to 3 bytes.
 DIM = 2048
 ORDERS = (1, 2, 3)
-#: Training rows of a language, about, and of all; with more languages each has fewer, but not fewer than LEAST.
-SAMPLE, ROWS, LEAST = 1000, 256_000, 20
+#: Training rows of a language, about, and of all (8 kB each, so 256 MB); with more languages each has fewer, but not fewer than LEAST.
+SAMPLE, ROWS, LEAST = 1000, 32_000, 20
+
+#: Tasks that the planes are dealt to, at most.
+TASKS = 256
 
 #: Families of ISO 639-1 codes; any other value is a family by itself.
 FAMILIES = {
@@ -77,19 +80,45 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300)
     return w[:-1].astype(np.float32), float(w[-1] - mean @ w[:-1])
 
 
+def plane_tasks(spark: SparkSession) -> Callable:
+    """Fits planes as tasks; the bounded sample is broadcast."""
+
+    def run(x: np.ndarray, label: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, float]]:
+        sample = spark.sparkContext.broadcast((x, label, sides))
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    w, b = one_plane(sample.value[0], sample.value[1], *sample.value[2][k])
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([w.tobytes()], pa.binary()), pa.array([b])], ["k", "w", "b"])
+
+        tasks = min(len(sides), TASKS)
+        got = spark.range(0, len(sides), 1, tasks).mapInArrow(lean(rows), "k long, w binary, b double").toArrow().sort_by("k").to_pylist()
+        sample.destroy()
+        return [(np.frombuffer(r["w"], np.float32), r["b"]) for r in got]
+
+    return run
+
+
+def one_plane(x: np.ndarray, label: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, float]:
+    """The plane between the languages ``yes`` and ``no``."""
+    side = np.where(np.isin(label, yes), 1, np.where(np.isin(label, no), -1, 0)).astype(np.float32)
+    return svm(x[side != 0], side[side != 0]) if (side == 0).any() else svm(x, side)
+
+
 class Model:
-    """Planes of the families and of every pair of languages inside one."""
+    """Planes of the families and of every pair of languages inside one; ``tasks`` fits them (:func:`plane_tasks`), or one follows the other."""
 
-    def __init__(self, langs: list[str], x: np.ndarray, label: np.ndarray):
+    def __init__(self, langs: list[str], x: np.ndarray, label: np.ndarray, tasks: Callable | None = None):
         self.langs = langs
         self.families = sorted({family(a) for a in langs})
         self.members = [[i for i, a in enumerate(langs) if family(a) == f] for f in self.families]
-        place = np.array([self.families.index(family(a)) for a in langs], np.int64)
-        planes = [svm(x, np.where(place[label] == f, 1.0, -1.0).astype(np.float32)) for f in range(len(self.families))] if len(self.families) > 1 else []
         self.pairs = [p for m in self.members for p in combinations(m, 2)]
-        for a, b in self.pairs:
-            own = (label == a) | (label == b)
-            planes.append(svm(x[own], np.where(label[own] == a, 1.0, -1.0).astype(np.float32)))
+        every = np.arange(len(langs))
+        sides = [(np.array(m), np.setdiff1d(every, m)) for m in self.members] if len(self.families) > 1 else []
+        sides += [(np.array([a]), np.array([b])) for a, b in self.pairs]
+        run = tasks if tasks and sides else lambda x, label, sides: [one_plane(x, label, *s) for s in sides]
+        planes = run(x, label, sides)
         self.w = np.array([p[0] for p in planes], np.float32).reshape(-1, DIM)
         self.b = np.array([p[1] for p in planes], np.float32)
 
@@ -143,7 +172,7 @@ def fit(rows: DataFrame) -> Model | None:
         return None
     langs = sorted(set(lang))
     x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(-1, DIM)
-    return Model(langs, x, np.searchsorted(np.array(langs, object), lang))
+    return Model(langs, x, np.searchsorted(np.array(langs, object), lang), plane_tasks(rows.sparkSession))
 
 
 def _predict(model):
@@ -174,6 +203,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learned from rows with a language and an id that are not held out;
     predicted from the whole text alone.  Null text, or text without a letter,
     is ``und`` with score 0; so is all text if nothing could be learned.
+    Of languages with as many duels won, the more certain one is predicted, then the first by name.
     Repeated rows and very long texts are texts like any other.
     """
     id_, text, lang = (F.col(f"`{c}`") for c in (id_col, text_col, lang_col))
