@@ -122,6 +122,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+#: All alignments that share a word, so with no seeds: of each, the stretches of an item are counted one by one.
+OP10_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS MATERIALIZED (SELECT row_number() OVER () AS it, item_id, ws FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark)),
+m AS (SELECT a.r, b.it, a.p - b.q AS shift, list(b.q) AS qs FROM (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d) a JOIN (SELECT it, unnest(ws) AS w, unnest(range(len(ws))) AS q FROM t) b USING (w) GROUP BY ALL),
+c AS (SELECT d.doc_id, t.item_id, qs, greatest(0, -shift) AS lo, least(len(t.ws), len(d.ws) - shift) AS hi, least(13, len(t.ws)) AS need, CAST(ceil(CAST(0.8 AS DOUBLE) * least(13, len(t.ws))) AS BIGINT) AS enough FROM m JOIN d USING (r) JOIN t USING (it)),
+good AS (SELECT *, hi - lo AS n FROM c WHERE hi - lo >= need AND len(qs) >= enough AND len(list_filter(range(lo, hi - need + 1), lambda s: len(list_filter(qs, lambda q: q >= s AND q < s + need)) >= enough)) > 0)
+SELECT doc_id, item_id, count(*) AS n_hits, max(len(qs)) AS n_agree, CAST(max(n) AS BIGINT) AS n_aligned FROM good GROUP BY ALL
+"""
+
+
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -144,6 +155,24 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _op4_sql(length: int = 100) -> str:
+    """Strings of ``length`` bytes are told apart by doubling: the class of a string of 2k bytes is that of its halves."""
+    steps, k = [], 1
+    while 2 * k < length:
+        steps.append(f"t{2 * k} AS (SELECT r, doc_id, i, min(g) OVER (PARTITION BY x, y) AS x, g FROM (SELECT r, doc_id, i, g, x, lead(x, {k}) OVER (PARTITION BY r ORDER BY i) AS y FROM t{k}))")
+        k *= 2
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents),
+b AS MATERIALIZED (SELECT r, doc_id, unnest(bs) AS byte, unnest(range(len(bs))) AS i, len(bs) AS n FROM d),
+t1 AS (SELECT r, doc_id, i, dense_rank() OVER (ORDER BY byte) AS x, row_number() OVER () AS g FROM b),
+{", ".join(steps)},
+w AS (SELECT r, doc_id, i, x, lead(x, {length - k}) OVER (PARTITION BY r ORDER BY i) AS y, lead(i, {length - 1}) OVER (PARTITION BY r ORDER BY i) AS last_ FROM t{k}),
+dup AS (SELECT r, i FROM (SELECT r, i, doc_id, min((doc_id, i)) OVER (PARTITION BY x, y) AS first_ FROM w WHERE last_ IS NOT NULL) WHERE (doc_id, i) > first_),
+cov AS (SELECT b.r, b.i, b.byte, max(dup.i) OVER (PARTITION BY b.r ORDER BY b.i ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM b LEFT JOIN dup ON dup.r = b.r AND dup.i = b.i),
+run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS starts FROM cov),
+one AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM run GROUP BY r)
+SELECT d.doc_id, CAST(len(bs) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN one USING (r)"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxic_documents
 
@@ -259,4 +288,4 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT)
 
 
 QUERIES = {"op3_toxicity": op3_toxicity, "op5_language_id": op5_language_id, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op1_exact_top_k": op1_exact_top_k, "op9_chat_formatting": op9_chat_formatting, "op10_decontamination": op10_decontamination, "op7_best_fit_packing": op7_best_fit_packing, "op6_sharding": op6_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op2_substring_dedup": op2_substring_dedup, "op13_merkle_manifest": op13_merkle_manifest, "op12_embedding_whitening": op12_embedding_whitening, "op11_license_scan": op11_license_scan}
-ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL, "op13_merkle_manifest": _op13_sql(), "op11_license_scan": _op11_sql()}
+ORACLE_SQL = {"op1_exact_top_k": OP1_SQL, "op9_chat_formatting": _op9_sql(), "op6_sharding": OP6_SQL, "op8_ngram_jaccard": OP8_SQL, "op2_substring_dedup": OP2_SQL, "op13_merkle_manifest": _op13_sql(), "op11_license_scan": _op11_sql(), "op4_suffix_array_dedup": _op4_sql(), "op10_decontamination": OP10_SQL}
