@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.polygons import let, settled
 
 #: Letters A to Z are lower-cased before; a word is of digits, letters and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words that may be more or fewer between two mandatory phrases than in the template, at least.
 SLACK = 20
 #: Phrases and labels that every scan looks for.
@@ -79,9 +78,16 @@ def templates(texts: dict[str, str]) -> list[Template]:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text as array<string>; null has none."""
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
-    return F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))
+    """The words of a text as array<string>; null has none.
+
+    Letters beyond ASCII may be lower-cased too, which no phrase has; the only
+    two whose small form is or begins with an ASCII letter (the Kelvin sign, I with a dot) are
+    put aside first.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    for letter, other in (("\u212a", "\u0138"), ("\u0130", "\u0131")):
+        text = F.replace(text, F.lit(letter), F.lit(other))
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
 def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
