@@ -1,5 +1,7 @@
 """The relational forms against the array kernels: regions, forms, resizing, order, whole verbs, sources, sinks and streams."""
 
+import contextlib
+import io
 import json
 import os
 
@@ -56,6 +58,26 @@ def test_drawn_polygons(spark):
     assert own == on(lambda p: K.draw_points(p, 1)) and fit == on(lambda p: K.draw_centered(p, 20, 31, 2))
 
 
+def plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
+
+
+def test_filling_neither_shuffles_nor_sorts(spark):
+    """Pixels stay where their polygon is; clipped, flat, long and degenerate rings as the kernels fill them."""
+    rings = [[(-40, 3), (70, 4), (70, 9), (-40, 8)], [(5, 5), (5, 5), (5, 5)], [(-9, 2), (30, 2), (11, 2)], [(4, -50), (6, 90), (5, 20)], [(60, 60), (70, 60), (70, 70)], [(0, 0), (19, 7), (19, 8)]]
+    polygons = [(k, [tuple(map(float, q)) for q in p]) for k, p in enumerate(rings)]
+    df = spark.createDataFrame(polygons, "object int, poly array<struct<x:double,y:double>>")
+    fill, own = R.filled(df, ["object"], F.lit(20), F.lit(25)), R.drawn(df, ["object"], pad=1)
+    for out in (fill, own):
+        assert not any(step in plan(out) for step in ("Exchange", "Sort ", "Join"))
+    on = lambda draw: {(k, x, y) for k, p in polygons for (y, x), v in np.ndenumerate(draw(np.array(p))) if v}
+    got = [(r.object, r.x, r.y) for r in fill.collect()]
+    assert len(got) == len(set(got)) and set(got) == on(lambda p: K.fill_polygon(p, 20, 25))
+    assert {(r.object, r.x, r.y) for r in own.collect()} == on(lambda p: K.draw_points(p, 1))
+
+
 def test_forms(spark):
     rings = [rng.integers(0, 24, (int(n), 2)).astype(float) for n in rng.integers(3, 60, 60)] + [rng.normal(0, 30, (90, 2)), np.array([[0.0, 0], [1, 1], [2, 2], [5, 5]])]
     rings = [p for p in (K.order_points(K.dedup_points(p)) for p in rings) if len(p) > 2]
