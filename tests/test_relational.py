@@ -13,6 +13,7 @@ from petriscope.functions import descriptors as D
 from petriscope.functions import polygons as G
 from petriscope.functions import regions as R
 from petriscope.functions import resizing as Z
+from petriscope.functions.graphs import least_reachable
 from petriscope.functions.ordering import numbered
 from petriscope.operators import kernels as K
 from petriscope.plans import relational as V
@@ -78,6 +79,24 @@ def test_filling_neither_shuffles_nor_sorts(spark):
     assert {(r.object, r.x, r.y) for r in own.collect()} == on(lambda p: K.draw_points(p, 1))
 
 
+def test_no_broadcast_of_growing_tables(spark, monkeypatch):
+    """Crops, parts and runs are merged; so is what nodes learn, beyond a few thousand rows."""
+    px = spark.range(64).select(F.lit(1).alias("image"), F.lit(0).alias("c"), (F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y"), "id").withColumnRenamed("id", "v")
+    px, own = R.kept(px, "pixels"), R.kept(px.where("v = 19").select("image", F.lit(0).alias("object"), "x", "y"), "own")
+    crops = R.kept(px.limit(1).select("image", F.lit(0).alias("object"), F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"), F.lit(3).alias("w"), F.lit(4).alias("h")).alias("crop")), "crops")
+    parts = V.parts(px, crops, own, "cfb")
+    assert "Broadcast" not in plan(parts) and "SortMergeJoin" in plan(parts)
+    assert sorted((r.part, r.v) for r in parts.where("v = 19").collect()) == [("complete", 19), ("foreground", 19)] and parts.count() == 36
+
+    def refused(_):
+        raise AssertionError("a broadcast")
+
+    edges = spark.range(60_000).select(F.lit(1).alias("image"), (F.col("id") * 3).alias("u"), (F.col("id") * 3 + 1).alias("v"))
+    monkeypatch.setattr(F, "broadcast", refused)
+    found = least_reachable(edges, ["image"]).agg(F.count("*"), F.sum(F.col("node") - F.col("root")), F.sum("root")).first()
+    assert tuple(found) == (120_000, 60_000, 6 * sum(range(60_000)))
+
+
 def test_forms(spark):
     rings = [rng.integers(0, 24, (int(n), 2)).astype(float) for n in rng.integers(3, 60, 60)] + [rng.normal(0, 30, (90, 2)), np.array([[0.0, 0], [1, 1], [2, 2], [5, 5]])]
     rings = [p for p in (K.order_points(K.dedup_points(p)) for p in rings) if len(p) > 2]
