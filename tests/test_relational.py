@@ -4,6 +4,7 @@ import contextlib
 import io
 import json
 import os
+import re
 
 import numpy as np
 import pytest
@@ -97,6 +98,15 @@ def test_no_broadcast_of_growing_tables(spark, monkeypatch):
     assert tuple(found) == (120_000, 60_000, 6 * sum(range(60_000)))
 
 
+def test_texture_is_dealt_by_its_rows(spark, monkeypatch):
+    """Twice the pixels are twice the tasks of as many pixels."""
+    monkeypatch.setattr(D, "SHARE", 64, raising=False)
+    px = lambda n: spark.range(64 * n).select(F.floor(F.col("id") / 64).alias("image"), F.lit(0).alias("c"), (F.col("id") % 8).alias("x"), F.floor(F.col("id") % 64 / 8).alias("y"), (F.col("id") * 7 % 50).alias("v"))
+    for n in (10, 20):
+        out = D.texture(px(n), ["image"])
+        assert re.search(rf"hashpartitioning\(image#.*, {n}\), REPARTITION_BY_NUM", plan(out)) and out.count() == n
+
+
 def test_forms(spark):
     rings = [rng.integers(0, 24, (int(n), 2)).astype(float) for n in rng.integers(3, 60, 60)] + [rng.normal(0, 30, (90, 2)), np.array([[0.0, 0], [1, 1], [2, 2], [5, 5]])]
     rings = [p for p in (K.order_points(K.dedup_points(p)) for p in rings) if len(p) > 2]
