@@ -98,6 +98,17 @@ def test_no_broadcast_of_growing_tables(spark, monkeypatch):
     assert tuple(found) == (120_000, 60_000, 6 * sum(range(60_000)))
 
 
+def test_no_broadcast_in_small_rounds(spark, monkeypatch):
+    """Rounds of few rows are merged as well: a path of nine nodes and a star of four, in two groups."""
+
+    def refused(_):
+        raise AssertionError("a broadcast")
+
+    monkeypatch.setattr(F, "broadcast", refused)
+    edges = spark.createDataFrame([(1, k + 1, k) for k in range(8)] + [(2, 9, k) for k in (5, 6, 7)], "image int, u long, v long")
+    assert sorted(map(tuple, least_reachable(edges, ["image"]).collect())) == [(1, k, 0) for k in range(9)] + [(2, k, 5) for k in (5, 6, 7, 9)]
+
+
 def test_texture_is_dealt_by_its_rows(spark, monkeypatch):
     """Twice the pixels are twice the tasks of as many pixels."""
     monkeypatch.setattr(D, "SHARE", 64, raising=False)
