@@ -109,6 +109,26 @@ def test_no_broadcast_in_small_rounds(spark, monkeypatch):
     assert sorted(map(tuple, least_reachable(edges, ["image"]).collect())) == [(1, k, 0) for k in range(9)] + [(2, k, 5) for k in (5, 6, 7, 9)]
 
 
+def test_objects_and_profiles_broadcast_nothing(spark, monkeypatch):
+    """No table that is written on the way to objects of masks and profiles of polygons, nor the result, has a broadcast in its plan."""
+    from petriscope.functions import graphs
+
+    def watched(df, label, write=R.kept):
+        assert "Broadcast" not in plan(df), label
+        return write(df, label)
+
+    for module in (R, V, graphs):
+        monkeypatch.setattr(module, "kept", watched)
+    px = spark.range(64).select(F.lit(1).alias("image"), F.lit(0).alias("c"), (F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y"), F.col("id").alias("v"))
+    masks = px.select("image", "x", "y", ((F.col("x") < 3) & (F.col("y") < 2) | (F.col("x") > 4) & (F.col("y") > 5)).cast("long").alias("label"))
+    objects = V.mask_objects(masks)
+    assert "Broadcast" not in plan(objects)
+    assert sorted((r.object, r.label, tuple(r.bbox)) for r in objects.collect()) == [(0, 1, (0, 0, 2, 1)), (1, 2, (5, 6, 7, 7))]
+    ring = spark.createDataFrame([(1, 0, [(1.0, 1.0), (5.0, 1.0), (3.0, 5.0)])], "image int, object int, poly array<struct<x:double,y:double>>")
+    sizes = spark.createDataFrame([(1, 8, 8)], "image int, width int, height int")
+    assert "Broadcast" not in plan(V.profile_polygons(px, ring, sizes, "cf"))
+
+
 def test_texture_is_dealt_by_its_rows(spark, monkeypatch):
     """Twice the pixels are twice the tasks of as many pixels."""
     monkeypatch.setattr(D, "SHARE", 64, raising=False)
